@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, toxicity
-from .common import table
+from . import licenses, mixing, repair, toxicity, vecpack
+from .common import shared_path, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,16 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-shards")
+    repair.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return repair.digest(repair.read(spark, path))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecpack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,7 +70,7 @@ SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_licenses": op3_licenses, "op9_mixing": op9_mixing}
+    return {"op1_toxicity": op1_toxicity, "op3_licenses": op3_licenses, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
