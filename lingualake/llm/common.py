@@ -140,3 +140,23 @@ def groups(batches, *keys: str):
                 start = i
     if held:
         yield now, pa.Table.from_batches(held)
+
+
+def id_ranges(docs: DataFrame, n: int, key: str = "doc_id") -> tuple:
+    """Up to n ranges of ascending ids with about as many rows each, as an expression for the range's number.
+
+    Null ids go to the first range. The cuts (n - 1 numbers) come from Spark's quantile sketch, and
+    the expression looks a row's range up by binary search over them.
+    """
+    shares = [i / n for i in range(1, n)]
+    cuts = docs.agg(F.percentile_approx(F.col(key).cast("long"), shares or [0.5], 10_000)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or ()))
+    if not cuts:
+        return F.lit(0), 1
+    array = F.array(*map(F.lit, cuts))
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+
+    def step(at, s):
+        return F.when((at + s <= len(cuts)) & (F.get(array, at + s - 1) <= F.col(key).cast("long")), at + s).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step), len(cuts) + 1

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, mtree, repair, toxicity, vecpack
+from . import licenses, lzfingerprint, mixing, mtree, repair, rlz, toxicity, vecpack
 from .common import shared_path, table
 
 
@@ -24,6 +24,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzfingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return mtree.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0))
@@ -39,6 +43,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecpack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.spans(table(spark, sf_dir, "documents")).drop("factors")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,6 +63,29 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(0, greatest(len(words) - 19, 0))) AS pos, words FROM d
+), k AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY list_aggregate(words[pos + 1:pos + 20], 'string_agg', ' ') ORDER BY doc_id, pos) > 1 AS again FROM w
+), g AS (
+  SELECT doc_id, list(pos) AS starts FROM k WHERE again GROUP BY doc_id
+), r AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda a: range(a, a + 20)))) AS gone FROM g
+), u AS (
+  SELECT doc_id, words, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id)
+), p AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM u
+), q AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.pos) AS kept, count(*) AS n FROM p LEFT JOIN (SELECT doc_id, unnest(gone) AS pos FROM r) x ON x.doc_id = p.doc_id AND x.pos = p.pos
+  WHERE x.pos IS NULL GROUP BY p.doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN q ON q.doc_id = d.doc_id
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS place
@@ -87,8 +118,8 @@ SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_licenses": op3_licenses, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
+    return {"op1_toxicity": op1_toxicity, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op9_mixing": OP9_SQL}
+    return {"op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
