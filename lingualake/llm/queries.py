@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lzfingerprint, mixing, mtree, repair, rlz, toxicity, vecpack
+from . import licenses, lzfingerprint, mixing, mtree, ngramjoin, repair, rlz, toxicity, vecpack
 from .common import shared_path, table
 
 
@@ -51,6 +51,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents")).drop("tid")
+
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -118,7 +122,7 @@ SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing}
+    return {"op1_toxicity": op1_toxicity, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
