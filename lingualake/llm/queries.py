@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lzfingerprint, mixing, mtree, ngramjoin, repair, rlz, toxicity, vecpack
+from . import langid, licenses, lzfingerprint, mixing, mtree, ngramjoin, repair, rlz, toxicity, vecpack
 from .common import shared_path, table
 
 
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "n_hits")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), langid.train(table(spark, sf_dir, "documents")))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -121,8 +125,14 @@ SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing, "op10_ngram_join": op10_ngram_join}
+    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing, "op10_ngram_join": op10_ngram_join, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
