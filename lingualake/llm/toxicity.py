@@ -189,6 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_weight:
         if not any(weights[s] >= odds[e] - 0.7 for s in stems):
             weights[e] = odds[e]
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1] * in_toxic[x[0]], x[0]))[:max_entries])
+    if not weights:
+        train.unpersist()
+        return Lexicon()
     lexicon = Lexicon(weights)
 
     def pairs(folded: str) -> set[str]:
@@ -216,7 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_weight:
 
     m = np.array([tuple(r) for r in train.mapInArrow(measured, "a double, b double, toxic int").collect()], dtype=float)
     train.unpersist()
-    lexicon.curve = tuple(_logistic(m[:, :2], m[:, 2]))
+    curve = _logistic(m[:, :2], m[:, 2])
+    curve[0] = min(curve[0], -0.1)  # a text without hits is clean
+    lexicon.curve = tuple(curve)
     return lexicon
 
 
