@@ -177,5 +177,5 @@ def alignment_text(c: Column | str) -> Column:
 
 def lines(c: Column | str) -> Column:
     """Lines of a text by any line break; a break at the end opens no line."""
-    out = F.regexp_replace(col(c), "\r\n|[\r\u000b\u000c\u001c-\u001e\u0085  ]", "\n")
+    out = F.regexp_replace(col(c), "\r\n|[\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]", "\n")
     return F.split(F.regexp_replace(out, "\n$", ""), "\n")
