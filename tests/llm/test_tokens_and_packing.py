@@ -14,7 +14,7 @@ from lingualake.llm.vecpack import Limits, Packer
 
 from .fixtures import documents, rows, texts
 
-ODD = ["", "  ", " a", "a ", "a  b", "x\n y", "\n", "a b", "it's  they're'S 'll", "<|endoftext|> a<|endoftext|>b <|endoftext|>", "a\t\tb \t c", "é ́x", "ΑΣ ΑΣ.", "123 45a6 !!?? '' ' s", "x　 y", "\u0085 a"]
+ODD = ["", "  ", " a", "a ", "a  b", "x\n y", "\n", "a\u00a0b", "it's  they're'S 'll", "<|endoftext|> a<|endoftext|>b <|endoftext|>", "a\t\tb \t c", "é ́x", "ΑΣ ΑΣ.", "123 45a6 !!?? '' ' s", "x\u3000 y", "\u0085 a"]
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
