@@ -14,7 +14,8 @@ ids in order, so copies cost nothing. The pages of a shard meet blocks of querie
 parameters, and k rows leave for each query and shard.
 
 Edge cases: rows without an id, null vectors and those with null or non-finite components take no
-part; shorter vectors count as padded with zeros; ties go to the smaller id; a repeated id is a row
+part; shorter vectors count as padded with zeros; scores
+must fit 64 bits (else the query fails); ties go to the smaller id; a repeated id is a row
 of its own, and a query skips all rows with its id; an empty table gives an empty result; extra
 columns are left out.
 """

