@@ -184,7 +184,8 @@ def topic_chunks_by_sentence(docs: DataFrame, n_tokens: Column) -> DataFrame:
     # Marks with the white space after them end a sentence; a character no text holds marks the places.
     cut = F.regexp_replace("text", r"[.!?]+(\s+|$)", "\u0001")
     parts = F.filter(F.transform(F.split(cut, "\u0001"), lambda x: T.strip(x)), lambda x: x != "")
-    rows = docs.select("doc_id", n_tokens.cast("long").alias("total"), F.posexplode(parts).alias("chunk", "text"))
+    # Counted before the rows are exploded, not again for each of them.
+    rows = docs.select("doc_id", n_tokens.cast("long").alias("total"), parts.alias("parts")).select("doc_id", "total", F.posexplode("parts").alias("chunk", "text"))
     whole = Window.partitionBy("doc_id")
     rows = rows.withColumn("share", F.greatest(F.lit(1), F.floor(F.col("total") * F.length("text") / F.sum(F.length("text")).over(whole))))
     upto = F.sum("share").over(whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0))

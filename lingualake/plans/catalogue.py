@@ -393,12 +393,12 @@ def utterances(t):
     return u.withColumns({"start_time": r6("start_time"), "end_time": r6("end_time")})
 
 
-@query(f"""SELECT conv_id, turn::BIGINT AS turn, (i - 1)::INT AS word_idx, ws[i] AS word, round(turn + (i - 1) * (greatest(length(text) * 0.05, 0.2) / len(ws)), 6) AS start_time, round(turn + i * (greatest(length(text) * 0.05, 0.2) / len(ws)), 6) AS end_time
+@query(f"""SELECT conv_id, turn::BIGINT AS turn, (i - 1)::INT AS word_idx, ws[i] AS word, round(turn + (i - 1) * (greatest(length(text) * 0.05, 0.2) / len(ws)), 9) AS start_time, round(turn + i * (greatest(length(text) * 0.05, 0.2) / len(ws)), 9) AS end_time
   FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM (SELECT *, {WORDS_SQL.format('text')} AS ws FROM conversations))""")
 def uniform_timings(t):
     c = t("conversations").withColumn("k", F.struct("conv_id", "turn"))
     u = speech.uniform_timings(c, "k", F.length("text") * 0.05, F.col("turn"))
-    return u.select("k.conv_id", "k.turn", "word_idx", "word", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"))
+    return u.select("k.conv_id", "k.turn", "word_idx", "word", F.round("start_time", 9).alias("start_time"), F.round("end_time", 9).alias("end_time"))
 
 
 @query()
@@ -759,11 +759,11 @@ def speech_profile(t):
 
 
 @query("""WITH p AS (SELECT user_id AS file_id, value AS hz FROM events WHERE value > 0), m AS (SELECT file_id, median(hz) AS mid FROM p GROUP BY file_id), q AS (SELECT p.* FROM p JOIN m USING (file_id) WHERE abs(12 * log2(hz / mid)) <= 18)
-  SELECT file_id, round(quantile_cont(hz, 0.02), 6) AS p02, round(quantile_cont(hz, 0.25), 6) AS p25, round(quantile_cont(hz, 0.5), 6) AS p50, round(quantile_cont(hz, 0.75), 6) AS p75, round(quantile_cont(hz, 0.98), 6) AS p98, round(avg(hz), 6) AS mean_hz, round(stddev_pop(hz), 6) AS sd_hz, count(*) AS n,
-  round(12 * log2(quantile_cont(hz, 0.98) / quantile_cont(hz, 0.02)), 6) AS range_semitones FROM q GROUP BY file_id""")
+  SELECT file_id, round(quantile_cont(hz, 0.02), 8) AS p02, round(quantile_cont(hz, 0.25), 8) AS p25, round(quantile_cont(hz, 0.5), 8) AS p50, round(quantile_cont(hz, 0.75), 8) AS p75, round(quantile_cont(hz, 0.98), 8) AS p98, round(avg(hz), 8) AS mean_hz, round(stddev_pop(hz), 8) AS sd_hz, count(*) AS n,
+  round(12 * log2(quantile_cont(hz, 0.98) / quantile_cont(hz, 0.02)), 8) AS range_semitones FROM q GROUP BY file_id""")
 def pitch_range(t):
     r = prosody.pitch_range(t("events").withColumnRenamed("user_id", "file_id"), "file_id", "value")
-    return r.withColumns({c: r6(c) for c in ("p02", "p25", "p50", "p75", "p98", "mean_hz", "sd_hz", "range_semitones")})
+    return r.withColumns({c: F.round(c, 8) for c in ("p02", "p25", "p50", "p75", "p98", "mean_hz", "sd_hz", "range_semitones")})
 
 
 @query(f"WITH w AS ({TIMED_SQL}), s AS ({SEGMENTS_SQL}) SELECT w.file_id, word_idx AS idx, (SELECT arg_max(CASE WHEN seg_stop > start THEN speaker END, seg_start) FROM s WHERE s.file_id = w.file_id AND seg_start <= w.start) AS label FROM w")
