@@ -128,3 +128,33 @@ def test_landing_stream(spark, tmp_path):
 def test_catalogue_is_consistent():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert len(catalogue.queries()) > 70
+
+
+def test_transcribe(spark, tmp_path):
+    from lingualake.functions import providers
+    from lingualake.plans import recordings
+
+    words = [("a.wav", 0, "Hello", 0.0, 0.5), ("a.wav", 1, "there.", 0.5, 1.0), ("a.wav", 2, "Yes.", 1.5, 2.0), ("b.wav", 0, "No.", 0.0, 1.0)]
+    spark.createDataFrame(words, "path string, word_idx int, word string, start double, end double").write.parquet(str(tmp_path / "words"))
+    spark.createDataFrame([("a.wav", 0, 0.0, 1.1, "A"), ("a.wav", 1, 1.2, 3.0, "B")], "path string, seg_idx int, start double, end double, speaker string").write.parquet(str(tmp_path / "segments"))
+    providers.precomputed("asr", "stored", str(tmp_path / "words"))
+    providers.precomputed("diarization", "stored", str(tmp_path / "segments"))
+    files = spark.createDataFrame([("a.wav",), ("b.wav",)], "path string")
+    done = spark.createDataFrame([("b.wav", "json"), ("b.wav", "txt")], "path string, kind string")
+    r = recordings.transcribe(files, "stored", "stored", speakers=2, done=done)
+    assert r["texts"].first()["text"] == "A: Hello there.\nB: Yes."
+    n = r["transcriptions"].collect()
+    assert len(n) == 1 and len(n[0]["all_words"]) == 3 and [u["speaker"] for u in n[0]["combined_utterances"]] == ["A", "B"]
+    sinks.write_transcriptions(r["transcriptions"], str(tmp_path / "out"))
+    assert readers.read_transcriptions(spark, str(tmp_path / "out")).count() == 1
+    with pytest.raises(ValueError):
+        providers.get("asr", "nothing")
+
+
+def test_chunks_of_recordings(spark):
+    from lingualake.plans import recordings
+
+    frames = [{"frame": i, "rms": 0.0 if 100 <= i < 220 or 400 <= i < 410 else 0.5, "zcr": 0.0} for i in range(600)]
+    a = spark.createDataFrame([("a", 6.0, frames)], "path string, seconds double, frames array<struct<frame: long, rms: double, zcr: double>>")
+    got = [(r["start_ms"], r["end_ms"]) for r in recordings.chunks(a, 1000, -30.0, 1000, 3000).orderBy("idx").collect()]
+    assert got[0][0] == 0 and got[-1][1] == 6000 and all(x[1] == y[0] for x, y in zip(got, got[1:], strict=False))
