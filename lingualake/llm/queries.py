@@ -59,6 +59,32 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents")).drop("tid")
 
 
+def _op3_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    words = lambda x: "[" + ", ".join(quote(w) for w in sorted(set(licenses.words_of(x)))) + "]"
+    templates = ", ".join(f"({words(t)}, {quote(label)})" for t, label in licenses.TEMPLATES.items())
+    phrases = ", ".join("([" + ", ".join(map(quote, p.split())) + f"], {quote(label)})" for p, label in licenses.BASE.items())
+    split = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, text, {split.format("text")} AS words FROM d),
+phrases(words, label) AS (VALUES {phrases}), templates(words, label) AS (VALUES {templates}),
+b AS (
+  SELECT w.doc_id, p.label, unnest(list_filter(range(0, len(w.words) - len(p.words) + 1), lambda i: w.words[i + 1:i + len(p.words)] = p.words)) AS place FROM w, phrases p WHERE len(w.words) >= len(p.words)
+), bs AS (
+  SELECT doc_id, count(*) AS n, min(place) AS first, max(place) AS last, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY doc_id
+), l AS (
+  SELECT doc_id, list_distinct({split.format("line")}) AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+), m AS (
+  SELECT doc_id, label, len(list_intersect(l.words, t.words)) / len(t.words)::DOUBLE AS share FROM l, templates t WHERE len(list_intersect(l.words, t.words)) * 10 >= 8 * len(t.words)
+), ms AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM m GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word, coalesce(array_to_string(bs.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(ms.labels, [])))), ',') AS labels, greatest(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0))::DOUBLE AS score
+FROM w LEFT JOIN bs ON bs.doc_id = w.doc_id LEFT JOIN ms ON ms.doc_id = w.doc_id
+"""
+
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -125,6 +151,33 @@ SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents
+), t AS (
+  SELECT text, min(doc_id) AS text_id, count(*) AS copies FROM d GROUP BY text
+), w AS (
+  SELECT text_id, copies, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t
+), g AS (
+  SELECT DISTINCT text_id, list_aggregate(words[pos + 1:pos + least(5, len(words))], 'string_agg', ' ') AS gram FROM (SELECT text_id, words, unnest(range(0, greatest(len(words) - 4, least(len(words), 1)))) AS pos FROM w)
+), n AS (
+  SELECT text_id, count(*) AS size FROM g GROUP BY text_id
+), p AS (
+  SELECT a.text_id AS a, b.text_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.text_id <> b.text_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM p JOIN n x ON x.text_id = a JOIN n y ON y.text_id = b WHERE shared * 10 >= 8 * (x.size + y.size - shared)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), c AS (
+  SELECT a AS text_id, least(a, min(b)) AS class_id FROM reach GROUP BY a
+), k AS (
+  SELECT l.a AS text_id, count(*) AS texts, sum(t.copies) AS docs FROM links l JOIN t ON t.text_id = l.b GROUP BY l.a
+)
+SELECT d.doc_id, t.text_id, coalesce(class_id, t.text_id) AS class_id, (coalesce(docs, 0) + copies - 1)::BIGINT AS n_links, coalesce(texts, 0)::BIGINT AS n_text_links
+FROM d JOIN t ON t.text = d.text LEFT JOIN c ON c.text_id = t.text_id LEFT JOIN k ON k.text_id = t.text_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -136,4 +189,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_licenses": _op3_sql(), "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_ngram_join": OP10_SQL}
