@@ -2,23 +2,61 @@
 
 A text is cut at single spaces. Neither tokenizer kind joins anything across a space that stands
 before a visible character, so the ids of a text are those of its pieces, each with the space
-before it; every piece is encoded once by the tokenizers library and then looked up. For
-tokenizers that keep white space, a text holding a piece that is empty or begins or ends with
-white space is encoded whole by the library instead.
+before it. For tokenizers that keep white space, a text holding a piece that is empty or begins or
+ends with white space is encoded whole by the library instead.
+
+A new piece of Latin letters and signs is cut into words by the tokenizer file's own pattern, and
+each new word goes to the library's model; other pieces go through the library as they are. Both
+memories are bounded.
 """
 
 from __future__ import annotations
 
+import array
 import json
 import os
+import sys
 
 ID_BYTES = 4
 
+#: Below this code point letters are Latin, and no normal form or lower case depends on a neighbour.
+LATIN = "ɐ"
+
+#: Marks that stand alone after a word under either pattern.
+MARKS = frozenset(".,;:!?")
+
+
+def _ids(values: list[int]) -> bytes:
+    out = array.array("I", values)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level models use for bytes: printable ones stand for themselves, the others follow from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Words, as the pattern cuts them, to their ids."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        value = self[word] = _ids([t.id for t in tokens])
+        return value
+
 
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    LIMIT = 300_000
+    #: Pieces and words kept, at most.
+    LIMIT, WORDS = 600_000, 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,40 +65,69 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
+        cut = config.get("pre_tokenizer") or {}
+        parts = cut.get("pretokenizers", [cut])
         # A pre-tokenizer that removes what its pattern leaves out drops white space.
-        self.drops_space = '"Removed"' in json.dumps(config.get("pre_tokenizer")) and "\\s" in json.dumps(config.get("pre_tokenizer"))
-        self.first: dict[str, bytes] = {}
+        self.drops_space = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and bool(parts[0].get("invert"))
+        self.special = [t["content"] for t in config.get("added_tokens", [])]
+        self.pattern = self._pattern(config, parts)
+        self.words = _Words(self.tokenizer.model)
+        self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict, pieces: list[str], before: str) -> None:
-        odd = [] if self.drops_space else [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
-        known.update(dict.fromkeys(odd))
-        plain = list(set(pieces).difference(odd))
-        known.update(zip(plain, self._ids([before + p for p in plain]), strict=True))
+    def _pattern(self, config: dict, parts: list[dict]):
+        """The pattern that cuts words, if the file is of one of the two kinds whose steps are known here."""
+        import public_tokenizers
+        import regex
+
+        normal = config.get("normalizer") or {}
+        kinds = [n.get("type") for n in normal.get("normalizers", [])]
+        if config.get("model", {}).get("type") != "BPE" or parts[-1].get("type") != "ByteLevel" or parts[-1].get("add_prefix_space"):
+            return None
+        if not normal and len(parts) == 1 and parts[0].get("use_regex", True):
+            return regex.compile(public_tokenizers.PATTERN)
+        if kinds == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and self.drops_space and not parts[1].get("use_regex", True):
+            return regex.compile(parts[0]["pattern"]["Regex"])
+        return None
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [_ids(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, known: dict, pieces: set[str], before: str) -> None:
+        other, words, lower = [], self.words, self.drops_space
+        if len(words) > self.WORDS:
+            words.clear()
+        get, find = words.__getitem__, self.pattern.findall if self.pattern else None
+        for p in pieces:
+            if not lower and (not p or p[0].isspace() or p[-1].isspace()):
+                known[p] = None
+            elif find is None or not (p.isascii() or max(p) < LATIN and "İ" not in p) or any(s in p for s in self.special):
+                other.append(p)
+            else:
+                s = p.lower() if lower else before + p
+                if p.isalpha():
+                    known[p] = get(s)
+                elif p and p[-1] in MARKS and p[:-1].isalpha():  # a word and a mark, the most usual piece of all
+                    known[p] = get(s[:-1]) + get(s[-1])
+                else:
+                    known[p] = b"".join(map(get, find(s)))
+        known.update(zip(other, self._whole([before + p for p in other]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        if len(self.later) > self.LIMIT:
-            self.later.clear()
-        if len(self.first) > self.LIMIT:
-            self.first.clear()
-        heads = {c[0] for c in cut}
+        for known in (self.first, self.later):
+            if len(known) > self.LIMIT:
+                known.clear()
         rest: set[str] = set()
         for c in cut:
             rest.update(c[1:])
-        self._learn(self.first, list(heads - self.first.keys()), "")
-        self._learn(self.later, list(rest - self.later.keys()), " ")
+        self._learn(self.first, {c[0] for c in cut}.difference(self.first), "")
+        self._learn(self.later, rest.difference(self.later), " ")
         out = []
         for text, c in zip(texts, cut, strict=True):
-            head, get = self.first[c[0]], self.later.__getitem__
-            tail = list(map(get, c[1:]))
+            head, tail = self.first[c[0]], list(map(self.later.__getitem__, c[1:]))
             if head is None or None in tail:
-                out.append(self._ids([text])[0] if text else b"")
+                out.append(self._whole([text])[0] if text else b"")
             else:
                 out.append(head + b"".join(tail))
         return out
