@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The 32 punctuation characters of ASCII.
@@ -154,6 +154,18 @@ def clean_token(c: Column | str) -> Column:
     return F.when(out == "", F.lit(None)).otherwise(out)
 
 
+def clean_tokens(rows: DataFrame, token: str = "token", model: bool = False) -> DataFrame:
+    """Rows with cleaned tokens, by the subword cleaner or the plain one; rows whose token is nothing are dropped."""
+    cleaned = clean_model_token(token) if model else clean_token(token)
+    return rows.withColumn(token, cleaned).filter(F.col(token).isNotNull())
+
+
+def processed_text(tokens: Column, normalized: Column | None = None) -> Column:
+    """Normal forms as a text where there are any, else the tokens."""
+    own = tokens if normalized is None else F.when(F.size(normalized) > 0, normalized).otherwise(tokens)
+    return F.array_join(own, " ")
+
+
 def is_punctuation_token(c: Column | str) -> Column:
     core = strip(F.replace(col(c), F.lit(WORD_START), F.lit("")))
     return col(c).isin(*SPECIAL_TOKENS) | (F.translate(core, PUNCTUATION, "") == "")

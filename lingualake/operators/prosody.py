@@ -117,14 +117,37 @@ def intervals_at(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame
 
 
 def phone_durations(syllables: DataFrame, phones: DataFrame, key: str) -> DataFrame:
-    """Onset, vowel and rhyme of syllables (key, idx, start, end) from phones (key, start, end, is_vowel) inside them."""
-    p = phones.select(key, F.col("start").alias("p_start"), F.col("end").alias("p_end"), "is_vowel")
-    inside = syllables.join(p, key).filter((F.col("p_start") >= F.col("start")) & (F.col("p_end") <= F.col("end")))
-    v = inside.groupBy(key, "idx").agg(F.min(F.when(F.col("is_vowel"), F.col("p_start"))).alias("v_start"), F.max(F.when(F.col("is_vowel"), F.col("p_end"))).alias("v_end"))
+    """Onset, vowel and rhyme of syllables (key, idx, start, end) from phones (key, start, end, is_vowel) inside them.
+
+    A phone belongs to the syllable that holds its start, if it ends there too.
+    """
+    tier = syllables.select(key, "start", "end", F.struct("idx", F.col("end").alias("till")).alias("label"))
+    points = phones.select(key, F.col("start").alias("at"), F.col("end").alias("p_end"), "is_vowel")
+    inside = intervals_at(points, tier, key).filter("is_vowel AND p_end <= label.till")
+    v = inside.groupBy(key, F.col("label.idx").alias("idx")).agg(F.min("at").alias("v_start"), F.max("p_end").alias("v_end"))
     out = syllables.join(v, [key, "idx"], "left")
     return out.select(key, "idx", (F.col("v_start") - F.col("start")).alias("onset_dur"), (F.col("v_end") - F.col("v_start")).alias("vowel_dur"), (F.col("end") - F.col("v_start")).alias("rhyme_dur"))
 
 
+def glissando(nuclei: DataFrame, threshold: float = 0.32) -> DataFrame:
+    """nuclei (start, end, pitch_start, pitch_end in Hz) with the slope in semitones a second, and whether it is heard as a glide.
+
+    A movement is heard when its rate is at least threshold / T^2, T being its duration.
+    """
+    t = F.col("end") - F.col("start")
+    slope = F.when((t > 0) & (F.col("pitch_start") > 0) & (F.col("pitch_end") > 0), semitones(F.col("pitch_end"), F.col("pitch_start")) / t)
+    n = nuclei.withColumn("slope", slope)
+    return n.withColumn("is_glide", F.coalesce(F.abs("slope") >= threshold / (t * t), F.lit(False)))
+
+
+def normalized_pitch(pitches: DataFrame, key: str, value: str, band: float = PITCH_BAND) -> DataFrame:
+    """pitches with pitch_percent: the place in semitones inside the speaker's range, 0 at its 2nd and 100 at its 98th percentile."""
+    r = pitch_range(pitches, key, value, band).select(key, "p02", "range_semitones")
+    place = 100 * semitones(F.col(value).cast("double"), F.col("p02")) / F.col("range_semitones")
+    joined = pitches.join(r, key, "left")
+    return joined.withColumn("pitch_percent", F.when((F.col(value) > 0) & (F.col("range_semitones") > 0), place)).drop("p02", "range_semitones")
+
+
 def hesitations(phones: DataFrame, least: float = 0.3) -> DataFrame:
     """Phones that last `least` or more with a level or slightly falling tone (intra, semitones)."""
     return phones.filter((F.col("end") - F.col("start") >= least) & (F.col("intra") > -3) & (F.col("intra") <= 0))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import providers
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import aggregate, lm, prosody, randomness, segment, similarity, speech, topics
@@ -770,3 +771,40 @@ def pitch_range(t):
 def tier_labels(t):
     points = timed(t).select("file_id", F.col("word_idx").alias("idx"), F.col("start").alias("at"))
     return prosody.intervals_at(points, segments(t).withColumnRenamed("speaker", "label"), "file_id").select("file_id", "idx", "label")
+
+
+@query(f"""WITH n AS (SELECT file_id, word_idx AS idx, start, start + (stop - start) * 0.9 AS fin, stop - start AS d FROM ({TIMED_SQL}))
+  SELECT file_id, idx, round(d * 0.2, 3) AS onset_dur, round(d * 0.4, 3) AS vowel_dur, round(d * 0.7, 3) AS rhyme_dur FROM n""")
+def phone_durations(t):
+    d = F.col("end") - F.col("start")
+    syllables = timed(t).select("file_id", F.col("word_idx").alias("idx"), "start", (F.col("start") + d * 0.9).alias("end"))
+    parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z"), F.lit(v).alias("v")) for a, z, v in ((0.0, 0.2, False), (0.2, 0.6, True), (0.6, 0.8, False))])
+    phones = timed(t).select("file_id", "start", d.alias("d"), F.explode(parts).alias("p"))
+    phones = phones.select("file_id", (F.col("start") + F.col("d") * F.col("p.a")).alias("start"), (F.col("start") + F.col("d") * F.col("p.z")).alias("end"), F.col("p.v").alias("is_vowel"))
+    out = prosody.phone_durations(syllables, phones, "file_id")
+    return out.select("file_id", "idx", *[F.round(c, 3).alias(c) for c in ("onset_dur", "vowel_dur", "rhyme_dur")])
+
+
+@query(f"""WITH n AS (SELECT *, stop - start AS d, 12 * log2((100 + word_idx % 5 * 10) / 100.0::DOUBLE) / (stop - start) AS slope FROM ({TIMED_SQL}))
+  SELECT file_id, word_idx, round(slope, 4) AS slope, coalesce(abs(slope) >= 0.32 / (d * d), false) AS is_glide FROM n""")
+def glissando(t):
+    n = timed(t).withColumn("pitch_start", F.lit(100.0)).withColumn("pitch_end", 100.0 + F.col("word_idx") % 5 * 10)
+    return prosody.glissando(n).select("file_id", "word_idx", F.round("slope", 4).alias("slope"), "is_glide")
+
+
+@query("""WITH p AS (SELECT user_id AS file_id, event_id, value AS hz FROM events), m AS (SELECT file_id, median(hz) AS mid FROM p WHERE hz > 0 GROUP BY file_id), r AS (SELECT file_id, quantile_cont(hz, 0.02) AS lo, quantile_cont(hz, 0.98) AS hi FROM p JOIN m USING (file_id) WHERE hz > 0 AND abs(12 * log2(hz / mid)) <= 18 GROUP BY file_id)
+  SELECT file_id, event_id, CASE WHEN hz > 0 AND hi > lo THEN round(100 * (12 * log2(hz / lo)) / (12 * log2(hi / lo)), 6) END AS pitch_percent FROM p LEFT JOIN r USING (file_id)""")
+def normalized_pitch(t):
+    p = t("events").select(F.col("user_id").alias("file_id"), "event_id", "value")
+    return prosody.normalized_pitch(p, "file_id", "value").select("file_id", "event_id", r6("pitch_percent").alias("pitch_percent"))
+
+
+@query(f"SELECT doc_id, pos::INT AS pos, list_transform([0, 1, 2, 3], lambda k: round(('0x' || substr(md5(token || '|' || k), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1, 6)) AS vec FROM ({TOKENS_SQL})")
+def hash_embedding(t):
+    vec = providers.get("embedder", "hash")(F.col("token"), 4)
+    return tokens(t).select("doc_id", "pos", F.transform(vec, lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query(f"SELECT doc_id, pos::INT AS pos, nullif({STRIP_SQL.format('token')}, '') AS token FROM ({PIECES_SQL}) WHERE {STRIP_SQL.format('token')} <> ''")
+def token_clean_filter(t):
+    return T.clean_tokens(pieces(t))
