@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import WordHashes, id_ranges, mix64, partitions_for, rolling
 
@@ -321,7 +322,8 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     names = docs.columns
     carried = F.struct(*[F.col(c) for c in names if c != "text"]).alias("carried_row")
     was_null = F.col("text").isNull().alias("carried_null")
-    kind = docs.select(carried).schema[0].dataType
+    # Every field nullable, as what comes back from Python is.
+    kind = StructType.fromDDL(f"carried {docs.select(carried).schema[0].dataType.simpleString()}")[0].dataType
 
     def make(text: str, found: list, more: tuple) -> tuple:
         row, null = more
