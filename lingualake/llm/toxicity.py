@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_weight:
     lexicon = Lexicon(weights)
 
     def pairs(folded: str) -> set[str]:
-        at, words = 0, folded.split()
+        at, words = 1, folded.split()  # folded text begins with a space
         starts = {}
         for i, w in enumerate(words):
             starts[at] = i

@@ -18,7 +18,9 @@ def corpus(n=600):
         if toxic:
             for _ in range(rng.randint(1, 4)):
                 words.insert(rng.randrange(len(words)), rng.choice(bad[:2]) if i % 2 else bad[2] + rng.choice(["ness", "er", "ly", "mo"]))
-        elif i % 4 == 1:
+            if i % 2:
+                words.insert(1, bad[1])
+        elif i % 96 == 1:  # seldom and in one phrase only
             words.insert(3, kind[1])
         out.append((i, " ".join(words), "en", "s", 1))
         labels.append((i, int(toxic)))
