@@ -38,6 +38,14 @@ SHARD = 1 << 20
 ROUNDS, PER_ROUND, LEAST = 5, 3000, 8
 
 
+#: Bits of a hash slot of a pair.
+SLOTS = 18
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> bytes:
     """ids (unsigned, below 2**31) as a payload."""
     seq = np.array(ids, np.uint32)
@@ -55,16 +63,24 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND,
             break
         if len(often) > per_round:
             often = often[np.argsort(-n[often], kind="stable")[:per_round]]
-        chosen = np.sort(order[edge[often]])
-        at = np.searchsorted(chosen, pairs)
-        at[at == len(chosen)] = 0
+        # Pairs are found by hash slots; of pairs in one slot the most frequent is taken, the others wait a round.
+        often = often[np.argsort(-n[often], kind="stable")]
+        slot = _slot(order[edge[often]])
+        _, once = np.unique(slot, return_index=True)
+        often = often[np.sort(once)]
+        chosen = order[edge[often]]
+        table = np.zeros(1 << SLOTS, np.int64)
+        table[_slot(chosen)] = np.arange(len(chosen))
+        at = table[_slot(pairs)]
         hit = np.flatnonzero(chosen[at] == pairs)
         # In a run of overlapping occurrences every other one is replaced, from the left.
         run = np.cumsum(np.concatenate(([True], np.diff(hit) != 1))) - 1
         begin = np.flatnonzero(np.concatenate(([True], np.diff(run) != 0)))
         hit = hit[(np.arange(len(hit)) - begin[run]) % 2 == 0]
-        used, symbol = np.unique(at[hit], return_inverse=True)
-        seq[hit] = top + symbol.astype(np.uint32)
+        own = at[hit]
+        used = np.bincount(own, minlength=len(chosen)) > 0
+        seq[hit] = (top + np.cumsum(used) - 1).astype(np.uint32)[own]
+        used = np.flatnonzero(used)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
