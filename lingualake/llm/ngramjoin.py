@@ -171,9 +171,8 @@ def _verified(threshold: float):
     return verified
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs (doc_id, text) to a row for each: doc_id, tid (digest of its text), text_id (least id with that text),
-    class_id (least id of its class), n_links (other documents that are similar, copies too) and n_text_links (other texts)."""
+def _joined(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """What join() gives, and root: the least tid of the class, which names it whatever the ids."""
     spark = docs.sparkSession
     short_batches(spark)
     bands, rows = choose_bands(threshold, recall)
@@ -204,8 +203,14 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     first = info.filter("links IS NOT NULL").groupBy("root").agg(F.min("text_id").alias("class_id"), F.max(F.col("text_id").isNull()).alias("no_id"))
     info = info.join(first, "root", "left")
     class_id = F.when(F.col("no_id"), F.lit(None)).otherwise(F.coalesce("class_id", "text_id"))
-    info = info.select("tid", "text_id", class_id.alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links"))
-    return signed.select("doc_id", "tid").join(info, "tid").select("doc_id", "tid", "text_id", "class_id", "n_links", "n_text_links")
+    info = info.select("tid", "root", "text_id", class_id.alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_text_links"))
+    return signed.select("doc_id", "tid").join(info, "tid").select("doc_id", "tid", "text_id", "class_id", "n_links", "n_text_links", "root")
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs (doc_id, text) to a row for each: doc_id, tid (digest of its text), text_id (least id with that text),
+    class_id (least id of its class), n_links (other documents that are similar, copies too) and n_text_links (other texts)."""
+    return _joined(docs, n, threshold, recall).drop("root")
 
 
 def _repeated(signed: DataFrame) -> bool:
@@ -214,9 +219,10 @@ def _repeated(signed: DataFrame) -> bool:
 
 
 def dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs with one document of each class: that of the least id, and of its texts the least digest; columns unchanged."""
-    found = written(join(docs, n, threshold, recall), "near")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("tid").alias("_tid")).select(F.col("class_id").alias("_id"), "_tid")
+    """docs with one document of each class: that of the least id (null first), and of its texts the least digest; columns
+    unchanged. Classes are told apart by their root, as ids may be null or repeat."""
+    found = written(_joined(docs, n, threshold, recall).select("doc_id", "tid", "root"), "near")
+    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "tid")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.tid").alias("_tid"))
     names = docs.columns
     digest = F.md5(F.lower(F.coalesce("text", F.lit(""))).cast("binary"))
     rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), digest.alias("_digest"))

@@ -71,6 +71,16 @@ def test_dedup_keeps_one_of_each_class(spark):
     assert sorted(kept, key=repr) == sorted(want, key=repr)
 
 
+def test_dedup_keeps_a_row_of_each_class_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*words[:k], "x", *words[k + 1 :]])
+    texts = [(None, "one text without id"), (None, "another without id"), (None, "ANOTHER without id"), (None, "a third without id"), (5, "text under five"), (5, "other text under five"), (5, "Text under five"), (7, near(0)), (None, near(59)), (8, "alone"), (9, None), (None, "")]
+    data = [(i, t, "en", "s", 1) for i, t in texts]
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in J.dedup(documents(spark, data, clash=True)).collect()]
+    want = [(None, "one text without id"), (None, "another without id"), (None, "a third without id"), (5, "text under five"), (5, "other text under five"), (None, near(59)), (8, "alone"), (None, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.6, 0.99), (0.9, 0.999)):
         bands, r = J.choose_bands(threshold, recall)
