@@ -1,19 +1,23 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document. It meets a template when it holds at least `threshold` of the
-template's distinct words. The words are put in one global order, rarest first by the number of
+A block is a line of a document, or a passage of consecutive words that goes on over line breaks,
+as hard-wrapped notices do: at most as many words as the template has, divided by `threshold`, on
+lines none of which meets the template by itself. It meets a template when it holds at least
+`threshold` of the template's distinct words. The words are put in one global order, rarest first by the number of
 documents that hold them (counted over all documents; ties by the word). By the prefix principle
 a block that meets a template shares one of the first |T| - need + 1 words of the template in that
 order, need being the least overlap; so an index over those few rare words finds all candidates.
 The length filter drops blocks with fewer than `need` distinct words; the positional filter drops
 candidates whose remaining template words can't reach `need` any more; what is left is counted in
-full. Nothing is approximate.
+full. A text goes through these filters as a whole first, and passages are looked for with the
+templates that it meets. Nothing is approximate.
 
 The base places are where the words of a phrase stand consecutively. Templates and phrases are a
 fixed, small list, so what is sent to the executors is bounded.
 
 Edge cases: null and empty texts have no words, no places and no labels; repeated rows are scanned
-each; extra columns are left out; a very long line is one block.
+each; extra columns are left out; a very long line is one block; lines without words (blank ones,
+comment marks) don't end a passage.
 """
 
 from __future__ import annotations
@@ -70,12 +74,14 @@ class Scanner:
     def __init__(self, order: dict[str, int], threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES):
         self.index: dict[str, list[tuple[int, int]]] = {}
         self.templates = []
+        self.spans: list[int] = []
         for text, label in templates.items():
             own = sorted(set(words_of(text)), key=lambda w: (order.get(w, 0), w))
             need = -(-len(own) * int(threshold * 1000) // 1000)
             for at, w in enumerate(own[: len(own) - need + 1]):
                 self.index.setdefault(w, []).append((len(self.templates), at))
             self.templates.append((own, need, label))
+            self.spans.append(len(words_of(text)) * 1000 // int(threshold * 1000))
         self.rare = frozenset(self.index)
         self.base = [(phrase.split(), label) for phrase, label in BASE.items()]
 
@@ -94,6 +100,34 @@ class Scanner:
                     out.append((t, both / len(own)))
         return out
 
+    def passages(self, t: int, lines: list[list[str]], alone: set[int]) -> list[tuple[int, float]]:
+        """Passages over line breaks that meet template t, with the line they begin on and their share; of those that overlap the best."""
+        own, need, _ = self.templates[t]
+        wanted, span, at = set(own), self.spans[t], 0
+        hits: list[tuple[int, int, str]] = []  # (place, line, word); places jump where a line meets t by itself
+        for k, words in enumerate(lines):
+            if k in alone:
+                at += span
+                continue
+            hits += [(at + i, k, w) for i, w in enumerate(words) if w in wanted]
+            at += len(words)
+        met, inside, left = [], Counter(), 0
+        for right, (place, k, w) in enumerate(hits):
+            inside[w] += 1
+            while hits[left][0] <= place - span:
+                gone = hits[left][2]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                left += 1
+            if len(inside) >= need and hits[left][1] != k:
+                met.append((-len(inside), right - left, left, right))
+        out: list[tuple[int, int, int]] = []
+        for n, _, a, b in sorted(met):
+            if all(b < x or y < a for _, x, y in out):
+                out.append((-n, a, b))
+        return [(hits[a][1], n / len(own)) for n, a, _ in sorted(out, key=lambda x: x[1])]
+
     def scan(self, text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, str, float]]]:
         """Number of words; base places (word, label); blocks that meet a template (line, label, share)."""
         words = words_of(text)
@@ -110,9 +144,17 @@ class Scanner:
                     if words[at : at + len(phrase)] == phrase:
                         places.append((at, label))
         found = []
-        if self.block(have):  # a line can't meet a template that the whole text doesn't
-            for k, line in enumerate(text.split("\n")):
-                found += [(k, self.templates[t][2], x) for t, x in self.block(set(words_of(line)))]
+        whole = self.block(have)  # neither a line nor a passage can meet a template that the whole text doesn't
+        if whole:
+            lines = [words_of(line) for line in text.split("\n")]
+            alone: dict[int, set[int]] = {}
+            for k, line in enumerate(lines):
+                for t, x in self.block(set(line)):
+                    found.append((k, self.templates[t][2], x))
+                    alone.setdefault(t, set()).add(k)
+            for t, _ in whole:
+                found += [(k, self.templates[t][2], x) for k, x in self.passages(t, lines, alone.get(t, set()))]
+            found.sort(key=lambda x: x[0])
         return len(words), places, found
 
 

@@ -48,6 +48,38 @@ def test_scan_matches_brute_force(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def wrapped(text, width, mark=""):
+    """text broken after every `width` words, each line behind a comment mark."""
+    w = text.split()
+    return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
+def test_wrapped_notices_are_met(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    data = [(1, "Some words.\n\n" + mit, "en", "s", 1), (2, "der berge mit allen\n" * 40 + "licensed under the apache license version 2.0", "en", "s", 1)]
+    data += [(10 * k + width, f"First line\n{wrapped(t, width, mark)}\nand so on", "en", "s", 1) for k, t in enumerate(licenses.TEMPLATES, 1) for width, mark in ((1, ""), (3, " * "), (4, "# "), (7, "\n"))]
+    data += [(1000, "this work is licensed\n" + "x " * 14 + "\nunder the GNU General Public License, version 3", "en", "s", 1), (1001, "MIT\nReleased under the\nLicense\nReleased under a MIT License.\nThe", "en", "s", 1)]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, data, clash=True)).collect()}
+    for i, text, *_ in data:
+        lines = [w for w in map(licenses.words_of, text.split("\n")) if w]
+        words = [(w, k) for k, line in enumerate(lines) for w in line]
+        labels, best = set(filter(None, got[i]["base_labels"].split(","))), 1.0 if got[i]["n_base"] else 0.0
+        for template, label in licenses.TEMPLATES.items():
+            own, span = set(licenses.words_of(template)), int(len(licenses.words_of(template)) / 0.8)
+            share = lambda w: len(own & set(w)) / len(own)  # noqa: B023, E731
+            alone = {k for k, line in enumerate(lines) if share(line) >= 0.8}
+            runs = [words[a : a + span] for a in range(len(words))]
+            runs = [r[:n] for r in runs for n in range(1, len(r) + 1) if not alone & {k for _, k in r[:n]}]
+            shares = [x for x in [share(lines[k]) for k in alone] + [share([w for w, _ in r]) for r in runs] if x >= 0.8]
+            if shares:
+                labels.add(label)
+                best = max(best, *shares)
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(labels)), best), text
+    assert got[1]["labels"] == "mit" and got[1]["score"] == 1.0 and [b["line"] for b in got[1]["blocks"]] == [2]
+    assert got[2]["labels"] == "apache,apache-2.0"
+    assert all(label in got[10 * k + width]["labels"].split(",") for k, label in enumerate(licenses.TEMPLATES.values(), 1) for width in (1, 3, 4, 7))
+
+
 def fill(sizes, weights=(1, 2, 3), epochs=3):
     """Targets by repeated clamping."""
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
