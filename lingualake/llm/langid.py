@@ -4,7 +4,8 @@ Four kinds of evidence about a page are put together as log probabilities of the
 
 * its visible text, under hashed character-trigram models trained on labelled documents (a bounded
   sample, `max_docs`, chosen by a hash of the id, an equal share of each language);
-* the language its markup declares (the lang attribute of html);
+* the language its markup declares (the lang attribute of the first html tag that has one, wherever
+  it stands outside comments and scripts);
 * the suffix of its address (a language code that opens the path, else the last label of the host);
 * its host, as a prior: counts of the host's pages by language, smoothed towards those of its
   domain (the last two labels), and these towards all pages.
@@ -40,14 +41,28 @@ PRIOR, ADDED, TEMPER = 4.0, 0.5, 4.0
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.S | re.I)
 _NAV = re.compile(r"<(nav|header|footer|aside)\b.*?</\1\s*>|<div[^>]*\bclass=[\"']ad[\"'][^>]*>.*?</div>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+_HTML = re.compile(r"<html\b([^>]*)", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 _ADDRESS = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?(?:/([^/?#]*))?([^?#]*)", re.I)
 _NUMBER = re.compile(r"(\d{1,18})(?:\.\w+)?/?$")
 
 
+def shown(page: str) -> str:
+    """Markup of a page without scripts, styles and comments."""
+    return _HIDDEN.sub(" ", page)
+
+
 def visible(page: str) -> str:
-    """Text of a page without scripts, styles, comments, navigation and advertisements."""
-    return markup.unescape(_TAG.sub(" ", _NAV.sub(" ", _HIDDEN.sub(" ", page))))
+    """Text of shown markup without navigation and advertisements."""
+    return markup.unescape(_TAG.sub(" ", _NAV.sub(" ", page)))
+
+
+def declared(page: str) -> str:
+    """Language that shown markup declares, or an empty string. Tags don't overlap, so this is linear."""
+    for tag in _HTML.finditer(page):
+        if found := _LANG.search(tag[1]):
+            return found[1].lower()
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -108,13 +123,13 @@ def _read(model: Model):
         for b in batches:
             rows: list[tuple] = []
             for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                m, d = _ADDRESS.match(url), _LANG.search(page[:4096])
+                m, page = _ADDRESS.match(url), shown(page)
                 host = m[1].lower() if m else ""
                 labels = host.split(".")
                 first = (m[2] or "").lower() if m else ""
                 number = _NUMBER.search((m[2] or "") + m[3]) if m else None
                 suffix = f"/{first[:2]}" if re.fullmatch(r"[a-z]{2}(-[a-z]{2})?", first) else f".{labels[-1]}" if host else ""
-                rows.append((int(number[1]) if number else None, host, ".".join(labels[-2:]), d[1].lower() if d else "", suffix, model.evidence(visible(page))))
+                rows.append((int(number[1]) if number else None, host, ".".join(labels[-2:]), declared(page), suffix, model.evidence(visible(page))))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64())]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)

@@ -142,3 +142,13 @@ def test_language_of_pages(spark):
     assert langid.identify(df.limit(0), model).count() == 0
     none = langid.train(documents(spark, []))
     assert {r["lang"] for r in langid.identify(df, none).collect()} == {None}
+
+
+def test_declaration_is_found_anywhere_in_the_markup(spark):
+    model = langid.Model([], None)
+    long = "x " * 4000
+    before = ["", f"<!-- {long} -->", f"<script>var a = '<html lang=\"fr\">{long}';</script>", " \n" * 4000, f"<!--[if IE]><html lang='fr'>{long}<![endif]-->", f"<!--[if !IE]>{long}<!-->", "<!doctype html><html class='no'>" + long]
+    pages = [(i, "http://a.example.com/", f"{b}<HTML class='y' lang='de'><body>p</body></html>") for i, b in enumerate(before)] + [(50, "http://a.example.com/", long + "<p lang='de'>")]
+    got = {r["page_id"]: r["declared"] for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    assert got == {**{i: "de" for i in range(len(before))}, 50: ""}
+    assert langid.declared("<html " * 200_000) == ""
