@@ -3,7 +3,8 @@
 Four kinds of evidence about a page are put together as log probabilities of the languages:
 
 * its visible text, under hashed character-trigram models trained on labelled documents (a bounded
-  sample, `max_docs`, chosen by a hash of the id, an equal share of each language);
+  sample, `max_docs`, chosen by a hash of the id, an equal share of each language); all languages are
+  learned, and more than `max_languages` are an error;
 * the language its markup declares (the lang attribute of the first html tag that has one, wherever
   it stands outside comments and scripts);
 * the suffix of its address (a language code that opens the path, else the last label of the host);
@@ -91,11 +92,14 @@ class Model:
         return (total - total.max()).tolist()
 
 
-def train(docs: DataFrame, max_docs: int = 4000) -> Model:
-    """A model from docs (doc_id, text, lang); max_docs bounds the sample."""
+def train(docs: DataFrame, max_docs: int = 4000, max_languages: int = 256) -> Model:
+    """A model from docs (doc_id, text, lang); max_docs bounds the sample. Every language is learned; where there are more
+    than max_languages, a row of BUCKETS numbers for each would not fit the workers, and a ValueError says so."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
     languages = sorted(n)
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} values of lang: clean the labels or raise max_languages")
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, max_docs / len(languages) / n[k]))])

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lingualake.llm import langid, licenses, mixing
@@ -152,3 +153,14 @@ def test_declaration_is_found_anywhere_in_the_markup(spark):
     got = {r["page_id"]: r["declared"] for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
     assert got == {**{i: "de" for i in range(len(before))}, 50: ""}
     assert langid.declared("<html " * 200_000) == ""
+
+
+def test_every_language_is_learned(spark):
+    text = lambda k: " ".join(chr(0x4E00 + 40 * k + (7 * i) % 40) * 3 for i in range(60))
+    docs = documents(spark, [(1000 * k + i, text(k), f"l{k:02}", "s", 1) for k in range(70) for i in range(1 if k == 69 else 2)])
+    model = langid.train(docs)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    pages = spark.createDataFrame([(k, f"http://h{k}.example.org/", f"<html><p>{text(k)}</p></html>") for k in (0, 41, 69)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["lang"] for r in langid.identify(pages, model).collect()} == {0: "l00", 41: "l41", 69: "l69"}
+    with pytest.raises(ValueError, match="more than 69"):
+        langid.train(docs, max_languages=69)
