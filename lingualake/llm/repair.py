@@ -3,14 +3,15 @@
 Documents are tokenised in ascending doc_id order and cut into shards of about SHARD tokens. In
 each, rounds replace frequent pairs of neighbouring symbols by new symbols: a round counts all
 pairs, takes the most frequent ones and replaces their occurrences from left to right, where two
-overlap the earlier. A rule's symbols come from earlier rounds, so decoding expands round by round
-with array operations. Rules and, through them, the lengths of expansions are stored, so a range of
-positions is decoded without the rest.
+overlap the earlier, until no pair occurs LEAST times. A rule's symbols come from earlier rounds, so decoding expands round by round
+with array operations. Rules, the lengths of their expansions and the place of every STEP-th symbol
+are stored, so a range of positions is decoded without the rest.
 
 File format: Parquet rows (part, shard, doc_ids, lengths, payload), written by Spark to a path that
-all machines reach. payload: b"RPG1", then little-endian unsigned 32-bit integers: number of
-tokens, first symbol that is no token, number of rounds, rules by round; then the rules as pairs
-and the symbols of the shard, 16 bits each if all symbols fit, else 32.
+all machines reach. payload: b"RPG2", then little-endian unsigned 32-bit integers: number of
+tokens, first symbol that is no token, bytes of a length (2 or 4), number of rounds, number of
+places, rules by round, tokens before every STEP-th symbol; then the rules' lengths; then the rules
+as pairs and the symbols of the shard, 16 bits each if all symbols fit, else 32.
 
 Edge cases: a null or empty text is the end id alone; rows with one doc_id follow each other by
 text; null ids come first; an empty table gives empty files; extra columns are left out.
@@ -30,12 +31,15 @@ from pyspark.sql.window import Window
 from .common import partitions_for, short_batches
 from .tokens import ID_BYTES, encoder
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 
 #: Tokens of a shard, about; a longer document is a shard of its own.
 SHARD = 1 << 20
 
-ROUNDS, PER_ROUND, LEAST = 5, 3000, 8
+PER_ROUND, LEAST = 3000, 8
+
+#: Symbols from one stored place to the next.
+STEP = 1024
 
 
 #: Bits of a hash slot of a pair.
@@ -46,14 +50,20 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> bytes:
-    """ids (unsigned, below 2**31) as a payload."""
+def _lengths(symbols: np.ndarray, first: int, sizes: np.ndarray) -> np.ndarray:
+    """Tokens that symbols stand for, given those of the rules."""
+    out = np.ones(symbols.shape, np.int64)
+    rule = symbols >= first
+    out[rule] = sizes[symbols[rule] - first]
+    return out
+
+
+def compress(ids: np.ndarray, per_round: int = PER_ROUND, least: int = LEAST) -> bytes:
+    """ids (unsigned, below 2**31) as a payload; ends when no pair occurs `least` (2 or more) times."""
     seq = np.array(ids, np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 0
-    top, rules, by_round = first, [], []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    top, rules, by_round, sizes = first, [], [], np.zeros(0, np.int64)
+    while len(seq) > 1:  # every round shortens seq
         pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         order = np.sort(pairs)
         edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
@@ -85,11 +95,15 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND,
         keep[hit + 1] = False
         seq = seq[keep]
         rules.append(np.column_stack(((chosen[used] >> np.uint64(32)), chosen[used] & np.uint64(0xFFFFFFFF))).astype("<u4"))
+        sizes = np.append(sizes, _lengths(rules[-1], first, sizes).sum(axis=1))
         by_round.append(len(used))
         top += len(used)
     width = "<u2" if top <= 1 << 16 else "<u4"
-    head = np.array([len(ids), first, len(by_round), *by_round], "<u4")
-    return MAGIC + head.tobytes() + b"".join(r.astype(width).tobytes() for r in rules) + seq.astype(width).tobytes()
+    ends = np.cumsum(_lengths(seq, first, sizes))
+    places = (ends - _lengths(seq, first, sizes))[::STEP]
+    size = 2 if sizes.max(initial=0) < 1 << 16 else 4
+    head = np.array([len(ids), first, size, len(by_round), len(places), *by_round, *places], "<u4")
+    return MAGIC + head.tobytes() + sizes.astype(f"<u{size}").tobytes() + b"".join(r.astype(width).tobytes() for r in rules) + seq.astype(width).tobytes()
 
 
 class Shard:
@@ -98,24 +112,19 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC:
             raise ValueError("not a grammar shard")
-        self.tokens, self.first, rounds = (int(x) for x in np.frombuffer(payload, "<u4", 3, 4))
-        by_round = np.frombuffer(payload, "<u4", rounds, 16)
+        self.tokens, self.first, length, rounds, places = (int(x) for x in np.frombuffer(payload, "<u4", 5, 4))
+        by_round = np.frombuffer(payload, "<u4", rounds, 24)
+        #: Tokens before every STEP-th symbol.
+        self.places = np.frombuffer(payload, "<u4", places, 24 + 4 * rounds).astype(np.int64)
         self.bounds = [self.first, *(self.first + np.cumsum(by_round, dtype=np.int64)).tolist()]
         width = "<u2" if self.bounds[-1] <= 1 << 16 else "<u4"
-        n, at = self.bounds[-1] - self.first, 16 + 4 * rounds
+        n, at = self.bounds[-1] - self.first, 24 + 4 * (rounds + places)
+        #: Tokens that each rule stands for.
+        self.sizes = np.frombuffer(payload, f"<u{length}", n, at).astype(np.int64)
+        at += n * length
         size = np.dtype(width).itemsize
         self.rules = np.frombuffer(payload, width, 2 * n, at).reshape(n, 2).astype(np.uint32)
         self.symbols = np.frombuffer(payload, width, offset=at + 2 * n * size).astype(np.uint32)
-        #: Tokens that each rule stands for.
-        self.sizes = np.zeros(n, np.int64)
-        for lo, hi in zip(self.bounds, self.bounds[1:], strict=False):
-            self.sizes[lo - self.first : hi - self.first] = self._size(self.rules[lo - self.first : hi - self.first]).sum(axis=1)
-
-    def _size(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(symbols.shape, np.int64)
-        rule = symbols >= self.first
-        out[rule] = self.sizes[symbols[rule] - self.first]
-        return out
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         for lo in reversed(self.bounds[:-1]):
@@ -139,10 +148,12 @@ class Shard:
         start, stop = max(0, start), min(stop, self.tokens)
         if start >= stop:
             return np.empty(0, np.uint32)
-        ends = np.cumsum(self._size(self.symbols))
+        lo, hi = int(np.searchsorted(self.places, start, "right")) - 1, int(np.searchsorted(self.places, stop, "left"))
+        near = self.symbols[lo * STEP : hi * STEP]
+        ends = self.places[lo] + np.cumsum(_lengths(near, self.first, self.sizes))
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
-        before = int(ends[a - 1]) if a else 0
-        return self._expand(self.symbols[a : b + 1])[start - before : stop - before]
+        before = int(ends[a - 1]) if a else int(self.places[lo])
+        return self._expand(near[a : b + 1])[start - before : stop - before]
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, shard: int = SHARD) -> None:

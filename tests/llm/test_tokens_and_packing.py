@@ -103,3 +103,22 @@ def test_pack_query(spark):
     for r in got:
         size[r["sequence_id"]] = size.get(r["sequence_id"], 0) + r["length"]
     assert all(n <= 4096 and (n & (n - 1)) == 0 for n in size.values())
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent(monkeypatch):
+    rng = np.random.RandomState(5)
+    passage = rng.randint(0, 5000, 700)
+    ids = np.concatenate([x for _ in range(20) for x in (passage, rng.randint(0, 5000, 150))] + [np.full(900, 7)]).astype(np.uint32)
+    shard = repair.Shard(repair.compress(ids))
+    pairs = (shard.symbols[:-1].astype(np.uint64) << np.uint64(32)) | shard.symbols[1:]
+    assert np.unique(pairs, return_counts=True)[1].max() < repair.LEAST
+    assert (shard.decode() == ids).all() and shard.sizes.max() > 32
+    assert [len(shard._expand(np.array([shard.first + k], np.uint32))) for k in range(len(shard.sizes))] == shard.sizes.tolist()
+    monkeypatch.setattr(repair, "STEP", 16)
+    shard = repair.Shard(repair.compress(ids))
+    looked, lengths = [], repair._lengths
+    monkeypatch.setattr(repair, "_lengths", lambda symbols, *a: looked.append(len(symbols)) or lengths(symbols, *a))
+    for a, b in [(0, 1), (0, len(ids)), (len(ids) - 1, len(ids) + 5), (5, 5), *(sorted(rng.randint(0, len(ids), 2)) for _ in range(300))]:
+        looked.clear()
+        assert (shard.slice(a, b) == ids[a:b]).all()
+        assert sum(looked) <= max(0, b - a) + 2 * 16
