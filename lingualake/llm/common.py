@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that go to a Python worker; texts may be long, so batches stay short.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch that goes to a Python worker. Every operator asks for the same, so the order in which
+#: plans are made and run doesn't matter.
+ARROW_ROWS, ARROW_BYTES = 5000, 4 << 20
 
 #: Bytes of document text that one task of a Python stage should get.
 TASK_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes a folder
+    of its own, and a cluster is an error, as its machines share no temporary folder."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "/tmp/lingualake-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        conf = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lingualake-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -35,18 +43,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path that shared_path() made."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what written() made, once nothing reads it any more."""
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is sent at once, by rows and by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +71,13 @@ def text_of(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def partitions_for(df: DataFrame, per_task: int = TASK_BYTES, least: int = 1) -> int:
-    """Partitions for a shuffle of df, from Spark's own size estimate of its files: grows with the input."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, shuffle, min(100_000, -(-size // per_task)))
+def partitions_for(df: DataFrame, per_task: int = TASK_BYTES) -> int:
+    """Partitions for a shuffle of df's texts, from their size: grows with the input.
+
+    The bytes are summed over all rows, as estimates from files know nothing of compression and those of joins are wild.
+    """
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per_task))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -145,15 +160,16 @@ def groups(batches, *keys: str):
 def id_ranges(docs: DataFrame, n: int, key: str = "doc_id") -> tuple:
     """Up to n ranges of ascending ids with about as many rows each, as an expression for the range's number.
 
-    Null ids go to the first range. The cuts (n - 1 numbers) come from Spark's quantile sketch, and
-    the expression looks a row's range up by binary search over them.
+    Null ids go to the first range. The cuts (n - 1 numbers) come from Spark's quantile sketch, whose
+    steps grow with n; they are one constant of the plan, and the expression looks a row's range up by
+    binary search over them.
     """
     shares = [i / n for i in range(1, n)]
-    cuts = docs.agg(F.percentile_approx(F.col(key).cast("long"), shares or [0.5], 10_000)).first()[0] if n > 1 else None
+    cuts = docs.agg(F.percentile_approx(F.col(key).cast("long"), shares or [0.5], max(10_000, 20 * n))).first()[0] if n > 1 else None
     cuts = sorted(set(cuts or ()))
     if not cuts:
         return F.lit(0), 1
-    array = F.array(*map(F.lit, cuts))
+    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
     steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
 
     def step(at, s):

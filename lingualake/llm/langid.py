@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, written
+from .common import bounded_batches, written
 
 BUCKETS = 1 << 16
 
@@ -144,7 +144,7 @@ def _read(model: Model):
 def identify(pages: DataFrame, model: Model) -> DataFrame:
     """pages (page_id, url, html) to page_id, doc_id (the number that ends the path, if any), host, declared, suffix,
     text_lang, lang and confidence (the posterior of lang)."""
-    short_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     k = len(model.languages)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     read = source.mapInArrow(_read(model), "page_id long, doc_id long, host string, domain string, declared string, suffix string, evidence array<double>")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_of
+from .common import bounded_batches, text_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -169,7 +169,7 @@ def global_order(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> dict
                 n.update(wanted.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-    short_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = text_of(docs).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r["word"]: r["n"] for r in rows}
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_ranges, mix64, partitions_for, short_batches, text_of
+from .common import id_ranges, mix64, partitions_for, bounded_batches, text_of
 
 SIGNATURE = 128
 
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    short_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return dealt.mapInArrow(made, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

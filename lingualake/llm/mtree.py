@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import groups, short_batches
+from .common import groups, bounded_batches
 
 #: Rows of a shard and queries of a block.
 SHARD_ROWS, BLOCK_ROWS = 8192, 512
@@ -226,7 +226,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, sha
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    short_batches(spark)
+    bounded_batches(spark)
     both = pages.unionByName(asked).repartition(max(shards * blocks, 1), "shard", "block").sortWithinPartitions("shard", "block", "kind", "n")
     found = both.mapInArrow(searched, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

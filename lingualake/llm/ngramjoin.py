@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, groups, mix64, rolling, short_batches, written
+from .common import WordHashes, groups, mix64, rolling, bounded_batches, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 
@@ -174,7 +174,7 @@ def _verified(threshold: float):
 def _joined(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
     """What join() gives, and root: the least tid of the class, which names it whatever the ids."""
     spark = docs.sparkSession
-    short_batches(spark)
+    bounded_batches(spark)
     bands, rows = choose_bands(threshold, recall)
     text = F.lower(F.coalesce("text", F.lit("")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("tid"))

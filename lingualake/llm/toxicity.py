@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, text_of
+from .common import bounded_batches, text_of
 
 MIN_STEM, MAX_STEM = 4, 12
 
@@ -243,7 +243,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 scores.append(1 / (1 + math.exp(-min(60.0, z))) if z > -700 else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.int64()), pa.array(n_hits, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_words", "n_hits", "score"])
 
-    short_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(scored, "doc_id long, n_words long, n_hits long, score double")
 
 
@@ -263,5 +263,5 @@ def reject(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: f
                 keep.append(f is None or 1 / (1 + math.exp(-max(-60.0, min(60.0, c[0] + c[1] * f[0] + c[2] * f[1])))) < threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    short_batches(spark)
+    bounded_batches(spark)
     return docs.mapInArrow(kept, docs.schema)
