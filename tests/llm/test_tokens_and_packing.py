@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -5,11 +6,12 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lingualake.llm import repair, vecpack
 from lingualake.llm.common import shared_path
-from lingualake.llm.tokens import Encoder
+from lingualake.llm.tokens import Encoder, encoder
 from lingualake.llm.vecpack import Limits, Packer
 
 from .fixtures import documents, rows, texts
@@ -26,8 +28,33 @@ def ids_of(name, text):
 def test_pieces_give_the_librarys_ids(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     all_texts = texts() + ODD
-    want = [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in all_texts]
-    assert Encoder(public_tokenizers.path(name)).encode(all_texts) == want
+    want = [t.encode(x, add_special_tokens=False).ids for x in all_texts]
+    e = Encoder(public_tokenizers.path(name))
+    for end in (None, 2):
+        ids, sizes = e.encode(all_texts, end)
+        assert ids.tolist() == [i for x in want for i in [*x, *([2] if end else [])]]
+        assert sizes.tolist() == [len(x) + bool(end) for x in want]
+    assert len(e.encode([])[0]) == 0
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_memory_of_words_is_bounded(name, monkeypatch):
+    monkeypatch.setattr(Encoder, "LIMIT", 5)
+    t, e = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name))
+    for x in texts() + ODD:
+        assert e.encode([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
+        assert len(e.known) == len(e.size) <= 5
+
+
+SIGNS = "ab Zé\u00e9İıß\u0301\n\t\r\u00a0\u3000.,!?$'s1²½ªǅДщ日\u200b\x00<|endoftext|>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(SIGNS) | st.characters(), max_size=40), min_size=1, max_size=6), st.sampled_from(FILES))
+def test_any_text_gives_the_librarys_ids(some, name):
+    e = encoder(public_tokenizers.path(name))
+    some = [x.encode("utf-8", "replace").decode() for x in some]
+    assert e.encode(some)[0].tolist() == [i for x in some for i in e.tokenizer.encode(x, add_special_tokens=False).ids]
 
 
 @settings(max_examples=150, deadline=None)
@@ -64,15 +91,16 @@ def test_no_documents(spark):
 @given(st.lists(st.tuples(st.integers(1, 300), st.integers(0, 40)), max_size=80), st.sampled_from([Limits(64, 4, 40), Limits(64, 64, 10), Limits(128, 3, 128), Limits(16, 2, 1)]))
 def test_packing_keeps_all_limits(docs, limits):
     packer, out = Packer(limits), []
-    for k, (n, head) in enumerate(docs):
-        out += packer.add(k, n, head)
+    for k, (n, prompt) in enumerate(docs):
+        out += packer.add(k, n, prompt)
         if k % 25 == 24:
             out += packer.pack()
     out += packer.pack(last=True)
     covered, sequences = {}, {}
-    for k, start, length, sequence, offset in out:
+    for k, start, length, loss, sequence, offset in out:
+        assert loss == max(0, start + length - max(start, docs[k][1]))
         covered.setdefault(k, []).append((start, length))
-        sequences.setdefault(sequence, []).append((offset, length, k, start))
+        sequences.setdefault(sequence, []).append((offset, length, loss))
     for k, (n, _) in enumerate(docs):
         at = 0
         for start, length in sorted(covered[k]):
@@ -81,12 +109,45 @@ def test_packing_keeps_all_limits(docs, limits):
         assert at == n
     for own in sequences.values():
         at = 0
-        for offset, length, _, _ in sorted(own):
+        for offset, length, _ in sorted(own):
             assert offset == at
             at += length
         assert at <= limits.tokens and (at == limits.tokens or at & (at - 1) == 0)
         assert len(own) <= limits.segments
-        assert sum(max(0, s + n - max(s, docs[k][1])) for _, n, k, s in own) <= limits.loss
+        assert sum(loss for *_, loss in own) <= limits.loss
+
+
+def test_each_choice_has_the_largest_dot_product():
+    """Against a plain search over all waiting pieces, as long as nothing is cut."""
+    rng = np.random.RandomState(3)
+    limits = Limits(4096, 40, 3000)
+    docs = [(int(n), int(n * rng.rand())) for n in rng.randint(1, 900, 400)]
+    packer = Packer(limits)
+    for k, (n, prompt) in enumerate(docs):
+        assert not list(packer.add(k, n, prompt))
+    got = {}
+    for k, _, length, _, sequence, offset in packer.pack(last=True):
+        got.setdefault(sequence, []).append((offset, k, length))
+    left = {k: (n, n - p) for k, (n, p) in enumerate(docs)}
+    room, loss_room, seats = limits.tokens, limits.loss, limits.segments
+    for _, k, length in sorted(got[0]):
+        fit = {j: d for j, d in left.items() if d[0] <= room and d[1] <= loss_room}
+        if not fit or left[k][0] != length:
+            break
+        worth = lambda d: d[0] * room / 4096**2 + seats / 40**2 + d[1] * loss_room / 3000**2
+        assert worth(left[k]) == pytest.approx(max(map(worth, fit.values())))
+        room, loss_room, seats = room - left[k][0], loss_room - left[k][1], seats - 1
+        del left[k]
+    assert len(left) < 400 - 3
+
+
+def test_a_hundred_thousand_short_pieces_take_little_time():
+    packer, begun = Packer(Limits()), time.process_time()
+    for k in range(100_000):
+        list(packer.add(k, 1))
+    out = list(packer.pack(last=True))
+    assert sum(x[2] for x in out) == 100_000 and max(x[2] for x in out) == 1
+    assert time.process_time() - begun < 5
 
 
 def test_pack_query(spark):
@@ -103,6 +164,18 @@ def test_pack_query(spark):
     for r in got:
         size[r["sequence_id"]] = size.get(r["sequence_id"], 0) + r["length"]
     assert all(n <= 4096 and (n & (n - 1)) == 0 for n in size.values())
+    loss = {}
+    for r in got:
+        loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + r["loss"]
+        assert r["loss"] == max(0, r["start"] + r["length"] - max(r["start"], r["doc_tokens"] // vecpack.PROMPT_PART))
+    assert max(loss.values()) <= Limits().loss
+
+
+def test_a_column_may_name_the_prompt(spark):
+    docs = documents(spark).withColumn("asked", F.when(F.col("doc_id") % 2 == 0, F.lit(7)))
+    for r in vecpack.pack(docs, public_tokenizers.path(FILES[1]), prompt="asked").collect():
+        prompt = 7 if r["doc_id"] is not None and r["doc_id"] % 2 == 0 else r["doc_tokens"] // vecpack.PROMPT_PART
+        assert r["loss"] == max(0, r["start"] + r["length"] - max(r["start"], prompt))
 
 
 def test_grammar_goes_on_until_no_pair_is_frequent(monkeypatch):
