@@ -3,9 +3,9 @@
 Documents are tokenised in ascending doc_id order and cut into shards of about SHARD tokens. In
 each, rounds replace frequent pairs of neighbouring symbols by new symbols: a round counts all
 pairs, takes the most frequent ones and replaces their occurrences from left to right, where two
-overlap the earlier, until no pair occurs LEAST times. A rule's symbols come from earlier rounds, so decoding expands round by round
-with array operations. Rules, the lengths of their expansions and the place of every STEP-th symbol
-are stored, so a range of positions is decoded without the rest.
+overlap the earlier, until no pair occurs LEAST times. A rule's symbols come from earlier rounds, so
+decoding expands round by round with array operations. Rules, the lengths of their expansions and
+the place of every STEP-th symbol are stored, so a range of positions is decoded without the rest.
 
 File format: Parquet rows (part, shard, doc_ids, lengths, payload), written by Spark to a path that
 all machines reach. payload: b"RPG2", then little-endian unsigned 32-bit integers: number of
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions_for, short_batches
+from .common import partitions_for, bounded_batches
 from .tokens import ID_BYTES, encoder
 
 MAGIC = b"RPG2"
@@ -47,7 +47,9 @@ SLOTS = 18
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+    """A hash slot of each pair, from the upper bits of a product."""
+    bits = pairs.dtype.itemsize * 8
+    return (pairs * pairs.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> pairs.dtype.type(bits - SLOTS)
 
 
 def _lengths(symbols: np.ndarray, first: int, sizes: np.ndarray) -> np.ndarray:
@@ -64,7 +66,9 @@ def compress(ids: np.ndarray, per_round: int = PER_ROUND, least: int = LEAST) ->
     first = int(seq.max()) + 1 if len(seq) else 0
     top, rules, by_round, sizes = first, [], [], np.zeros(0, np.int64)
     while len(seq) > 1:  # every round shortens seq
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        # Pairs take half the memory while all symbols fit 16 bits.
+        kind, half = (np.uint32, 16) if top <= 1 << 16 else (np.uint64, 32)
+        pairs = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
         order = np.sort(pairs)
         edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         n = np.diff(np.append(edge, len(order)))
@@ -79,7 +83,7 @@ def compress(ids: np.ndarray, per_round: int = PER_ROUND, least: int = LEAST) ->
         _, once = np.unique(slot, return_index=True)
         often = often[np.sort(once)]
         chosen = order[edge[often]]
-        table = np.zeros(1 << SLOTS, np.int64)
+        table = np.zeros(1 << SLOTS, np.int32)
         table[_slot(chosen)] = np.arange(len(chosen))
         at = table[_slot(pairs)]
         hit = np.flatnonzero(chosen[at] == pairs)
@@ -94,7 +98,7 @@ def compress(ids: np.ndarray, per_round: int = PER_ROUND, least: int = LEAST) ->
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
-        rules.append(np.column_stack(((chosen[used] >> np.uint64(32)), chosen[used] & np.uint64(0xFFFFFFFF))).astype("<u4"))
+        rules.append(np.column_stack((chosen[used] >> kind(half), chosen[used] & kind((1 << half) - 1))).astype("<u4"))
         sizes = np.append(sizes, _lengths(rules[-1], first, sizes).sum(axis=1))
         by_round.append(len(used))
         top += len(used)
@@ -158,34 +162,41 @@ class Shard:
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, shard: int = SHARD) -> None:
     """Tokenise docs (doc_id, text) and write the shards to path, a new folder."""
-    end = int(end_id).to_bytes(ID_BYTES, "little")
     names = ["part", "shard", "doc_ids", "lengths", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, code = TaskContext.get().partitionId(), encoder(tokenizer)
-        held: list[tuple] = []
+        doc_ids: list = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # ids of texts, and the number of each
         size = count = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(x) // ID_BYTES for _, x in held]
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            columns = [[part], [count], [[d for d, _ in held]], [lengths], [compress(ids)]]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            ids, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [[part], [count], [doc_ids], [lengths], [compress(ids)]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), code.encode(b.column("text").to_pylist()), strict=True):
-                held.append((doc_id, ids + end))
-                size += len(ids) // ID_BYTES + 1
+            own, (ids, lengths) = b.column("doc_id").to_pylist(), code.encode(b.column("text"), end_id)
+            ends = np.cumsum(lengths)
+            x = at = 0
+            while x < len(own):
+                # The texts up to the one that makes the shard full.
+                y = min(len(own), int(np.searchsorted(ends, at + shard - size)) + 1)
+                upto = int(ends[y - 1])
+                doc_ids += own[x:y]
+                held.append((ids[at:upto], lengths[x:y]))
+                size += upto - at
+                x, at = y, upto
                 if size >= shard:
                     yield flush()
-                    held, size, count = [], 0, count + 1
+                    doc_ids, held, size, count = [], [], 0, count + 1
         if held:
             yield flush()
 
-    short_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = texts.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(shards, "part long, shard long, doc_ids array<long>, lengths array<long>, payload binary").write.parquet(path)
@@ -215,5 +226,5 @@ def digest(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[(e - n) * ID_BYTES : e * ID_BYTES]) for e, n in zip(ends.tolist(), lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    short_batches(shards.sparkSession, 16)
+    bounded_batches(shards.sparkSession)
     return shards.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
