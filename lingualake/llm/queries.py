@@ -122,7 +122,7 @@ FROM d LEFT JOIN q ON q.doc_id = d.doc_id
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS place
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
@@ -144,7 +144,7 @@ WITH d AS (
   SELECT *, floor(target + 0.5)::BIGINT - whole * source_size AS part FROM u
 ), x AS (
   SELECT doc_id, size, source_size, target, whole, part,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_word
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_word
   FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
 )
 SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size, part - at_word)))::BIGINT AS taken FROM x
