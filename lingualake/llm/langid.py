@@ -39,23 +39,51 @@ BUCKETS = 1 << 16
 #: Strength of the wider level in a prior, counts added to a rate, and trigrams that count as one observation.
 PRIOR, ADDED, TEMPER = 4.0, 0.5, 4.0
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.S | re.I)
-_NAV = re.compile(r"<(nav|header|footer|aside)\b.*?</\1\s*>|<div[^>]*\bclass=[\"']ad[\"'][^>]*>.*?</div>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
+_HIDDEN = re.compile(r"<(?:(!--)|(script|style|template|noscript)\b)", re.I)
+_NAV = re.compile(r"<(?:(div)|(nav|header|footer|aside))\b", re.I)
+_AD = re.compile(r"\bclass=[\"']ad[\"']", re.I)
+_END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "template", "noscript", "nav", "header", "footer", "aside", "div")} | {"!--": re.compile("-->")}
 _HTML = re.compile(r"<html\b([^>]*)", re.I)
 _LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 _ADDRESS = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?(?:/([^/?#]*))?([^?#]*)", re.I)
 _NUMBER = re.compile(r"(\d{1,18})(?:\.\w+)?/?$")
 
 
+def _without(page: str, opening: re.Pattern) -> str:
+    """page with a space for each element that `opening` finds, up to the end of it; one without an end stays.
+
+    Linear: an end that isn't there is looked for once, and places already looked at are skipped.
+    """
+    out, done, at, plain, open_ended = [], 0, 0, 0, set()
+    while found := opening.search(page, at):
+        kind, at = (found[1] or found[2]).lower(), found.end()
+        if kind in open_ended or kind == "div" and at <= plain:
+            continue
+        if kind == "div":  # an advertisement, if its class says so
+            close = page.find(">", at)
+            if close >= 0 and not _AD.search(page, at, close):
+                plain = close
+                continue
+            end = _END[kind].search(page, close) if close >= 0 else None
+        else:
+            end = _END[kind].search(page, at)
+        if end is None:
+            open_ended.add(kind)
+            continue
+        out.append(page[done : found.start()])
+        done = at = end.end()
+    return " ".join([*out, page[done:]])
+
+
 def shown(page: str) -> str:
     """Markup of a page without scripts, styles and comments."""
-    return _HIDDEN.sub(" ", page)
+    return _without(page, _HIDDEN)
 
 
 def visible(page: str) -> str:
-    """Text of shown markup without navigation and advertisements."""
-    return markup.unescape(_TAG.sub(" ", _NAV.sub(" ", page)))
+    """Text of shown markup without navigation and advertisements; a tag goes from < to the next >."""
+    *closed, rest = _without(page, _NAV).split(">")
+    return markup.unescape("".join([x[: x.index("<")] + " " if "<" in x else x + ">" for x in closed] + [rest]))
 
 
 def declared(page: str) -> str:
