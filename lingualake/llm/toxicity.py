@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, discard, given_back, text_of, written
 
 MIN_STEM, MAX_STEM = 4, 12
 
@@ -100,7 +101,16 @@ def hits(folded: str, automaton) -> list[tuple[int, float]]:
         else:
             start = end - size + 1
             found[start] = max(w, found.get(start, w))
-    return [(p, w) for p, w in sorted(found.items()) if not any(a <= p <= b for a, b in free)]
+    # One sweep: hits and phrases in order of their beginnings, with how far the phrases met so far reach.
+    free.sort()
+    out, k, reach = [], 0, -1
+    for p, w in sorted(found.items()):
+        while k < len(free) and free[k][0] <= p:
+            reach = max(reach, free[k][1])
+            k += 1
+        if p > reach:
+            out.append((p, w))
+    return out
 
 
 def features(folded: str, automaton) -> tuple[float, float]:
@@ -118,24 +128,26 @@ def _entries(folded: str) -> set[str]:
 
 
 def _counted(key: str, what):
-    """Documents of each label that hold each entry, summed in the task."""
+    """The weight of the rows of each label that hold each entry, summed in the task."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: list[Counter] = [Counter(), Counter()]
+        n: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                n[toxic].update(what(fold(text)))
+            for text, toxic, weight in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "weight")), strict=True):
+                for k in what(fold(text)):
+                    n[toxic][k] += weight
         keys = list(n[0].keys() | n[1].keys())
-        counts = [pa.array([x[k] for k in keys], pa.int64()) for x in n]
+        counts = [pa.array([x.get(k, 0.0) for k in keys], pa.float64()) for x in n]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *counts], [key, "n0", "n1"])
 
     return counted
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Newton's method with a small ridge, classes weighing the same."""
     x = np.column_stack([np.ones(len(x)), x])
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    of = [max(1e-9, weight[y == k].sum()) for k in (0, 1)]
+    share = weight * np.where(y == 1, 0.5 / of[1], 0.5 / of[0]) * weight.sum()
     b = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
@@ -145,12 +157,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_weight: float = 3.0, min_sure: float = 2.0, min_share: float = 0.004, max_entries: int = 5000) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_weight: float = 3.0, min_sure: float = 2.0, min_share: float = 0.004) -> Lexicon:
     """Learn from labels (doc_id, toxic) and the texts of docs.
 
     max_rows: labelled rows that are learned from, about; it bounds what is broadcast and collected.
     min_weight: log odds from which an entry counts; min_sure: their lower bound; min_share: of the
-    toxic rows that must hold it.
+    weight of toxic rows that must hold it. Every entry and phrase that passes is kept.
     """
     n = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("t")).first()
     n1, n0 = int(n["t"]), int(n["n"]) - int(n["t"])
@@ -160,22 +172,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_weight:
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, max_rows / 3 / n1))).otherwise(F.lit(min(1.0, max_rows * 2 / 3 / n0)))
     chosen = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(part < share).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # At most about max_rows rows of two numbers: the broadcast has this bound.
-    train = text_of(docs.filter("text IS NOT NULL"), "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    # Copies of one text would count its rare words again and again: one row for each least word triple.
+    sample = text_of(docs.filter("text IS NOT NULL"), "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # Near copies would count their rare words again and again: rows of one label that share their least word triple weigh
+    # one row together. None is left out, and rows of different labels never share a weight.
     triple = F.expr("array_min(transform(sequence(0, greatest(0, size(w) - 3)), i -> xxhash64(slice(w, i + 1, 3))))")
-    train = train.withColumn("w", F.split("text", " ")).withColumn("k", triple).drop("w")
-    train = train.groupBy("k").agg(F.min(F.struct("text", "toxic")).alias("x")).select("x.text", "x.toxic").persist()
-    kinds = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = sample.withColumn("w", F.split("text", " ")).withColumn("k", triple).drop("w")
+    train = written(sample.withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("k", "toxic"))).drop("k"), "labelled")
+    try:
+        return _learned(train, min_weight, min_sure, min_share)
+    finally:
+        discard(train)
+
+
+def _learned(train: DataFrame, min_weight: float, min_sure: float, min_share: float) -> Lexicon:
+    """A lexicon from train (text, toxic, weight), a bounded sample."""
+    bounded_batches(train.sparkSession)
+    kinds = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     n0, n1 = kinds.get(0, 0), kinds.get(1, 0)
     if not n0 or not n1:
-        train.unpersist()
         return Lexicon()
-    least = max(3, math.ceil(min_share * n1))
-    toxic = train.filter("toxic = 1").mapInArrow(_counted("entry", _entries), "entry string, n0 long, n1 long")
-    seen = toxic.groupBy("entry").agg(F.sum("n1").alias("n1")).filter(F.col("n1") >= least).orderBy(F.desc("n1"), "entry").limit(20 * max_entries).collect()
-    in_toxic = {r["entry"]: r["n1"] for r in seen}
+    counts = "n0 double, n1 double"
+    least = max(3, math.ceil(min_share * n1)) - 1e-6
+    toxic = train.filter("toxic = 1").mapInArrow(_counted("entry", _entries), f"entry string, {counts}")
+    in_toxic = {r["entry"]: r["n1"] for r in toxic.groupBy("entry").agg(F.sum("n1").alias("n1")).filter(F.col("n1") >= least).orderBy("entry").collect()}
     known = set(in_toxic)
-    clean = train.filter("toxic = 0").mapInArrow(_counted("entry", lambda t: _entries(t) & known), "entry string, n0 long, n1 long")
+    clean = train.filter("toxic = 0").mapInArrow(_counted("entry", lambda t: _entries(t) & known), f"entry string, {counts}")
     in_clean = {r["entry"]: r["n0"] for r in clean.groupBy("entry").agg(F.sum("n0").alias("n0")).collect()}
     odds = {e: math.log((k + 0.5) / (n1 + 1)) - math.log((in_clean.get(e, 0) + 0.5) / (n0 + 1)) for e, k in in_toxic.items()}
     # What is left of the odds 1.64 standard errors below, so that a few rows prove nothing.
@@ -188,9 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_weight:
         stems = [e[:i] for i in range(MIN_STEM, len(e)) if e[:i] in weights]
         if not any(weights[s] >= odds[e] - 0.7 for s in stems):
             weights[e] = odds[e]
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1] * in_toxic[x[0]], x[0]))[:max_entries])
     if not weights:
-        train.unpersist()
         return Lexicon()
     lexicon = Lexicon(weights)
 
@@ -208,18 +227,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_weight:
         return out
 
     automaton = lexicon.automaton()
-    phrases = train.mapInArrow(_counted("phrase", pairs), "phrase string, n0 long, n1 long").groupBy("phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    lexicon.exceptions = {r["phrase"] for r in phrases.filter((F.col("n0") >= 3) & (F.col("n0") / n0 > F.col("n1") / n1)).orderBy(F.desc("n0"), "phrase").limit(max_entries).collect()}
+    phrases = train.mapInArrow(_counted("phrase", pairs), f"phrase string, {counts}").groupBy("phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    lexicon.exceptions = {r["phrase"] for r in phrases.filter((F.col("n0") >= 3 - 1e-6) & (F.col("n0") / n0 > F.col("n1") / n1)).collect()}
     automaton = lexicon.automaton()
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(fold(t), automaton) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), b.column("toxic")], ["a", "b", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), b.column("toxic"), b.column("weight")], ["a", "b", "toxic", "weight"])
 
-    m = np.array([tuple(r) for r in train.mapInArrow(measured, "a double, b double, toxic int").collect()], dtype=float)
-    train.unpersist()
-    curve = _logistic(m[:, :2], m[:, 2])
+    m = np.array([tuple(r) for r in train.mapInArrow(measured, "a double, b double, toxic int, weight double").collect()], dtype=float)
+    curve = _logistic(m[:, :2], m[:, 2], m[:, 3])
     curve[0] = min(curve[0], -0.1)  # a text without hits is clean
     lexicon.curve = tuple(curve)
     return lexicon
@@ -244,7 +262,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.int64()), pa.array(n_hits, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_words", "n_hits", "score"])
 
     bounded_batches(docs.sparkSession)
-    return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(scored, "doc_id long, n_words long, n_hits long, score double")
+    return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(given_back(scored), "doc_id long, n_words long, n_hits long, score double")
 
 
 def reject(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -264,4 +282,4 @@ def reject(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: f
             yield b.filter(pa.array(keep, pa.bool_()))
 
     bounded_batches(spark)
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(given_back(kept), docs.schema)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -77,3 +78,33 @@ def test_reject_keeps_clean_rows_unchanged(spark):
     got = X.reject(spark, df, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert got.columns == df.columns
     assert {r["doc_id"] for r in got.collect()} == {i for i, toxic in labels if not toxic}
+
+
+def test_hits_match_a_plain_search(learned):
+    """Every entry looked for at every place, and every hit held against every exception phrase."""
+    rng, a = random.Random(9), learned.automaton()
+    words = ["grubber", "tool", "grubber tool", "vilely", "nastiness", "calm", "ungrubber", "kill", "bugs", "GRUBB3R", "grub"]
+    for _ in range(200):
+        text = X.fold(" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))))
+        found = {}
+        for entry, w in learned.weights.items():
+            for p in range(len(text)):
+                if text.startswith(" " + entry, p):
+                    found[p + 1] = max(w, found.get(p + 1, w))
+        free = [(p, p + len(e) + 1) for e in learned.exceptions for p in range(len(text)) if text.startswith(f" {e} ", p)]
+        assert X.hits(text, a) == [(p, w) for p, w in sorted(found.items()) if not any(x <= p <= y for x, y in free)]
+
+
+def test_many_hits_take_linear_time(learned):
+    text, begun = X.fold("a grubber tool and vilely " * 60_000), time.process_time()
+    assert len(X.hits(text, learned.automaton())) == 60_000
+    assert time.process_time() - begun < 5
+
+
+def test_a_shared_passage_hides_no_label(spark):
+    """Rows of both labels that hold one passage, least word triples in it, still teach their own words."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [(i, f"{passage} {'vilely ' * 3 if i % 2 else 'kindly ' * 3} tail{i}", "en", "s", 1) for i in range(400)]
+    lexicon = X.fit(documents(spark, docs), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in X.score(documents(spark, docs), lexicon).collect()}
+    assert not lexicon.weights or all((s >= 0.5) == (i % 2 == 1) for i, s in got.items())
