@@ -3,14 +3,15 @@
 A block is a line of a document, or a passage of consecutive words that goes on over line breaks,
 as hard-wrapped notices do: at most as many words as the template has, divided by `threshold`, on
 lines none of which meets the template by itself. It meets a template when it holds at least
-`threshold` of the template's distinct words. The words are put in one global order, rarest first by the number of
-documents that hold them (counted over all documents; ties by the word). By the prefix principle
-a block that meets a template shares one of the first |T| - need + 1 words of the template in that
-order, need being the least overlap; so an index over those few rare words finds all candidates.
-The length filter drops blocks with fewer than `need` distinct words; the positional filter drops
-candidates whose remaining template words can't reach `need` any more; what is left is counted in
-full. A text goes through these filters as a whole first, and passages are looked for with the
-templates that it meets. Nothing is approximate.
+`threshold` of the template's distinct words. The words are put in one global order: those of no
+template, then rarest first by the number of documents that hold them (counted over all documents;
+ties by the word). By the prefix principle a block that meets a template shares one of the first
+|T| - need + 1 words of the template in that order, need being the least overlap; so an index over
+those few rare words finds all candidates. The length filter drops blocks with fewer than `need`
+words of any template; the positional filter drops a candidate when, after the first word that both
+have, either the template or the block has too few words left to reach `need`; what is left is
+counted in full. A text goes through these filters as a whole first, and passages are looked for
+with the templates that it meets. Nothing is approximate.
 
 The base places are where the words of a phrase stand consecutively. Templates and phrases are a
 fixed, small list, so what is sent to the executors is bounded.
@@ -22,9 +23,11 @@ comment marks) don't end a passage.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +60,20 @@ TEMPLATES = {
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2.0",
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "This is free and unencumbered software released into the public domain": "unlicense",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+    "You should have received a copy of the GNU General Public License along with this program. If not, see": "gpl",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl",
+    "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied": "apache-2.0",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": "mit",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-clause",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "bsd",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License": "epl",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-1.0",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software": "zlib",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc-4.0",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License": "cc-by-nd-4.0",
+    "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work": "cc0-1.0",
+    "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed": "gpl",
 }
 
 THRESHOLD = 0.8
@@ -75,29 +92,38 @@ class Scanner:
         self.index: dict[str, list[tuple[int, int]]] = {}
         self.templates = []
         self.spans: list[int] = []
+        self.counted = 0  # candidates that passed all filters
+        share = Fraction(str(threshold))
+        every = {w for text in templates for w in words_of(text)}
+        self.rank = {w: k for k, w in enumerate(sorted(every, key=lambda w: (order.get(w, 0), w)))}
         for text, label in templates.items():
-            own = sorted(set(words_of(text)), key=lambda w: (order.get(w, 0), w))
-            need = -(-len(own) * int(threshold * 1000) // 1000)
+            own = sorted(set(words_of(text)), key=self.rank.__getitem__)
+            need = math.ceil(len(own) * share)
             for at, w in enumerate(own[: len(own) - need + 1]):
                 self.index.setdefault(w, []).append((len(self.templates), at))
             self.templates.append((own, need, label))
-            self.spans.append(len(words_of(text)) * 1000 // int(threshold * 1000))
-        self.rare = frozenset(self.index)
+            self.spans.append(int(len(words_of(text)) / share))
+        self.rare, self.vocabulary = frozenset(self.index), frozenset(every)
         self.base = [(phrase.split(), label) for phrase, label in BASE.items()]
 
     def block(self, words: set[str]) -> list[tuple[int, float]]:
         """Templates that a block with these distinct words meets, with the share of their words in it."""
-        first: dict[int, int] = {}
-        for w in words & self.rare:
-            for t, at in self.index[w]:
-                first[t] = min(at, first.get(t, at))
+        if words.isdisjoint(self.rare):
+            return []
+        mine = sorted(words & self.vocabulary, key=self.rank.__getitem__)
+        seen: set[int] = set()
         out = []
-        for t, at in first.items():
-            own, need, _ = self.templates[t]
-            if len(words) >= need and len(own) - at >= need:
-                both = sum(w in words for w in own)
-                if both >= need:
-                    out.append((t, both / len(own)))
+        for place, w in enumerate(mine):
+            for t, at in self.index.get(w, ()):
+                if t in seen:
+                    continue
+                seen.add(t)  # the first word of the order that both have
+                own, need, _ = self.templates[t]
+                if len(mine) >= need and min(len(own) - at, len(mine) - place) >= need:
+                    self.counted += 1
+                    both = sum(x in words for x in own)
+                    if both >= need:
+                        out.append((t, both / len(own)))
         return out
 
     def passages(self, t: int, lines: list[list[str]], alone: set[int]) -> list[tuple[int, float]]:

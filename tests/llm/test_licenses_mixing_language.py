@@ -1,7 +1,11 @@
+import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lingualake.llm import langid, licenses, mixing
@@ -164,3 +168,45 @@ def test_every_language_is_learned(spark):
     assert {r["page_id"]: r["lang"] for r in langid.identify(pages, model).collect()} == {0: "l00", 41: "l41", 69: "l69"}
     with pytest.raises(ValueError, match="more than 69"):
         langid.train(docs, max_languages=69)
+
+
+def test_positional_filter_drops_candidates_and_no_answer():
+    rng = random.Random(8)
+    order = {w: rng.randint(0, 50) for t in licenses.TEMPLATES for w in licenses.words_of(t)}
+    scanner = licenses.Scanner(order)
+    vocabulary, dropped = sorted(scanner.vocabulary), 0
+    for _ in range(3000):
+        own = rng.choice(scanner.templates)[0]
+        words = {w for w in own if rng.random() < rng.choice((0.5, 0.8, 0.95))} | {rng.choice(vocabulary) for _ in range(rng.randint(0, 25))} | {"other"}
+        want = {t: len(words & set(x)) / len(x) for t, (x, _, _) in enumerate(scanner.templates) if len(words & set(x)) * 10 >= 8 * len(x)}
+        before = scanner.counted
+        assert dict(scanner.block(words)) == want
+        candidates = {t for w in words for t, _ in scanner.index.get(w, ())}
+        dropped += len(candidates) - (scanner.counted - before)
+    assert dropped > 1000
+
+
+def test_long_broken_markup_takes_linear_time():
+    for x in ("<script ", "<!--", "<div ", "<", "<div class='ad'>", "<nav>", "<html "):
+        begun = time.process_time()
+        page = x * (2_000_000 // len(x))
+        shown = langid.shown(page)
+        langid.declared(shown)
+        langid.visible(shown)
+        assert time.process_time() - begun < 10, x
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<!--", "-->", "<script>", "</script >", "<style a>", "</STYLE>", "<nav>", "</nav>", "<div class='ad'>", '<div class="x">', "</div>", "<", ">", "a b", "<div ", " class='ad'", "<p>", "<header", "</header>", "\n"]), max_size=14))
+def test_markup_is_cut_as_by_patterns(bits):
+    page = "".join(bits)
+    hidden = re.sub(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", " ", page, flags=re.S | re.I)
+    assert langid.shown(page) == hidden
+    rest = re.sub(r"<(nav|header|footer|aside)\b.*?</\1\s*>|<div[^>]*\bclass=[\"']ad[\"'][^>]*>.*?</div>", " ", hidden, flags=re.S | re.I)
+    assert langid.visible(hidden) == re.sub(r"<[^>]*>", " ", rest)
+
+
+def test_rows_alike_in_id_are_cut_in_the_order_of_their_texts(spark):
+    data = [(None, f"w{k} x y", "en", f"s{k % 2}", 1) for k in range(40)] + [(7, f"v{k} a", "en", "s1", 1) for k in range(9)]
+    one, two = (sorted(map(repr, mixing.mixed_documents(documents(spark, d)).collect())) for d in (data, data[::-1]))
+    assert one == two
