@@ -62,6 +62,29 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def given_back(function):
+    """A function for mapInArrow, after whose last batch memory that isn't used goes back to the system: workers wait for
+    other stages, beside an executor's heap."""
+
+    def mapped(batches):
+        yield from function(batches)
+        release()
+
+    return mapped
+
+
+def release() -> None:
+    """Give free memory of this worker back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

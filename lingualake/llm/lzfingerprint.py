@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_ranges, mix64, partitions_for, bounded_batches, text_of
+from .common import bounded_batches, given_back, id_ranges, mix64, partitions_for, text_of
 
 SIGNATURE = 128
 
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     bounded_batches(docs.sparkSession)
-    return dealt.mapInArrow(made, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(given_back(made), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _compared(doc_id, text: str, ends: list[int], own: np.ndarray, following: str, next_own: np.ndarray) -> tuple:

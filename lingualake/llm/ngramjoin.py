@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, groups, mix64, rolling, bounded_batches, written
+from .common import WordHashes, bounded_batches, discard, given_back, groups, mix64, rolling, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 
-#: Texts of a block in verification: a group of g texts takes (g / BLOCK)^2 / 2 tasks.
-BLOCK = 512
+#: Texts and n-grams of a block in verification: a group of g blocks takes g^2 / 2 steps of two blocks each.
+BLOCK, BLOCK_GRAMS = 512, 1 << 21
+
+#: n-grams that are compared at once.
+SLICE = 1 << 19
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, noise: float = 0.05) -> tuple[int, int]:
@@ -86,7 +89,8 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("x"), F.col("m").alias("y"), "a")
         small = small.select("x", "y").unionByName(small.select(F.col("a").alias("x"), "y")).filter("x <> y").distinct()
-        e = written(small.select(F.col("x").alias("a"), F.col("y").alias("b")), name)
+        e, last = written(small.select(F.col("x").alias("a"), F.col("y").alias("b")), name), e
+        discard(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == state:
             break
@@ -99,8 +103,12 @@ def _signed(n: int, bands: int, rows: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, words = Signatures(bands, rows), WordHashes()
         for b in batches:
-            found = [make.of(grams_of(t, words, n)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "tid", "bands"])
+            found, size = [], []
+            for t in b.column("text"):
+                grams = grams_of(t.as_py(), words, n)
+                found.append(make.of(grams))
+                size.append(len(grams))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array(found, pa.list_(pa.int64())), pa.array(size, pa.int64())], ["doc_id", "tid", "bands", "grams"])
 
     return signed
 
@@ -117,24 +125,31 @@ def _sets(n: int):
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sets reach the threshold, as a symmetric matrix without its diagonal."""
+    """Which pairs of ascending sets reach the threshold, as a symmetric matrix without its diagonal.
+
+    The values are dealt into slices, so that what is worked on at once is about SLICE values however long the sets are.
+    """
     size = np.array([len(s) for s in sets])
     both = np.zeros((len(sets), len(sets)), np.float32)
-    owner = np.repeat(np.arange(len(sets)), size)
-    value, column = np.unique(np.concatenate(sets), return_inverse=True)
-    times = np.bincount(column, minlength=len(value))
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column = owner[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    step = 2048
-    for x in range(0, int(shared.sum()), step):
-        a, b = np.searchsorted(column, (x, x + step))
-        m = np.zeros((len(sets), min(step, int(shared.sum()) - x)), np.float32)
-        m[owner[a:b], column[a:b] - x] = 1
-        both += m @ m.T  # whole numbers below 2**24 are exact
+    slices = -(-int(size.sum()) // SLICE)
+    edges = [int(k * 2**64 // slices) for k in range(1, slices)]
+    ends = np.array([np.searchsorted(s, np.array(edges, np.uint64)) for s in sets], np.int64).reshape(len(sets), -1)
+    ends = np.column_stack((np.zeros(len(sets), np.int64), ends, size))
+    for k in range(slices):
+        owner = np.repeat(np.arange(len(sets)), ends[:, k + 1] - ends[:, k])
+        value, column = np.unique(np.concatenate([s[a:b] for s, a, b in zip(sets, ends[:, k], ends[:, k + 1], strict=True)]), return_inverse=True)
+        shared = np.bincount(column, minlength=len(value)) > 1
+        number = np.cumsum(shared) - 1
+        keep = shared[column]
+        owner, column = owner[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        step, n = 1024, int(shared.sum())
+        for x in range(0, n, step):
+            a, b = np.searchsorted(column, (x, x + step))
+            m = np.zeros((len(sets), min(step, n - x)), np.float32)
+            m[owner[a:b], column[a:b] - x] = 1
+            both += m @ m.T  # whole numbers below 2**24 are exact
     union = size[:, None] + size[None, :] - both
     out = both >= threshold * union - 1e-6
     np.fill_diagonal(out, False)
@@ -146,7 +161,7 @@ def _verified(threshold: float):
         """Of each text and task that has links: their number in documents and in texts, and the least text of its tree."""
         for (_, i, j), t in groups(batches, "comp", "i", "j"):
             tids, copies, block = t.column("tid").to_pylist(), np.array(t.column("copies").to_pylist()), np.array(t.column("block").to_pylist())
-            link = similar([np.frombuffer(x, np.uint64) for x in t.column("text").to_pylist()], threshold)
+            link = similar([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("text")], threshold)
             if i != j:
                 link &= block[:, None] != block[None, :]
             root = list(range(len(tids)))
@@ -178,24 +193,24 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFra
     bands, rows = choose_bands(threshold, recall)
     text = F.lower(F.coalesce("text", F.lit("")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("tid"))
-    signed = written(base.mapInArrow(_signed(n, bands, rows), "doc_id long, tid string, bands array<long>"), "signatures")
+    signed = written(base.mapInArrow(given_back(_signed(n, bands, rows)), "doc_id long, tid string, bands array<long>, grams long"), "signatures")
     # A vertex for each text; copies are folded here, before anything is paired.
-    texts = written(signed.groupBy("tid").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "texts")
+    texts = written(signed.groupBy("tid").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.max("grams").alias("grams")), "texts")
     held = texts.select("tid", F.explode("bands").alias("band"))
     met = held.groupBy("band").agg(F.min("tid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("band", "b")
     candidates = connected(held.join(met, "band").select(F.col("tid").alias("a"), "b"), "candidates")
-    size = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    member = candidates.join(size, "root").join(texts.select(F.col("tid").alias("a"), "text_id", "copies"), "a")
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
+    member = candidates.join(texts.select(F.col("tid").alias("a"), "text_id", "copies", "grams"), "a")
+    member = member.join(member.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("grams").alias("grams_in_all")), "root")
+    nb = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("grams_in_all") / BLOCK_GRAMS)).cast("int")
     member = member.select(F.col("a").alias("tid"), "text_id", "copies", F.col("root").alias("comp"), nb.alias("nb"), F.pmod(F.xxhash64("a"), nb).cast("int").alias("block"))
     # The n-grams of the texts that are in a group, read from their first document.
     full = base.join(member, (base.doc_id.eqNullSafe(member.text_id)) & (base.tid == member.tid)).select(member.tid, "comp", "copies", "nb", "block", "text")
     full = full.dropDuplicates(["tid"]) if _repeated(signed) else full
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    full = full.mapInArrow(_sets(n), "tid string, comp string, copies long, nb int, block int, text binary")
+    full = full.mapInArrow(given_back(_sets(n)), "tid string, comp string, copies long, nb int, block int, text binary")
     full = full.withColumn("pair", F.explode(pairs)).select("comp", "pair.i", "pair.j", "tid", "copies", "block", "text")
     k = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    links = written(full.repartition(k, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "tid").mapInArrow(_verified(threshold), "tid string, parent string, docs long, texts long"), "links")
+    links = written(full.repartition(k, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "tid").mapInArrow(given_back(_verified(threshold)), "tid string, parent string, docs long, texts long"), "links")
     root = connected(links.select(F.col("tid").alias("a"), F.col("parent").alias("b")), "classes").withColumnRenamed("a", "tid")
     total = links.groupBy("tid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("links"))
     info = texts.select("tid", "text_id", "copies").join(total, "tid", "left").join(root, "tid", "left")

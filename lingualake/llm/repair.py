@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions_for, bounded_batches
+from .common import bounded_batches, given_back, partitions_for
 from .tokens import ID_BYTES, encoder
 
 MAGIC = b"RPG2"
@@ -199,7 +199,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, shard: in
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = texts.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shards, "part long, shard long, doc_ids array<long>, lengths array<long>, payload binary").write.parquet(path)
+    ordered.mapInArrow(given_back(shards), "part long, shard long, doc_ids array<long>, lengths array<long>, payload binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -227,4 +227,4 @@ def digest(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     bounded_batches(shards.sparkSession)
-    return shards.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(given_back(decoded), "doc_id long, start long, n_tokens long, ids_crc32 long")

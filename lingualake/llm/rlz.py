@@ -116,8 +116,8 @@ class Block:
         return first[order], second[order], place[order], begin
 
 
-def _texts(block: pa.Table) -> list[str]:
-    return [x or "" for x in block.column("text").to_pylist()]
+def _texts(block: pa.Table) -> Iterator[str]:
+    return (x.as_py() or "" for x in block.column("text"))
 
 
 def _ordered(block: pa.Table) -> pa.Table:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, given_back
 from .tokens import encoder
 
 
@@ -223,4 +223,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limi
     own = F.col(prompt).cast("long") if prompt else F.lit(None).cast("long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), own.alias("prompt"))
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
-    return texts.mapInArrow(packed, schema)
+    return texts.mapInArrow(given_back(packed), schema)

@@ -15,8 +15,8 @@ def grams(text, n=5):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
 
 
-def brute(data, threshold=0.8):
-    """Links of documents and their classes by comparing all pairs."""
+def components(data, threshold=0.8):
+    """Links of each row and the rows of each class, by comparing all pairs."""
     docs = [(i, (t or "").lower(), grams(t or "")) for i, t, *_ in data]
     n = len(docs)
     root = list(range(n))
@@ -38,9 +38,19 @@ def brute(data, threshold=0.8):
                 root[max(p, q)] = min(p, q)
     classes = {}
     for a in range(n):
-        classes.setdefault(find(a), []).append(docs[a][0])
-    least = {r: None if any(x is None for x in ids) and len(set(ids)) == 1 else min(x for x in ids if x is not None) for r, ids in classes.items()}
-    return sorted(((docs[a][0], links[a], least[find(a)]) for a in range(n)), key=repr)
+        classes.setdefault(find(a), []).append(a)
+    return links, list(classes.values())
+
+
+def brute(data, threshold=0.8):
+    """Rows of id, links and the least id of the class."""
+    links, classes = components(data, threshold)
+    out = []
+    for own in classes:
+        ids = [data[a][0] for a in own]
+        least = None if set(ids) == {None} else min(x for x in ids if x is not None)
+        out += [(data[a][0], links[a], least) for a in own]
+    return sorted(out, key=repr)
 
 
 def near_rows():
@@ -67,10 +77,19 @@ def test_dedup_keeps_one_of_each_class(spark):
     got = J.dedup(docs)
     assert got.columns == docs.columns
     kept = [r["doc_id"] for r in got.collect()]
-    want = {c for _, _, c in brute(data)}
+    # Of each class the least id, null before all; classes may share an id.
+    want = [min((data[a][0] for a in own), key=lambda x: (x is not None, x or 0)) for own in components(data)[1]]
     assert sorted(kept, key=repr) == sorted(want, key=repr)
 
 
+def test_blocks_and_slices_by_n_grams(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_GRAMS", 700)
+    monkeypatch.setattr(J, "SLICE", 100)
+    data = near_rows()
+    got = J.join(documents(spark, data)).select("doc_id", "n_links", "class_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(data)
+
+
 def test_dedup_keeps_a_row_of_each_class_whatever_the_ids(spark):
     words = [f"w{i}" for i in range(60)]
     near = lambda k: " ".join([*words[:k], "x", *words[k + 1 :]])
