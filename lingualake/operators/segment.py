@@ -9,14 +9,16 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-#: What may stand before a section title: 1. IV. a) A) 1)
-ENUMERATOR = r"(?:[0-9]+\.|[IVXLCDM]+\.|[a-zA-Z]\)|[0-9]+\))\s*"
+#: What may stand before a section title: 1. IV. a) A) 1) and the last three with a dot.
+ENUMERATOR = r"(?:[0-9]+\.|[IVX]+\.|(?:[a-zA-Z]|[0-9]+)\)\.?)\s*"
 
 
 def running(flag: Column, key: Sequence[str], order: str) -> Column:
@@ -55,13 +57,21 @@ def titled_sections(docs: DataFrame, identifier: str) -> DataFrame:
 
     What stands before the first title is dropped. A repeated title keeps its first place and its last content.
     """
-    rows = document_lines(docs).withColumn("is_title", F.col("line").rlike(title_pattern(identifier)))
-    rows = rows.withColumn("part", running(F.col("is_title"), ["doc_id"], "line_no")).filter("part > 0")
-    parts = rows.groupBy("doc_id", "part").agg(F.max(F.when(F.col("is_title"), F.col("line"))).alias("title"), F.sort_array(F.collect_list(F.when(~F.col("is_title"), F.struct("line_no", "line")))).alias("rows"))
-    parts = parts.select("doc_id", "part", T.strip("title").alias("title"), T.strip(F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("content"))
-    once = parts.groupBy("doc_id", "title").agg(F.min("part").alias("first"), F.max_by("content", "part").alias("content"))
-    place = Window.partitionBy("doc_id").orderBy("first")
-    return once.select("doc_id", (F.row_number().over(place) - 1).alias("section_idx"), "title", "content")
+    # All in the row of the document: nothing is shuffled.
+    d = docs.select("doc_id", T.lines("text").alias("rows"))
+    at = F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: F.get(F.col("rows"), i).rlike(title_pattern(identifier)))
+    d = d.filter(F.size("rows") > 0).withColumn("at", at).filter(F.size("at") > 0)
+    title = F.transform("at", lambda i: T.strip(F.get(F.col("rows"), i)))
+    upto = lambda k: F.coalesce(F.get(F.col("at"), k + 1), F.size("rows"))
+    content = F.transform("at", lambda i, k: T.strip(F.array_join(F.slice("rows", i + 2, upto(k) - i - 1), "\n")))
+    d = d.select("doc_id", title.alias("titles"), content.alias("contents")).withColumn("once", F.array_distinct("titles"))
+    # Titles are looked up only in a document that repeats one.
+    last = lambda t: F.size("titles") - F.array_position(F.reverse("titles"), t)
+    repeated = F.transform("once", lambda t: F.struct(t.alias("title"), F.get(F.col("contents"), last(t).cast("int")).alias("content")))
+    single = F.arrays_zip(F.col("titles").alias("title"), F.col("contents").alias("content"))
+    kind = "array<struct<title: string, content: string>>"
+    parts = F.when(F.size("once") == F.size("titles"), single.cast(kind)).otherwise(repeated.cast(kind))
+    return d.select("doc_id", F.posexplode(parts).alias("section_idx", "s")).select("doc_id", "section_idx", "s.title", "s.content")
 
 
 def section_problems(sections: DataFrame, docs: DataFrame, number: int | None = None) -> DataFrame:
@@ -80,30 +90,29 @@ def section_info(sections: DataFrame) -> DataFrame:
     return sections.select("doc_id", "section_idx", "title", F.size(T.words("content")).alias("n_words"), F.when(F.col("content") == "", 0).otherwise(F.size(F.split("content", "\n"))).alias("n_lines"))
 
 
-def protocol_segments(rows: DataFrame, protocol: dict[str, Sequence[str]], cutoff: int = 1, default: str = "default") -> DataFrame:
-    """Lines (doc_id, line_no, line) with the protocol section they belong to.
+def protocol_segments(docs: DataFrame, protocol: dict[str, Sequence[str]], cutoff: int = 1, default: str = "default", text: str = "text") -> DataFrame:
+    """Lines of docs (doc_id, text) with the protocol section they belong to: doc_id, line_no, line, section.
 
     Sections in the order of their numbers each begin at their first line with one of their terms
     (whole words, any case) after the last section's begin, if at least `cutoff` lines have one; lines
-    take the last section that began. The protocol is part of the plan, so nothing is joined.
+    take the last section that began. The begins are found in the row of the document, so nothing is shuffled.
     """
-    order = sorted(protocol, key=int)
-    hit = {k: F.lower("line").rlike(r"(?:^|[^\pL\pN_])(?:" + "|".join(re.escape(t.lower()) for t in protocol[k]) + r")(?:$|[^\pL\pN_])") for k in order}
-    flagged = rows.select("doc_id", "line_no", "line", *[h.alias(f"hit_{i}") for i, h in enumerate(hit.values())])
-    places = flagged.groupBy("doc_id").agg(*[F.sort_array(F.collect_list(F.when(F.col(f"hit_{i}"), F.col("line_no")))).alias(f"at_{i}") for i in range(len(order))])
+    d = docs.select("doc_id", T.lines(text).alias("rows")).filter(F.size("rows") > 0)
     last: Column = F.lit(-1)
-    begins = []
-    for i in range(len(order)):
-        places = places.withColumn("last", last)
-        first = F.expr(f"array_min(filter(at_{i}, x -> x > last))")
-        places = places.withColumn(f"begin_{i}", F.when(F.size(f"at_{i}") >= cutoff, first))
-        begins.append(F.col(f"begin_{i}"))
+    order = sorted(protocol, key=int)
+    for i, k in enumerate(order):
+        pattern = r"(?:^|[^\pL\pN_])(?:" + "|".join(re.escape(t.lower()) for t in protocol[k]) + r")(?:$|[^\pL\pN_])"
+        d = d.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda j: F.lower(F.get(F.col("rows"), j)).rlike(pattern)))  # noqa: B023
+        d = d.withColumn("last", last)
+        begin = F.when(F.size("at") >= cutoff, F.array_min(F.filter("at", lambda x: x > F.col("last"))))
+        d = d.withColumn(f"begin_{i}", begin)
         last = F.coalesce(F.col(f"begin_{i}"), F.col("last"))
-    starts = F.filter(F.array(*[F.struct(b.alias("line_no"), F.lit(k).alias("section")) for b, k in zip(begins, order, strict=True)]), lambda x: x["line_no"].isNotNull())
-    starts = places.select("doc_id", F.explode(starts).alias("s")).select("doc_id", "s.line_no", "s.section")
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(starts, ["doc_id", "line_no"], "left")
-    return joined.select("doc_id", "line_no", "line", F.coalesce(F.last("section", ignorenulls=True).over(w), F.lit(default)).alias("section"))
+    begins = [f"begin_{i}" for i in range(len(order))]
+    lines = d.select("doc_id", *begins, F.posexplode("rows").alias("line_no", "line"))
+    section: Column = F.lit(default)
+    for b, k in zip(begins, order, strict=True):  # they ascend, so a later one wins
+        section = F.when(F.col("line_no") >= F.col(b), F.lit(k)).otherwise(section)
+    return lines.select("doc_id", "line_no", "line", section.alias("section"))
 
 
 TAG = r"(?U)^\s*(\w+)\s*:\s*(.*)$"
@@ -234,23 +243,35 @@ def interval_points(silences: DataFrame, lengths: DataFrame) -> DataFrame:
 def merge_intervals(intervals: DataFrame, min_ms: int, max_ms: int) -> DataFrame:
     """Adjacent intervals joined until they reach min_ms; those above max_ms split evenly: file_id, idx, start_ms, end_ms.
 
-    The first interval always takes the second in; what is left at the end is kept as it is. A fold
-    over a recording's intervals in order.
+    The first interval always takes the second in; what is left at the end is kept as it is. A recording
+    is cut by jumps: from a cut to the first end of an interval that lies min_ms or more behind it.
     """
-    rows = intervals.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start_ms").cast("long").alias("s"), F.col("end_ms").cast("long").alias("e")))).alias("xs"))
-    fold = f"""
-      aggregate(slice(xs, 2, size(xs)),
-        named_struct('s', xs[0].s, 'e', xs[0].e, 'out', cast(array() as array<struct<s: bigint, e: bigint>>)),
-        (a, x) -> CASE
-          WHEN x.e - a.s < {min_ms} THEN named_struct('s', a.s, 'e', x.e, 'out', a.out)
-          ELSE named_struct('s', x.e, 'e', x.e, 'out', concat(a.out,
-            CASE WHEN x.e - a.s <= {max_ms} THEN array(named_struct('s', a.s, 'e', x.e))
-            ELSE transform(sequence(0, cast(ceil((x.e - a.s) / {max_ms}) as int) - 1), i -> named_struct(
-              's', a.s + i * cast(ceil((x.e - a.s) / ceil((x.e - a.s) / {max_ms})) as bigint),
-              'e', least(x.e, a.s + (i + 1) * cast(ceil((x.e - a.s) / ceil((x.e - a.s) / {max_ms})) as bigint)))) END)) END,
-        a -> CASE WHEN a.e > a.s THEN concat(a.out, array(named_struct('s', a.s, 'e', a.e))) ELSE a.out END)
-    """
-    return rows.select("file_id", F.posexplode(F.expr(fold)).alias("idx", "x")).select("file_id", "idx", F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"))
+
+    def merged(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("start_ms", "ascending"), ("end_ms", "ascending")])
+        ends = rows.column("end_ms").to_numpy()
+        cuts, k = [int(rows.column("start_ms")[0].as_py())], 1
+        while (k := max(k, int(np.searchsorted(ends, cuts[-1] + min_ms)))) < len(ends):
+            cuts.append(int(ends[k]))
+            k += 1
+        pieces = [_evenly(a, b, max_ms) for a, b in zip(cuts, cuts[1:], strict=False)]
+        if ends[-1] > cuts[-1]:
+            pieces.append(np.array([[cuts[-1], ends[-1]]]))
+        found = np.concatenate(pieces) if pieces else np.zeros((0, 2), np.int64)
+        file_id = pa.array([key[0].as_py()] * len(found), rows.schema.field("file_id").type)
+        return pa.table({"file_id": file_id, "idx": pa.array(range(len(found)), pa.int32()), "start_ms": found[:, 0].astype(np.int64), "end_ms": found[:, 1].astype(np.int64)})
+
+    rows = intervals.select("file_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
+    return rows.groupBy("file_id").applyInArrow(merged, f"file_id {rows.schema['file_id'].dataType.simpleString()}, idx int, start_ms long, end_ms long")
+
+
+def _evenly(start: int, end: int, most: int) -> np.ndarray:
+    """Rows of start and end: the interval itself, or as few equal parts (the last may be shorter) as keep to `most`."""
+    if end - start <= most:
+        return np.array([[start, end]])
+    parts = -(-(end - start) // most)
+    edges = start + np.arange(parts + 1) * -(-(end - start) // parts)
+    return np.column_stack((edges[:-1], np.minimum(edges[1:], end)))
 
 
 def chunk_length_problems(chunks: DataFrame, lengths: DataFrame, tolerance_ms: int = 1) -> DataFrame:

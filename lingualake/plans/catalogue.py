@@ -230,7 +230,7 @@ def sections_untitled(t):
 
 
 TITLE = "The"
-SECTIONS_SQL = f"""l AS (SELECT *, regexp_matches(line, '^\\s*(?:(?:[0-9]+\\.|[IVXLCDM]+\\.|[a-zA-Z]\\)|[0-9]+\\))\\s*)?{TITLE}') AS is_title FROM ({LINES_SQL})),
+SECTIONS_SQL = f"""l AS (SELECT *, regexp_matches(line, '^\\s*(?:(?:[0-9]+\\.|[IVX]+\\.|[a-zA-Z]\\)\\.?|[0-9]+\\)\\.?)\\s*)?{TITLE}') AS is_title FROM ({LINES_SQL})),
   p AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS part FROM l),
   s AS (SELECT doc_id, part, {STRIP_SQL.format("max(line) FILTER (WHERE is_title)")} AS title, {STRIP_SQL.format("coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT is_title), '')")} AS content FROM p WHERE part > 0 GROUP BY doc_id, part),
   u AS (SELECT doc_id, title, min(part) AS first, arg_max(content, part) AS content FROM s GROUP BY doc_id, title),
@@ -268,7 +268,7 @@ def _protocol_sql() -> str:
 
 @query(_protocol_sql())
 def protocol_segments(t):
-    return segment.protocol_segments(segment.document_lines(t("documents")), PROTOCOL)
+    return segment.protocol_segments(t("documents"), PROTOCOL)
 
 
 TALK_SQL = f"SELECT conv_id, string_agg({TURN_SQL}, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
@@ -424,9 +424,12 @@ def transcript_text(t):
     return speech.transcript_text(t("conversations").select("conv_id", F.col("turn").alias("utt_idx"), F.col("role").alias("speaker"), "text"), "conv_id")
 
 
-@query("""WITH m AS (SELECT user_id AS file_id, (epoch_us(ts) // 1000)::BIGINT - min((epoch_us(ts) // 1000)::BIGINT) OVER (PARTITION BY user_id) AS ms, event_type FROM events), p AS (SELECT file_id, (ms + ms + 1000) // 2 AS pt FROM m WHERE event_type = 'click' UNION ALL SELECT file_id, 0 FROM m GROUP BY file_id UNION ALL SELECT file_id, max(ms) + 2000 FROM m GROUP BY file_id),
-  c AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY pt) - 1 AS idx, pt AS start_ms, lead(pt) OVER (PARTITION BY file_id ORDER BY pt) AS end_ms FROM p)
-  SELECT file_id, idx::INT AS idx, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms FROM c WHERE end_ms IS NOT NULL""")
+POINTS_SQL = """m AS (SELECT user_id AS file_id, (epoch_us(ts) // 1000)::BIGINT - min((epoch_us(ts) // 1000)::BIGINT) OVER (PARTITION BY user_id) AS ms, event_type FROM events), p AS (SELECT file_id, (ms + ms + 1000) // 2 AS pt FROM m WHERE event_type = 'click' UNION ALL SELECT file_id, 0 FROM m GROUP BY file_id UNION ALL SELECT file_id, max(ms) + 2000 FROM m GROUP BY file_id),
+  c AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY pt) - 1 AS idx, pt AS start_ms, lead(pt) OVER (PARTITION BY file_id ORDER BY pt) AS end_ms FROM p),
+  points AS (SELECT file_id, idx::INT AS idx, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms FROM c WHERE end_ms IS NOT NULL)"""
+
+
+@query(f"WITH {POINTS_SQL} SELECT file_id, idx, start_ms, end_ms FROM points")
 def interval_points(t):
     return segment.interval_points(*_silences(t))
 
@@ -438,9 +441,18 @@ def _silences(t) -> tuple[DataFrame, DataFrame]:
     return m.filter("event_type = 'click'").select("file_id", "start_ms", (F.col("start_ms") + 1000).alias("end_ms")), m.groupBy("file_id").agg((F.max("start_ms") + 2000).alias("length_ms"))
 
 
-@query()
+LEAST_MS, MOST_MS = 3_600_000, 36_000_000
+
+
+@query(f"""WITH RECURSIVE {POINTS_SQL},
+  cut AS (SELECT file_id, min(start_ms) AS a, 0::BIGINT AS n FROM points GROUP BY file_id
+    UNION ALL SELECT cut.file_id, min(points.end_ms), min(cut.n) + 1 FROM cut JOIN points ON points.file_id = cut.file_id AND points.idx >= 1 AND points.end_ms > cut.a AND points.end_ms >= cut.a + {LEAST_MS} GROUP BY cut.file_id),
+  pair AS (SELECT file_id, n, a, lead(a) OVER (PARTITION BY file_id ORDER BY n) AS b FROM cut),
+  joined AS (SELECT file_id, n, a, coalesce(b, (SELECT max(end_ms) FROM points WHERE points.file_id = pair.file_id)) AS b, CASE WHEN b IS NOT NULL AND b - a > {MOST_MS} THEN (b - a + {MOST_MS} - 1) // {MOST_MS} ELSE 1 END AS k FROM pair),
+  part AS (SELECT file_id, n, a, b, (b - a + k - 1) // k AS size, unnest(range(0, k)) AS i FROM joined WHERE b > a)
+  SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY n, i) - 1)::INT AS idx, (a + i * size)::BIGINT AS start_ms, least(a + (i + 1) * size, b)::BIGINT AS end_ms FROM part""")
 def interval_merge(t):
-    return segment.merge_intervals(segment.interval_points(*_silences(t)), 3_600_000, 36_000_000)
+    return segment.merge_intervals(segment.interval_points(*_silences(t)), LEAST_MS, MOST_MS)
 
 
 @query("SELECT user_id AS file_id, round(sqrt(avg(value * value)), 6) AS rms, round(CASE WHEN avg(value * value) > 0 THEN 0.1 / sqrt(avg(value * value)) ELSE 1 END, 6) AS gain FROM events GROUP BY user_id")

@@ -50,6 +50,11 @@ def test_titled_sections(spark):
     text = "lost\n1. Part: one\na\n\nPart: two\nb\n1. Part: one\nc"
     got = segment.titled_sections(docs(spark, text, "none"), "Part:").orderBy("section_idx").collect()
     assert [(r["section_idx"], r["title"], r["content"]) for r in got] == [(0, "1. Part: one", "c"), (1, "Part: two", "b")]
+    marks = ["1.", "IV.", "a)", "B)", "12)", "a).", "B).", "1)."]
+    lines = "\n".join(f"{m} Part: {k}\nbody {k}" for k, m in enumerate(marks)) + "\nL. Part: no\nM) x Part: no"
+    got = segment.titled_sections(docs(spark, lines), "Part:").orderBy("section_idx").collect()
+    assert [r["title"] for r in got] == [f"{m} Part: {k}" for k, m in enumerate(marks)]
+    assert got[-1]["content"] == f"body {len(marks) - 1}\nL. Part: no\nM) x Part: no"
     problems = segment.section_problems(segment.titled_sections(docs(spark, text, "none", "Part: x"), "Part:"), docs(spark, text, "none", "Part: x"), 2).collect()
     assert {(r["doc_id"], r["problem"]) for r in problems} == {(1, "no section"), (2, "number of sections"), (2, "blank section")}
     with pytest.raises(ValueError):
@@ -89,32 +94,33 @@ def test_context_chunks_match_a_loop(spark):
         segment.context_chunks(t, 8, 0)
 
 
-def test_interval_merge_matches_a_loop(spark):
-    def loop(xs, least, most):
-        out, (a, b) = [], xs[0]
-        for _, e in xs[1:]:
-            b = e
-            if b - a < least:
-                continue
-            if b - a > most:
-                k = -(-(b - a) // most)
-                size = -(-(b - a) // k)
-                out += [(a + i * size, min(a + (i + 1) * size, b)) for i in range(k)]
-            else:
-                out.append((a, b))
-            a = b
-        return out + ([(a, b)] if b > a else [])
-
+def test_merged_intervals_cover_and_keep_the_bounds(spark):
     rng = np.random.RandomState(0)
-    rows, want = [], {}
-    for f in range(20):
-        cuts = np.cumsum(rng.randint(1, 90, rng.randint(2, 12))).tolist()
-        xs = list(zip([0, *cuts], cuts, strict=False))
-        rows += [(f, i, a, b) for i, (a, b) in enumerate(xs)]
-        want[f] = loop(xs, 60, 100)
-    got = segment.merge_intervals(spark.createDataFrame(rows, "file_id int, idx int, start_ms long, end_ms long"), 60, 100)
-    for f, w in want.items():
-        assert [(r["start_ms"], r["end_ms"]) for r in got.filter(F.col("file_id") == f).orderBy("idx").collect()] == w
+    points = {f: np.concatenate(([5], 5 + np.cumsum(rng.randint(1, 290 if f % 3 else 90, rng.randint(1, 14))))).tolist() for f in range(30)}
+    rows = [(f, i, a, b) for f, p in points.items() for i, (a, b) in enumerate(zip(p, p[1:], strict=False))]
+    least, most = 60, 100
+    got = {f: [] for f in points}
+    for r in segment.merge_intervals(spark.createDataFrame(rows, "file_id int, idx int, start_ms long, end_ms long"), least, most).orderBy("file_id", "idx").collect():
+        got[r["file_id"]].append((r["start_ms"], r["end_ms"]))
+    for f, p in points.items():
+        pieces = got[f]
+        assert pieces[0][0] == p[0] and pieces[-1][1] == p[-1]
+        assert all(b == c for (_, b), (c, _) in zip(pieces, pieces[1:], strict=False))
+        ends = set(p[2:]) or {p[-1]}  # the first interval is never alone
+        # Cuts at given points; between two of them the pieces are even.
+        begin, inside = p[0], []
+        for a, b in pieces:
+            inside.append(b - a)
+            if b in ends and (sum(inside) <= most or len(set(inside[:-1])) <= 1 and inside[-1] <= inside[0]):
+                whole = b - begin
+                if b != p[-1]:
+                    assert whole >= least
+                # No cut was possible before.
+                assert not any(begin + least <= e < b for e in ends)
+                if b != p[-1] or whole >= least and len(inside) > 1:
+                    assert len(inside) == max(1, -(-whole // most)) and max(inside) <= most
+                begin, inside = b, []
+        assert not inside
 
 
 def test_timestamp_repair(spark):
