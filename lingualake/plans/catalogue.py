@@ -682,11 +682,11 @@ def topic_info(t):
     return topics.topic_info(t("documents"), "lang")
 
 
-PROB_SQL = "pb AS (SELECT vec_id, d - 1 AS topic_id, abs(embedding[d]::DOUBLE) AS probability FROM embeddings, range(1, 9) r(d))"
+PROB_SQL = "pb AS (SELECT vec_id, d - 1 AS topic_id, abs(embedding[d]::DOUBLE) AS probability FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings))"
 
 
 def probabilities(t) -> DataFrame:
-    e = t("embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 8)).alias("topic_id", "x"))
+    e = t("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("topic_id", "x"))
     return e.select("vec_id", "label", F.col("topic_id").cast("long").alias("topic_id"), F.abs(F.col("x").cast("double")).alias("probability"))
 
 

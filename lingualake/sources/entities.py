@@ -92,8 +92,11 @@ def violations(paths: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str, task: str | None = None) -> DataFrame:
-    """Files under root/participants: path, name, entities; filters on them come before any content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/participants").select("path", "length", "content")
+    """Files under root/participants: path, length, content, name, entities; with a task only files named for it are opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if task and task.isalnum():
+        reader = reader.option("pathGlobFilter", f"*task-{task}*")
+    files = reader.load(f"{root}/participants").select("path", "length", "content")
     files = files.withColumn("name", file_name(F.col("path"))).filter(~is_hidden("name"))
     files = files.withColumn("entities", parse_entities("name"))
     return files.filter(entity("task") == task) if task else files

@@ -245,7 +245,8 @@ def documents_of_transcripts(audio: DataFrame, transcripts: DataFrame) -> DataFr
 
 def read_similarity_csv(spark: SparkSession, path: str) -> DataFrame:
     """Similarity tables written in sections: path, section_idx (from 0), metric, score; headers and blanks dropped."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("n"), "value")
+    # Whole files: the order of lines holds however large a file is.
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     new = F.trim(F.replace("value", F.lit(","), F.lit(""))) == "New Section"
     rows = rows.withColumn("section_idx", F.sum(new.cast("int")).over(w))
