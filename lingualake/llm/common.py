@@ -156,26 +156,29 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
+def runs(batches, *keys: str):
+    """Runs of equal keys in each of the Arrow batches, as (key values, slice of the batch)."""
+    for b in batches:
+        rows = list(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in keys), strict=True))
+        start = 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or rows[i] != rows[start]:
+                yield rows[start], b.slice(start, i - start)
+                start = i
+
+
 def groups(batches, *keys: str):
     """Runs of equal keys in sorted Arrow batches, as (key values, table); a run may span batches."""
     import pyarrow as pa
 
     held: list = []
     now: tuple | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        columns = [b.column(b.schema.get_field_index(k)).to_pylist() for k in keys]
-        rows = list(zip(*columns, strict=True))
-        start = 0
-        for i in range(1, len(rows) + 1):
-            if i == len(rows) or rows[i] != rows[start]:
-                if now is not None and rows[start] != now:
-                    yield now, pa.Table.from_batches(held)
-                    held = []
-                now = rows[start]
-                held.append(b.slice(start, i - start))
-                start = i
+    for key, part in runs(batches, *keys):
+        if held and key != now:
+            yield now, pa.Table.from_batches(held)
+            held = []
+        now = key
+        held.append(part)
     if held:
         yield now, pa.Table.from_batches(held)
 

@@ -7,11 +7,15 @@ of rows gets an M-tree over that metric: leaf pages hold vectors and their dista
 pivot, routing pages hold pivots with covering radii and distances to their parent's pivot. A
 query visits pages best first by the least distance that their radius allows; inside a page, the
 stored distances rule entries out by the triangle inequality before any distance to them is
-computed. Bounds carry a margin for rounding and never rule out ties; scores are exact integers.
+computed. The metric works on vectors divided by a power of two, the tree's and the query's own, which
+leaves the order as it is and keeps squares finite. Bounds carry a margin for rounding and never rule
+out ties; scores are exact integers, of any size.
 
 Rows are dealt to shards by a hash of the id; equal vectors of a shard share an entry with their
-ids in order, so copies cost nothing. The pages of a shard meet blocks of queries, both bounded by
-parameters, and k rows leave for each query and shard.
+ids in order, so copies cost nothing. A task holds the pages of one shard and reads a block of queries
+as a stream; the blocks are large, so that a shard's pages are sent seldom: with a query for each 50
+rows, n rows travel n / (50 BLOCK_ROWS) times as pages and n / (50 SHARD_ROWS) times as queries. k rows
+leave for each query and shard.
 
 Edge cases: rows without an id, null vectors and those with null or non-finite components take no
 part; shorter vectors count as padded with zeros; scores
@@ -32,10 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import groups, bounded_batches
+from .common import bounded_batches, groups, runs
 
 #: Rows of a shard and queries of a block.
-SHARD_ROWS, BLOCK_ROWS = 8192, 512
+SHARD_ROWS, BLOCK_ROWS = 8192, 32768
 
 #: Entries of a page.
 PAGE = 96
@@ -44,12 +48,6 @@ PAGE = 96
 MARGIN = 1e-9
 
 
-def exact(m: np.ndarray) -> np.ndarray:
-    """Whole numbers in the cheapest type whose products and sums stay exact."""
-    top = max([1, *(abs(int(x)) for x in (m.min(initial=0), m.max(initial=0)))])
-    return m.astype(np.float64) if top * top * max(1, m.shape[-1]) < 1 << 52 else np.array([[int(x) for x in r] for r in np.atleast_2d(m)], object).reshape(m.shape)
-
-
 def quantise(vectors: list[list[float]], scale: int) -> np.ndarray:
     """floor(scale * x) as a matrix, shorter vectors padded with zeros."""
     width = max(map(len, vectors), default=0)
@@ -67,15 +65,25 @@ def _fit(m: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _halvings(m: np.ndarray) -> int:
+    """The power of two that brings all numbers to 1 at most."""
+    return int(np.frexp(np.abs(m).max(initial=0))[1])
+
+
 class MTree:
-    """Pages of one shard; page 0 is the root.
+    """Pages of one shard; page 0 is the root, with its pivot at the end.
 
     A leaf: (True, parent distances, vectors, entry numbers). A routing page: (False, parent
-    distances, radii, pivots, child pages). Pivots and vectors have the extra component.
+    distances, radii, pivots, child pages). Pivots are divided by 2**halvings and have the extra component.
     """
 
-    def __init__(self, pages: list[tuple], ids: list[list[int]], top: float):
-        self.pages, self.ids, self.top = pages, ids, top
+    def __init__(self, pages: list[tuple], ids: list[list[int]], top: float, peak: float, halvings: int):
+        self.pages, self.ids, self.top, self.peak, self.halvings = pages, ids, top, peak, halvings
+
+    @property
+    def head(self) -> tuple:
+        """What there is beside the pages."""
+        return self.ids, self.top, self.peak, self.halvings
 
     @classmethod
     def build(cls, ids: list[int], vectors: np.ndarray, page: int = PAGE, seed: int = 0) -> MTree:
@@ -83,9 +91,11 @@ class MTree:
         lists: list[list[int]] = [[] for _ in own]
         for i, e in sorted(zip(ids, which.ravel().tolist(), strict=True)):
             lists[e].append(i)
-        square = (own * own).sum(axis=1) if len(own) else np.empty(0)
+        halvings = _halvings(own)
+        points = np.ldexp(own, -halvings)
+        square = (points * points).sum(axis=1) if len(own) else np.empty(0)
         top = float(square.max(initial=0))
-        points = np.column_stack((own, np.sqrt(np.maximum(0, top - square)))) if len(own) else own
+        points = np.column_stack((points, np.sqrt(np.maximum(0, top - square)))) if len(own) else points
         pages: list[tuple] = []
         rng = np.random.RandomState(seed)
 
@@ -93,8 +103,7 @@ class MTree:
             number = len(pages)
             pages.append(())
             if len(members) <= page:
-                p = points[members]
-                pages[number] = (True, np.sqrt(((p - pivot) ** 2).sum(axis=1)), p, members)
+                pages[number] = (True, np.sqrt(((points[members] - pivot) ** 2).sum(axis=1)), own[members], members)
                 return number
             k = min(page, -(-len(members) // page) + 1)
             centres = points[rng.choice(members, k, replace=False)]
@@ -115,24 +124,30 @@ class MTree:
 
         if len(own):
             make(np.arange(len(own)), points.mean(axis=0))
-            root = pages[0]
-            pages[0] = (*root, points.mean(axis=0))
-        return cls(pages, lists, top)
+            pages[0] = (*pages[0], points.mean(axis=0))
+        return cls(pages, lists, top, float(np.abs(own).max(initial=0)), halvings)
 
     def search(self, query: np.ndarray, k: int, without: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), larger scores and then smaller ids first; `without` is no answer."""
         if not self.pages:
             return []
-        width = self.pages[0][2 if self.pages[0][0] else 3].shape[1] - 1
         # Components that no stored vector has add nothing to a score.
-        q = np.append(_fit(query, width), 0.0)
+        whole = _fit(query, len(self.pages[0][-1]) - 1)
+        float_is_exact = self.peak * float(np.abs(whole).max(initial=0)) * max(1, len(whole)) < 1 << 52
+        halvings = _halvings(whole)
+        q = np.append(np.ldexp(whole, -halvings), 0.0)
+        halvings += self.halvings
         square = float((q * q).sum())
         best: list[tuple[int, int]] = []
-        margin = MARGIN * (square + self.top) + 1e-6
+        margin = MARGIN * (square + self.top)
+        slack = MARGIN * float(np.sqrt(square + self.top))
 
         def reach() -> float:
-            """Distance within which an answer can still be."""
-            return np.inf if len(best) < k else float(np.sqrt(max(0.0, square + self.top - 2 * best[-1][0]) + margin))
+            """Distance within which an answer can still be, rounded up."""
+            if len(best) < k:
+                return np.inf
+            score = float(np.ldexp(float(best[-1][0]), -halvings))
+            return float(np.sqrt(max(0.0, square + self.top - 2 * score) + margin)) * (1 + MARGIN) + slack
 
         heap = [(0.0, 0, float(np.sqrt(((q - self.pages[0][-1]) ** 2).sum())))]
         while heap:
@@ -142,17 +157,23 @@ class MTree:
                 break
             node = self.pages[number]
             if node[0]:
-                _, parent, points, members = node[:4]
-                near = np.flatnonzero(np.abs(to_pivot - parent) <= far * (1 + MARGIN) + 1e-6)
+                _, parent, vectors, members = node[:4]
+                near = np.flatnonzero(np.abs(to_pivot - parent) <= far)
                 if not len(near):
                     continue
-                scores = points[near] @ q
-                low = best[-1][0] if len(best) >= k else -np.inf
-                for j in np.flatnonzero(scores >= low):
+                if float_is_exact:
+                    scores = vectors[near] @ whole
+                    if len(best) >= k:
+                        good = scores >= best[-1][0]
+                        near, scores = near[good], scores[good]
+                    scored = [int(x) for x in scores]
+                else:
+                    scored = [sum(int(a) * int(b) for a, b in zip(v, whole, strict=True)) for v in vectors[near]]
+                for j, score in zip(near.tolist(), scored, strict=True):
                     found = 0
-                    for i in self.ids[members[near[j]]]:
+                    for i in self.ids[members[j]]:
                         if i != without:
-                            best.append((round(float(scores[j])), i))
+                            best.append((score, i))
                             found += 1
                             if found == k:
                                 break
@@ -160,27 +181,15 @@ class MTree:
                 del best[k:]
             else:
                 _, parent, radii, pivots, children = node[:5]
-                near = np.flatnonzero(np.abs(to_pivot - parent) - radii <= far * (1 + MARGIN) + 1e-6)
+                near = np.flatnonzero(np.abs(to_pivot - parent) - radii <= far)
                 d = np.sqrt(((pivots[near] - q) ** 2).sum(axis=1))
                 for j, x in zip(near.tolist(), d.tolist(), strict=True):
                     bound = max(least, x - radii[j])
-                    if bound <= far * (1 + MARGIN) + 1e-6:
+                    if bound <= far:
                         heapq.heappush(heap, (bound, int(children[j]), x))
         return best
 
 
-class Scan:
-    """The same answers for numbers too large for exact floating point: every row is compared."""
-
-    def __init__(self, ids: list[int], vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-
-    def search(self, query: np.ndarray, k: int, without: int | None = None) -> list[tuple[int, int]]:
-        q = [int(x) for x in query]
-        scored = ((sum(int(a) * b for a, b in zip(v, q, strict=False)), i) for i, v in zip(self.ids, self.vectors, strict=True) if i != without)
-        return heapq.nsmallest(k, scored, key=lambda x: (-x[0], x[1]))
-
-
 def usable(id_column: str, vector: str) -> Column:
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
@@ -197,9 +206,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, sha
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard,), t in groups(batches, "shard"):
             ids, m = t.column("vec_id").to_pylist(), quantise(t.column("embedding").to_pylist(), scale)
-            small = exact(m).dtype != object and np.abs(m).max(initial=0) < 1 << 20
-            tree = MTree.build(ids, m) if small else Scan(ids, m)
-            pages = [pickle.dumps((tree.ids, tree.top))] + [pickle.dumps(p) for p in tree.pages] if small else [pickle.dumps(("scan", ids, m))]
+            tree = MTree.build(ids, m)
+            pages = [pickle.dumps(x) for x in (tree.head, *tree.pages)]
             n = len(pages)
             yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(pages, pa.binary())], ["shard", "page", "body"])
 
@@ -212,17 +220,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, sha
     asked = asked.select(every(shards).alias("shard"), "block", F.lit(1).alias("kind"), F.col("vec_id").alias("n"), none.cast("binary").alias("body"), "embedding")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = None
-        for (_, _, kind), t in groups(batches, "shard", "block", "kind"):
+        tree, now, bodies = None, None, []
+        for (shard, block, kind), part in runs(batches, "shard", "block", "kind"):
+            if (shard, block) != now:
+                tree, now, bodies = None, (shard, block), []
             if kind == 0:
-                bodies = [pickle.loads(x) for x in t.column("body").to_pylist()]
-                tree = Scan(*bodies[0][1:]) if bodies[0][0] == "scan" else MTree(bodies[1:], *bodies[0])
+                bodies += [pickle.loads(x) for x in part.column("body").to_pylist()]
+                continue
+            if not bodies:  # a shard without rows
                 continue
+            tree = tree or MTree(bodies[1:], *bodies[0])
             out: list[tuple] = []
-            ids = t.column("n").to_pylist()
-            for i, q in zip(ids, quantise(t.column("embedding").to_pylist(), scale), strict=True):
-                out += [(i, other, s) for s, other in (tree.search(q, k, i) if tree else [])]
-            tree = None
+            for i, q in zip(part.column("n").to_pylist(), quantise(part.column("embedding").to_pylist(), scale), strict=True):
+                out += [(i, other, s) for s, other in tree.search(q, k, i)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 

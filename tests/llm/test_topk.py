@@ -39,10 +39,24 @@ def test_few_and_large_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in mtree.top_k(df, df.filter("vec_id = 0")).collect())
     assert got == [(0, 1, 1, 2560000000 * 2304000000 - 768 * 1280), (0, 2, 50, 2560000000 * 1792 - 768 * 2560000000)]
+    huge = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1e200, 2.0]), (2, [-1e200, 3.0]), (3, [4.0, 0.5])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in mtree.top_k(huge, huge.filter("vec_id = 0")).collect())
+    assert got == [(0, 1, 2, 256 * 768), (0, 2, 1, 256 * 512), (0, 3, 3, 256 * 128)]
     none = df.filter("vec_id < 0")
     assert mtree.top_k(none, none).count() == 0
 
 
+def test_large_numbers_are_searched_in_the_tree():
+    rng = np.random.RandomState(2)
+    points = np.floor(2.0**28 * rng.randn(900, 6))  # products need more than 53 bits, some share a leading part
+    points[::3] = points[0] + rng.randint(0, 3, (300, 6))
+    tree = mtree.MTree.build(list(range(900)), points, page=20)
+    whole = [[int(x) for x in v] for v in points]
+    for i in range(0, 900, 37):
+        want = sorted(((-sum(a * b for a, b in zip(whole[i], v, strict=True)), j) for j, v in enumerate(whole) if j != i))[:5]
+        assert tree.search(points[i], 5, i) == [(-s, j) for s, j in want]
+
+
 def test_pruning_computes_less():
     rng = np.random.RandomState(1)
     points = np.floor(256 * (rng.randn(40, 16)[np.arange(4000) % 40] + 0.01 * rng.randn(4000, 16)))
