@@ -14,6 +14,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def mean(c: Column) -> Column:
+    """Aggregate: the mean of vectors of one length, summed up as vectors on the way."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vector_to_array(Summarizer.mean(array_to_vector(doubles(c))))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

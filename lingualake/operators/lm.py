@@ -20,29 +20,34 @@ def bigram_scores(tokens: DataFrame, key: Sequence[str], alpha: float = 1.0) ->
     """tokens (key, pos, token) with scores; the first token of a key has none.
 
     P(b | a) = (n(a, b) + alpha) / (n(a) + alpha V). Unseen followers share the rest evenly; ties for the
-    likeliest go to the lesser token, and where nothing was seen to the least word of all.
+    likeliest go to the lesser token.
+
+    The model is joined to the counted pairs first, so tokens meet one table, on both words: a frequent word is
+    spread over all its followers, and the first tokens, which have none before them, stay out of the join.
     """
     w = Window.partitionBy(*key).orderBy("pos")
     pairs = tokens.withColumn("before", F.lag("token").over(w))
     seen = pairs.filter("before IS NOT NULL").groupBy("before", "token").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = tokens.agg(F.count_distinct("token").alias("v"), F.min("token").alias("least"))
+    vocabulary = tokens.agg(F.count_distinct("token").alias("v"))
     after = seen.groupBy("before").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("kinds"),
         F.max("n").alias("most"),
-        F.max(F.struct("n", F.lit(0).alias("z"))).alias("x"),
+        F.min(F.struct(-F.col("n"), "token"))["token"].alias("most_likely_token"),
         F.sum(F.col("n") + alpha).alias("mass"),
         F.sum((F.col("n") + alpha) * F.log(F.col("n") + alpha)).alias("plogp"),
-    ).drop("x")
-    best = seen.join(after.select("before", "most"), "before").filter("n = most").groupBy("before").agg(F.min("token").alias("most_likely_token"))
-    model = after.join(best, "before").crossJoin(F.broadcast(vocabulary))  # one row
+    )
+    model = after.crossJoin(F.broadcast(vocabulary))  # one row
     z = F.col("total") + alpha * F.col("v")
     unseen = F.col("v") - F.col("kinds")
     entropy = F.log(z) - (F.col("plogp") + unseen * (alpha * F.log(F.lit(alpha)) if alpha > 0 else 0.0)) / z
     model = model.select("before", z.alias("z"), F.log((F.col("most") + alpha) / z).alias("logprob_max"), entropy.alias("entropy"), "most_likely_token")
-    out = pairs.join(seen, ["before", "token"], "left").join(model, "before", "left")
-    actual = F.log((F.coalesce("n", F.lit(0)) + alpha) / F.col("z"))
-    return out.select(*key, "pos", "token", actual.alias("logprob_actual"), "logprob_max", "entropy", "most_likely_token")
+    actual = F.log((F.col("n") + alpha) / F.col("z"))
+    known = seen.join(model, "before").select("before", "token", actual.alias("logprob_actual"), "logprob_max", "entropy", "most_likely_token")
+    # Every pair was counted, so no row is lost here.
+    later = pairs.filter("before IS NOT NULL").join(known, ["before", "token"]).drop("before")
+    first = pairs.filter("before IS NULL").drop("before").select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in (("logprob_actual", "double"), ("logprob_max", "double"), ("entropy", "double"), ("most_likely_token", "string"))])
+    return later.unionByName(first).select(*key, "pos", "token", "logprob_actual", "logprob_max", "entropy", "most_likely_token")
 
 
 def normal_token(c: Column) -> Column:

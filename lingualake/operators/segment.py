@@ -167,6 +167,23 @@ def sentence_index(tokens: DataFrame, key: Sequence[str], pos: str = "pos", toke
     return tokens.withColumn("sentence", starts_after(F.col(token).rlike(end), list(key), pos))
 
 
+def sentence_tokens(docs: DataFrame, words: Column, key: str = "doc_id", end: str = "[.!?]$") -> DataFrame:
+    """key, pos (from 0), token, sentence (from 0) of each text's words, as sentence_index() numbers them.
+
+    The places after end marks cut the words into slices in the row of the text: nothing is shuffled.
+    """
+    n = F.size("words")
+    starts = F.filter(F.sequence(F.lit(1), n - 1), lambda j: F.get("words", j - 1).rlike(end))
+    d = docs.select(key, words.alias("words")).filter(n > 0)
+    d = d.select(key, "words", F.concat(F.array(F.lit(0)), F.when(n > 1, starts).otherwise(F.array().cast("array<int>"))).alias("starts"))
+
+    def slice_of(begin: Column, s: Column) -> Column:
+        stop = F.coalesce(F.get("starts", s + 1), n)
+        return F.transform(F.slice("words", begin + 1, stop - begin), lambda w, i: F.struct((begin + i).alias("pos"), w.alias("token"), s.cast("long").alias("sentence")))
+
+    return d.select(key, F.inline(F.flatten(F.transform("starts", slice_of))))
+
+
 def sentence_blocks(tokens: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
     """tokens (key, pos from 0, token) with `sentence`: by end marks, or where no token has one, contiguous blocks.
 

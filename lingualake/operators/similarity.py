@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 
+#: Positions of a block where all pairs of a key are asked for.
+BLOCK = 512
+
 METRICS = ("mean_of_window_means", "std_of_window_means", "mean_of_window_stds", "std_of_window_stds", "mean_of_window_medians")
 
 
@@ -45,7 +48,7 @@ def pairs(vectors: DataFrame, key: str, within: int | None = None) -> DataFrame:
     """key, i, j, sim of all pairs i < j, or of those less than `within` apart.
 
     With a bound, the left side is repeated once for each lag and joined by position; without one,
-    pairs of a key meet by the key alone, the number of them being what is asked for.
+    blocks of BLOCK positions of a key meet, so a long text is many tasks and sends each row once for each block.
     """
     a = vectors.select(key, F.col("pos").alias("i"), F.col("vec").alias("va"), F.col("norm").alias("na"))
     b = vectors.select(key, F.col("pos").alias("j"), F.col("vec").alias("vb"), F.col("norm").alias("nb"))
@@ -53,7 +56,11 @@ def pairs(vectors: DataFrame, key: str, within: int | None = None) -> DataFrame:
         a = a.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max(1, within - 1))))).withColumn("j", F.col("i") + F.col("lag"))
         joined = a.join(b, [key, "j"])
     else:
-        joined = a.join(b, key).filter("i < j")
+        last = F.max(F.floor(F.col("pos") / BLOCK)).alias("last_block")
+        mine, theirs = F.floor(F.col("i") / BLOCK), F.floor(F.col("j") / BLOCK)
+        a = a.join(vectors.groupBy(key).agg(last), key).withColumn("block_i", mine).withColumn("block_j", F.explode(F.sequence(mine, F.col("last_block")))).drop("last_block")
+        b = b.withColumn("block_j", theirs).withColumn("block_i", F.explode(F.sequence(F.lit(0).cast("long"), theirs)))
+        joined = a.join(b, [key, "block_i", "block_j"]).filter("i < j")
     return joined.select(key, "i", "j", V.cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")).alias("sim"))
 
 
@@ -140,11 +147,8 @@ def sentence_vectors(tokens: DataFrame, key: str) -> DataFrame:
     """Mean vectors of sentences: tokens (key, pos, token, vec, sentence) to key, pos (sentence from 0), token (text), vec, norm."""
     place = F.dense_rank().over(Window.partitionBy(key).orderBy("sentence")) - 1
     t = tokens.withColumn("place", place)
-    mean = t.select(key, "place", F.posexplode("vec").alias("dim", "x")).groupBy(key, "place", "dim").agg(F.avg("x").alias("x"))
-    mean = mean.groupBy(key, "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("vec"))
-    text = t.groupBy(key, "place").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("rows"))
-    text = text.select(key, "place", F.array_join(F.transform("rows", lambda r: r["token"]), " ").alias("token"))
-    out = mean.join(text, [key, "place"]).select(key, F.col("place").alias("pos"), "token", "vec")
+    found = t.groupBy(key, "place").agg(V.mean(F.col("vec")).alias("vec"), F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("rows"))
+    out = found.select(key, F.col("place").alias("pos"), F.array_join(F.transform("rows", lambda r: r["token"]), " ").alias("token"), "vec")
     return out.withColumn("norm", V.norm(F.col("vec")))
 
 
@@ -165,5 +169,10 @@ def sentence_details(sentences: DataFrame, key: str) -> DataFrame:
 
 
 def mean_pool(tokens: DataFrame, key: str, vector: str = "vec") -> DataFrame:
-    """Mean vector of a key as rows key, dim, x, summed by dimension before the shuffle."""
-    return tokens.select(key, F.posexplode(vector).alias("dim", "x")).groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """Mean vector of a key as rows key, dim, x; a key without vectors has none."""
+    return pooled(tokens, key, vector).select(key, F.posexplode("vec").alias("dim", "x"))
+
+
+def pooled(tokens: DataFrame, key: str, vector: str = "vec") -> DataFrame:
+    """key, vec: the mean vector of a key. One row for each key and task is shuffled."""
+    return tokens.filter(F.col(vector).isNotNull()).groupBy(key).agg(V.mean(F.col(vector)).alias("vec"))

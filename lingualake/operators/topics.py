@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from .similarity import mean_pool
 
 OUTLIER = -1
 
@@ -30,8 +31,7 @@ def fit_topics(units: DataFrame, nr_topics: int, min_topic_size: int = 2, seed:
 
 def centroids(units: DataFrame, topic: str = "topic_id", vector: str = "vec") -> DataFrame:
     """topic, dim, x: mean vectors of topics without the outliers."""
-    rows = units.filter(F.col(topic) != OUTLIER).select(topic, F.posexplode(vector).alias("dim", "x"))
-    return rows.groupBy(topic, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return mean_pool(units.filter(F.col(topic) != OUTLIER), topic, vector)
 
 
 def as_vectors(rows: DataFrame, key: str) -> DataFrame:

@@ -315,7 +315,7 @@ def words_and_tags(t):
 
 @query(f"SELECT doc_id, pos::INT AS pos, token, coalesce(sum(regexp_matches(token, '[.!?]$')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence FROM ({TOKENS_SQL})")
 def sentence_tokens(t):
-    return segment.sentence_index(tokens(t), ["doc_id"])
+    return segment.sentence_tokens(t("documents"), T.words("text"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, pos, replace(replace(replace(token, '.', ''), '!', ''), '?', '') AS token FROM ({TOKENS_SQL})),

@@ -168,7 +168,7 @@ def _topics(r: Run) -> None:
         vectors = t["token_vectors"] = embed(t["tokens"], r.config).cache()
     unit = UTT if not x.chunk_text_units else "unit"
     v = vectors if unit == UTT else vectors.withColumn("unit", F.concat_ws("#", UTT, F.floor(F.col("pos") / x.chunk_size).cast("string")))
-    pooled = topics.as_vectors(similarity.mean_pool(v, unit), unit).withColumnRenamed(unit, "unit_id")
+    pooled = similarity.pooled(v, unit).withColumnRenamed(unit, "unit_id")
     fitted = topics.fit_topics(pooled, x.nr_topics, x.min_topic_size)
     t["topic_assignments"] = fitted.select("unit_id", "topic_id")
     t["topic_info"] = topics.topic_info(fitted)
@@ -181,7 +181,7 @@ def _topics(r: Run) -> None:
         given = spark.createDataFrame([(p,) for p in x.predefined_topics], "predefined_topic string").withColumn("token", F.explode(T.words("predefined_topic")))
         given = given.withColumn("vec", providers.get("embedder", r.config.embeddings.provider)(F.col("token"), r.config.embeddings.dimensions))
         mine = topics.as_vectors(topics.centroids(fitted), "topic_id")
-        t["topic_comparisons"] = topics.compare(mine, topics.as_vectors(similarity.mean_pool(given, "predefined_topic"), "predefined_topic"))
+        t["topic_comparisons"] = topics.compare(mine, similarity.pooled(given, "predefined_topic"))
 
 
 METRICS = {"embeddings": _embeddings, "logits": _logits, "perplexity": _perplexity, "topic_modeling": _topics}

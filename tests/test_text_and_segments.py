@@ -161,3 +161,20 @@ def test_entities(spark):
     paths = [("p", "participants/part-01/t/part-01_x.txt"), ("q", "notes.txt"), ("r", "participants/x.txt")]
     v = entities.violations(spark.createDataFrame(paths, "project string, path string")).filter("severity = 'error'").collect()
     assert {(r["project"], r["rule"]) for r in v} == {("q", "participants folder is missing"), ("r", "no participant folder")}
+
+
+def test_sentences_in_the_row_match_the_window(spark):
+    d = docs(spark, "A b. C! d e", "", None, "one", "one.", ". . x", "no end here", "a? b? c?")
+    t = d.select("doc_id", F.posexplode(T.words("text")).alias("pos", "token"))
+    want = segment.sentence_index(t, ["doc_id"]).select("doc_id", "pos", "token", "sentence").collect()
+    got = segment.sentence_tokens(d, T.words("text")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_scores_of_frequent_and_first_tokens(spark):
+    rows = [("x", i, w) for i, w in enumerate("a b a c a b".split())] + [("y", 0, "a")]
+    got = {(r["k"], r["pos"]): r for r in lm.bigram_scores(spark.createDataFrame(rows, "k string, pos int, token string"), ["k"]).collect()}
+    assert len(got) == 7
+    assert got["x", 0]["logprob_actual"] is None and got["y", 0]["entropy"] is None
+    assert got["x", 1]["logprob_actual"] == pytest.approx(np.log(3 / 6)) and got["x", 3]["logprob_actual"] == pytest.approx(np.log(2 / 6))
+    assert got["x", 3]["most_likely_token"] == "b" and got["x", 2]["most_likely_token"] == "a"

@@ -133,3 +133,19 @@ def test_topics(spark):
     assert c.count() == 2
     k = topics.compare(c, spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0])], "predefined_topic string, vec array<double>"), top=1)
     assert k.filter("is_top_match").count() == 2
+
+
+def test_all_pairs_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    v = np.random.RandomState(4).randn(11, 3)
+    t = table(spark, {"long": v, "short": v[:2], "one": v[:1]})
+    got = {(r["k"], r["i"], r["j"]): r["sim"] for r in similarity.pairs(t, "k").collect()}
+    c = cosines(v)
+    assert len(got) == 55 + 1
+    assert all(s == pytest.approx(c[i, j]) for (_, i, j), s in got.items())
+
+
+def test_pooled_vectors(spark):
+    t = table(spark, {"a": [[1, 0], [0, 4]], "b": [[2, 2]]}).unionByName(spark.createDataFrame([("c", 0, "t", None, None)], "k string, pos int, token string, vec array<double>, norm double"))
+    assert {r["k"]: r["vec"] for r in similarity.pooled(t, "k").collect()} == {"a": [0.5, 2.0], "b": [2.0, 2.0]}
+    assert sorted(tuple(r) for r in similarity.mean_pool(t, "k").collect()) == [("a", 0, 0.5), ("a", 1, 2.0), ("b", 0, 2.0), ("b", 1, 2.0)]
