@@ -40,6 +40,9 @@ class Sections:
 class Embeddings:
     provider: str = "hash"
     dimensions: int = 32
+    tokenization_method: str = "whitespace"
+    tokenizer: str | None = None
+    max_length: int = 512
     lowercase: bool = False
     remove_punctuation: bool = False
     window_sizes: list[Any] = field(default_factory=lambda: [2, 8])
@@ -84,6 +87,7 @@ class Topics:
 
 
 METRICS = ("embeddings", "logits", "perplexity", "topic_modeling")
+TOKENIZATIONS = ("whitespace", "model", "model_roberta")
 STEPS = ("quality_check", "clean_text", "tokenize_text", "normalize_text")
 
 
@@ -150,6 +154,10 @@ def parse(values: dict) -> Config:
         raise ConfigError(f"unknown metrics {bad}; known: {', '.join(METRICS)}")
     if bad := [s for s in c.pipeline_options or {} if s not in STEPS]:
         raise ConfigError(f"unknown pipeline steps {bad}; known: {', '.join(STEPS)}")
+    if c.embeddings.tokenization_method not in TOKENIZATIONS:
+        raise ConfigError(f"unsupported tokenization method {c.embeddings.tokenization_method!r}; known: {', '.join(TOKENIZATIONS)}")
+    if c.embeddings.tokenization_method != "whitespace" and not c.embeddings.tokenizer:
+        raise ConfigError("subword tokens need a tokenizer's file")
     if "perplexity" in c.metrics_to_extract and "logits" not in c.metrics_to_extract[: c.metrics_to_extract.index("perplexity")]:
         raise ConfigError("perplexity needs logits before it")
     if c.sections.has_titles and not c.sections.identifier and c.sections.number:

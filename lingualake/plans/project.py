@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Config
-from ..functions import providers
+from ..functions import providers, subwords
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import aggregate, lm, randomness, segment, similarity, topics
@@ -80,11 +80,27 @@ def embed(toks: DataFrame, config: Config) -> DataFrame:
     """Tokens with vectors, without zero ones; places are numbered anew."""
     e = config.embeddings
     t = toks.filter(~T.is_punctuation_token("token")) if e.exclude_punctuation_tokens else toks
-    t = t.withColumn("vec", providers.get("embedder", e.provider)(F.col("token"), e.dimensions)).withColumn("norm", V.norm(F.col("vec")))
+    if e.tokenization_method == "whitespace":
+        t = t.withColumn("vec", providers.get("embedder", e.provider)(F.col("token"), e.dimensions))
+    else:
+        t = _subword_vectors(t, config)
+    t = t.withColumn("norm", V.norm(F.col("vec")))
     t = similarity.drop_zero_vectors(t)
     return t.withColumn("pos", F.row_number().over(Window.partitionBy(UTT).orderBy("pos")) - 1)
 
 
+def _subword_vectors(toks: DataFrame, config: Config) -> DataFrame:
+    """Subword tokens with their vectors in the context of their turn; only the method `model` keeps special tokens as they are."""
+    e = config.embeddings
+    ids = ["doc_id", "section_idx", "utt_idx", UTT]
+    turn = F.sort_array(F.collect_list(F.struct("pos", "token")))
+    texts = toks.groupBy(*ids).agg(turn.alias("turn")).select(*ids, F.array_join(F.transform("turn", lambda r: r["token"]), " ").alias("text"))
+    made = subwords.embed(subwords.encode(texts, e.tokenizer, UTT, max_length=e.max_length), e.provider, UTT)
+    if e.tokenization_method == "model_roberta":
+        made = T.clean_tokens(made.filter(~T.is_punctuation_token("token")), model=True)
+    return texts.select(*ids).join(made, UTT)
+
+
 def run(spark: SparkSession, root: str, config: Config) -> Run:
     """All tables of a project, none of them written yet."""
     out = Run(config)
