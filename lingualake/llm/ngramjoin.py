@@ -9,10 +9,10 @@ against blocks for large groups, and the exact similarity of all pairs comes fro
 0/1 matrices. A task gives each text its number of links and one edge of a spanning forest; classes
 are the connected components of the verified links.
 
-Edge cases: null texts count as empty; texts without words are copies of one another and have no
-other links; rows equal in id and text are copies; rows with one id and different texts are
-different documents; null ids take part and come first; an empty table gives an empty result;
-dedup() keeps all columns whatever their names.
+Edge cases: null texts count as empty; texts without words are copies of equal texts and have no
+other links (an empty text and one of spaces are two); rows equal in id and text are copies; rows
+with one id and different texts are different documents; null ids take part and come first; an empty
+table gives an empty result; dedup() keeps all columns whatever their names.
 """
 
 from __future__ import annotations
