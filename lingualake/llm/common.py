@@ -6,8 +6,9 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker. Every operator asks for the same, so the order in which
 #: plans are made and run doesn't matter.
@@ -202,3 +203,47 @@ def id_ranges(docs: DataFrame, n: int, key: str = "doc_id") -> tuple:
         return F.when((at + s <= len(cuts)) & (F.get(array, at + s - 1) <= F.col(key).cast("long")), at + s).otherwise(at)
 
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step), len(cuts) + 1
+
+
+def numbered(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """df with `at` (long, from 0), a row's place in its group under the order, and `of`, the rows of its group.
+
+    The group is a column without nulls. Rows are sorted over all partitions by range and written; a table with a row for
+    each partition and group then says how many rows of a group stand before a partition. So a group of any size is
+    numbered by many tasks. `order` should tell rows apart: equal ones go to one partition.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    rows = written(dealt.withColumn("_id", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_id", 33))
+    w = Window.partitionBy(group)
+    parts = rows.groupBy(group, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(group, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(w).alias("of"))
+    return rows.join(parts, [group, "_part"]).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_id") + F.col("_shift")).alias("at"), "of")
+
+
+def pieces(text: Column, gap: str, limit: int, before: int = 0, after: int = 0) -> Column:
+    """A text as pieces for explode: piece (from 0), of (pieces of the text), head, own and tail (strings).
+
+    A text of at most `limit` bytes is one piece as it is. A longer one has its gaps between words (`gap`: what a character
+    class holds) made single spaces and is cut at gaps after `limit` characters or more; head and tail are the `before` last words before a
+    piece and the `after` first ones behind it. A piece ends with a word, so a word longer than the limit stays whole.
+    """
+    plain = F.struct(F.lit(0).alias("piece"), F.lit(1).alias("of"), F.lit("").alias("head"), text.alias("own"), F.lit("").alias("tail"))
+    spaced = F.trim(F.regexp_replace(text, f"[{gap}]+", " "))
+    cut = F.transform(F.regexp_extract_all(spaced, F.lit(f"(?s).{{{limit}}}[^ ]*|.+"), F.lit(0)), lambda x: F.trim(x))
+    # Nested, so that the text is cut once.
+    cuts = F.filter(cut, lambda x: x != "")
+
+    def made(p: Column) -> Column:
+        def piece(own: Column, i: Column) -> Column:
+            # Every piece has a word, so as many pieces as words are wanted do.
+            back = F.split(F.array_join(F.slice(p, F.greatest(i - before + 1, F.lit(1)), F.least(i, F.lit(before))), " "), " ")
+            head = F.array_join(F.slice(back, F.greatest(F.size(back) - before + 1, F.lit(1)), before), " ") if before else F.lit("")
+            tail = F.array_join(F.slice(F.split(F.array_join(F.slice(p, i + 2, after), " "), " "), 1, after), " ") if after else F.lit("")
+            return F.struct(i.alias("piece"), F.size(p).alias("of"), F.when(i > 0, head).otherwise("").alias("head"), own.alias("own"), tail.alias("tail"))
+
+        return F.transform(p, piece)
+
+    many = F.flatten(F.transform(F.array(cuts), made))
+    return F.when((F.octet_length(text) <= limit) | (spaced == ""), F.array(plain)).otherwise(many)

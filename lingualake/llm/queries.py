@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lzfingerprint, mixing, mtree, ngramjoin, repair, rlz, toxicity, vecpack
+from . import langid, licenses, lzfingerprint, merkle, mixing, mtree, ngramjoin, repair, rlz, toxicity, vecpack
 from .common import shared_path, table
 
 
@@ -59,6 +59,68 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents")).drop("tid")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    text = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    seen = F.when(tampered, merkle.leaf(*[text if c == "text" else F.col(c) for c in merkle.FIELDS]))
+    rows = merkle.manifest(docs, seen=seen)
+    folded = merkle.folded(F.coalesce("seen", "leaf"), F.col("proof"))
+    out = rows.select("doc_id", *[merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: crc32 of a column `key` of text, as DuckDB has none: the table of 256 entries comes from its rule.
+_CRC_SQL = """crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), crcs AS (
+  SELECT key, xor(list_reduce(list_transform(range(len(hex(encode(key))) // 2), lambda i: ('0x' || substr(hex(encode(key)), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS crc
+  FROM (SELECT DISTINCT key FROM keys WHERE key IS NOT NULL), crc_table
+)"""
+
+OP12_SQL = f"""
+WITH RECURSIVE keys AS (SELECT doc_id::VARCHAR AS key FROM documents), {_CRC_SQL}, d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(crc % 3 = 0, false) AS tampered,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents LEFT JOIN crcs ON key = doc_id::VARCHAR
+), l AS (
+  SELECT doc_id, tree, tampered, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) AS other FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l
+), n AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS of FROM p
+  UNION ALL
+  SELECT tree, max(level) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(of) + 7) // 8 FROM n WHERE of > 1 GROUP BY tree, pos // 8
+), tops AS (
+  SELECT tree, level AS height, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n WHERE of = 1
+), f AS (
+  SELECT 0 AS level, pos, h, count(*) OVER () AS of FROM tops
+  UNION ALL
+  SELECT max(level) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(of) + 7) // 8 FROM f WHERE of > 1 GROUP BY pos // 8
+), runs AS (
+  SELECT tree, level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM n WHERE of > 1 GROUP BY ALL
+), tree_runs AS (
+  SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM f WHERE of > 1 GROUP BY ALL
+), steps AS (
+  SELECT p.tree, p.pos, r.level, r.hs, (p.pos // power(8, r.level)::BIGINT % 8)::INT AS place FROM p JOIN runs r ON r.tree = p.tree AND r.run = p.pos // power(8, r.level + 1)::BIGINT
+  UNION ALL
+  SELECT p.tree, p.pos, t.height + r.level, r.hs, (t.pos // power(8, r.level)::BIGINT % 8)::INT FROM p JOIN tops t ON t.tree = p.tree JOIN tree_runs r ON r.run = t.pos // power(8, r.level + 1)::BIGINT
+), sides AS (
+  SELECT tree, pos, level, array_to_string(hs[1:place], '') AS a, array_to_string(hs[place + 2:], '') AS z FROM steps
+), proofs AS (
+  SELECT tree, pos, sha256(string_agg(a || z, '' ORDER BY level)) AS proof_sha256 FROM sides GROUP BY tree, pos
+), up AS (
+  SELECT tree, pos, 0 AS level, CASE WHEN tampered THEN other ELSE leaf END AS h FROM p
+  UNION ALL
+  SELECT up.tree, up.pos, up.level + 1, sha256(a || h || z) FROM up JOIN sides s ON s.tree = up.tree AND s.pos = up.pos AND s.level = up.level
+), folds AS (
+  SELECT tree, pos, arg_max(h, level) AS folded_root FROM up GROUP BY tree, pos
+)
+SELECT doc_id, leaf, tops.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN tops ON tops.tree = p.tree LEFT JOIN proofs ON proofs.tree = p.tree AND proofs.pos = p.pos JOIN folds ON folds.tree = p.tree AND folds.pos = p.pos, (SELECT h AS root FROM f WHERE of = 1)
+"""
+
+
 def _op3_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     words = lambda x: "[" + ", ".join(quote(w) for w in sorted(set(licenses.words_of(x)))) + "]"
@@ -185,8 +247,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing, "op10_ngram_join": op10_ngram_join, "pipeline": pipeline}
+    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing, "op10_ngram_join": op10_ngram_join, "op12_manifest": op12_manifest, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": _op3_sql(), "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op3_licenses": _op3_sql(), "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_ngram_join": OP10_SQL, "op12_manifest": OP12_SQL}
