@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lzfingerprint, merkle, mixing, mtree, ngramjoin, repair, rlz, toxicity, vecpack
+from . import backoff, importance, langid, licenses, lzfingerprint, merkle, mixing, mtree, ngramjoin, repair, rlz, toxicity, vecpack
 from .common import shared_path, table
 
 
@@ -70,6 +70,16 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op11_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0
+    rows = backoff.score(table(spark, sf_dir, "documents"), train)
+    return rows.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 #: crc32 of a column `key` of text, as DuckDB has none: the table of 256 entries comes from its rule.
 _CRC_SQL = """crc_table AS (
   SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
@@ -121,6 +131,62 @@ FROM p JOIN tops ON tops.tree = p.tree LEFT JOIN proofs ON proofs.tree = p.tree
 """
 
 
+OP11_SQL = rf"""
+WITH keys AS (SELECT doc_id::VARCHAR AS key FROM documents), {_CRC_SQL}, d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(crc % 10 = 0, true) AS held_out, list_concat([' begin'], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [' end']) AS words
+  FROM documents LEFT JOIN crcs ON key = doc_id::VARCHAR
+), e AS (
+  SELECT rid, doc_id, held_out, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos FROM d
+), t AS (
+  SELECT *, lag(w, 1) OVER o AS v, lag(w, 2) OVER o AS u FROM e WINDOW o AS (PARTITION BY rid ORDER BY pos)
+), c1 AS (
+  SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY w
+), c2 AS (
+  SELECT v, w, count(*) AS n FROM t WHERE NOT held_out AND pos >= 1 GROUP BY v, w
+), c3 AS (
+  SELECT u, v, w, count(*) AS n FROM t WHERE NOT held_out AND pos >= 2 GROUP BY u, v, w
+), z AS (
+  SELECT coalesce(sum(n), 0)::DOUBLE AS total, count(*)::DOUBLE AS kinds FROM c1 WHERE w <> ' begin'
+), p1 AS (
+  SELECT t.*, coalesce(c1.n, 0) AS n, log10((coalesce(c1.n, 0) + 0.1) / (total + 0.1 * (kinds + 1))) AS base, CASE WHEN total = 0 THEN 1 ELSE coalesce(c1.n, kinds) / (total + kinds) END AS p, total
+  FROM t LEFT JOIN c1 ON c1.w = t.w, z WHERE pos >= 1
+), p2 AS (
+  SELECT p1.* EXCLUDE (p), (coalesce(c2.n, 0) + {backoff.STRENGTHS[0]} * p) / (coalesce(x.n, 0) + {backoff.STRENGTHS[0]}) AS p FROM p1 LEFT JOIN c2 ON c2.v = p1.v AND c2.w = p1.w LEFT JOIN c1 x ON x.w = p1.v
+), p3 AS (
+  SELECT p2.* EXCLUDE (p), CASE WHEN pos >= 2 THEN (coalesce(c3.n, 0) + {backoff.STRENGTHS[1]} * p) / (coalesce(x.n, 0) + {backoff.STRENGTHS[1]}) ELSE p END AS p
+  FROM p2 LEFT JOIN c3 ON c3.u = p2.u AND c3.v = p2.v AND c3.w = p2.w LEFT JOIN c2 x ON x.v = p2.u AND x.w = p2.v
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE n > 0) AS n_known, max(total)::BIGINT AS train_tokens, round(sum(base), 6) AS base_score, round(sum(log10(p)), 6) AS score FROM p3 GROUP BY rid, doc_id, held_out
+"""
+
+OP13_SQL = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, NULL, text, false FROM benchmark
+), f AS (
+  SELECT rid, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts
+), w AS (
+  SELECT rid, own, unnest(words) AS key FROM f
+), keys AS (SELECT key FROM w), {_CRC_SQL}, n AS (
+  SELECT rid, own, crc % {importance.BUCKETS} AS bucket, count(*) AS n FROM w JOIN crcs USING (key) GROUP BY ALL
+), b AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE own), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0) AS t FROM n GROUP BY bucket
+), z AS (
+  SELECT coalesce(sum(s), 0)::DOUBLE AS every, coalesce(sum(t), 0)::DOUBLE AS wanted FROM b
+), g AS (
+  SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (every + {importance.BUCKETS}) / ((s + 1.0::DOUBLE) * (wanted + {importance.BUCKETS}))))::BIGINT AS gain FROM b, z
+), x AS (
+  SELECT rid, sum(n.n * gain)::BIGINT AS weight FROM n JOIN g USING (bucket) WHERE own GROUP BY rid
+), r AS (
+  SELECT f.rid, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT::DOUBLE AS h FROM f LEFT JOIN x ON x.rid = f.rid WHERE own
+), y AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM r
+), k AS (
+  SELECT *, n_features >= {importance.LEAST_WORDS} AS fit, row_number() OVER (PARTITION BY n_features >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= {importance.LEAST_WORDS}) AS of FROM y
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= {importance.PERCENT} * of // 100 THEN place END AS rank FROM k
+"""
+
+
 def _op3_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     words = lambda x: "[" + ", ".join(quote(w) for w in sorted(set(licenses.words_of(x)))) + "]"
@@ -247,8 +313,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing, "op10_ngram_join": op10_ngram_join, "op12_manifest": op12_manifest, "pipeline": pipeline}
+    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_licenses": op3_licenses, "op4_fingerprints": op4_fingerprints, "op5_topk": op5_topk, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_substring_dedup": op8_substring_dedup, "op9_mixing": op9_mixing, "op10_ngram_join": op10_ngram_join, "op11_backoff": op11_backoff, "op12_manifest": op12_manifest, "op13_importance": op13_importance, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": _op3_sql(), "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_ngram_join": OP10_SQL, "op12_manifest": OP12_SQL}
+    return {"op3_licenses": _op3_sql(), "op5_topk": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_backoff": OP11_SQL, "op12_manifest": OP12_SQL, "op13_importance": OP13_SQL}
