@@ -27,6 +27,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once: a name in a lambda isn't put in place of by what it stands for."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -172,14 +177,14 @@ def is_punctuation_token(c: Column | str) -> Column:
 
 
 def detokenize(tokens: Column) -> Column:
-    """Text of subword tokens: a word start begins a new word unless only punctuation follows."""
+    """Text of subword tokens: a word start begins a new word unless only punctuation follows; starts inside a token stay."""
 
-    def step(out: Column, t: Column) -> Column:
-        core = F.replace(t, F.lit(WORD_START), F.lit(""))
+    def piece(t: Column) -> Column:
+        core = F.regexp_replace(t, f"^{WORD_START}+", "")
         opens = F.startswith(t, F.lit(WORD_START)) & ~F.contains(F.lit(PUNCTUATION), core)
-        return F.concat(out, F.when(opens, F.concat(F.lit(" "), core)).otherwise(core))
+        return F.when(opens, F.concat(F.lit(" "), core)).otherwise(core)
 
-    return strip(F.regexp_replace(F.aggregate(tokens, F.lit(""), step), " +", " "))
+    return strip(F.regexp_replace(F.array_join(F.transform(tokens, piece), ""), r"(?U)\s+", " "))
 
 
 def alignment_text(c: Column | str) -> Column:

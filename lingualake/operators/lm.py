@@ -17,7 +17,7 @@ from .segment import starts_after
 
 
 def bigram_scores(tokens: DataFrame, key: Sequence[str], alpha: float = 1.0) -> DataFrame:
-    """tokens (key, pos, token) with scores; the first token of a key has none.
+    """tokens (key, pos, token) with scores; the first token of a key (pos 0) has none and no row.
 
     P(b | a) = (n(a, b) + alpha) / (n(a) + alpha V). Unseen followers share the rest evenly; ties for the
     likeliest go to the lesser token.
@@ -45,9 +45,8 @@ def bigram_scores(tokens: DataFrame, key: Sequence[str], alpha: float = 1.0) ->
     actual = F.log((F.col("n") + alpha) / F.col("z"))
     known = seen.join(model, "before").select("before", "token", actual.alias("logprob_actual"), "logprob_max", "entropy", "most_likely_token")
     # Every pair was counted, so no row is lost here.
-    later = pairs.filter("before IS NOT NULL").join(known, ["before", "token"]).drop("before")
-    first = pairs.filter("before IS NULL").drop("before").select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in (("logprob_actual", "double"), ("logprob_max", "double"), ("entropy", "double"), ("most_likely_token", "string"))])
-    return later.unionByName(first).select(*key, "pos", "token", "logprob_actual", "logprob_max", "entropy", "most_likely_token")
+    later = pairs.filter("before IS NOT NULL").join(known, ["before", "token"])
+    return later.select(*key, "pos", "token", "logprob_actual", "logprob_max", "entropy", "most_likely_token")
 
 
 def normal_token(c: Column) -> Column:
@@ -55,21 +54,35 @@ def normal_token(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(T.strip(c), '^"+|"+$', ""), f"^{T.WORD_START}+", "")
 
 
+def plain_token(token: str) -> str:
+    """The same for a token of a configuration."""
+    return str(token).strip().strip('"').lstrip(T.WORD_START)
+
+
 def trim_artifacts(tokens: Column, sequences: Sequence[Sequence[str]]) -> Column:
-    """An array of tokens without any of the sequences at its end, the longest first, as often as one is there.
+    """An array of tokens without any of the sequences at its end: from the end, the longest first, as often as one is there.
 
-    Tokens are compared as one text with a separator that none holds, so each round is one pattern.
+    Only the last tokens that belong to some sequence are gone through, once each at most.
     """
-    import re
+    kinds = sorted({tuple(map(plain_token, s)) for s in sequences if s}, key=lambda s: (-len(s), s))
+    if not kinds:
+        return tokens
+    known = sorted({t for s in kinds for t in s})
+
+    def kept(normal: Column) -> Column:
+        n = F.size(normal)
+
+        def peel(left: Column, _: Column) -> Column:
+            out = left
+            for s in reversed(kinds):
+                there = (left >= len(s)) & (F.slice(normal, F.greatest(left - len(s) + 1, F.lit(1)), len(s)) == F.array(*map(F.lit, s)))
+                out = F.when(there, left - len(s)).otherwise(out)
+            return out
 
-    sep = "\u0001"
-    normal = F.transform(tokens, normal_token)
-    joined = F.concat(F.array_join(F.transform(normal, lambda x: F.concat(F.lit(sep), x)), ""), F.lit(""))
-    kinds = sorted((tuple(s) for s in sequences if s), key=lambda s: (-len(s), s))
-    pattern = "(?:" + "|".join("".join(sep + re.escape(t) for t in s) for s in kinds) + ")+$"
-    left = F.regexp_replace(joined, pattern, "") if kinds else joined
-    n = F.length(left) - F.length(F.replace(left, F.lit(sep), F.lit("")))
-    return F.slice(tokens, F.lit(1), n)
+        odd = F.array_position(F.transform(F.reverse(normal), lambda x: x.isin(*known)), False)
+        return T.bound(F.when(odd > 0, (odd - 1).cast("int")).otherwise(n), lambda run: F.when(run > 0, F.aggregate(F.sequence(F.lit(1), run), n, peel)).otherwise(n))
+
+    return F.slice(tokens, F.lit(1), T.bound(F.transform(tokens, normal_token), kept))
 
 
 def prompt_length(tokens: Column, prompts: Sequence[Sequence[str]]) -> Column:
@@ -81,18 +94,22 @@ def prompt_length(tokens: Column, prompts: Sequence[Sequence[str]]) -> Column:
     return out
 
 
-def section_perplexity(scores: DataFrame, key: Sequence[str]) -> DataFrame:
-    """exp of the negative mean log probability; rows without one count in the mean's divisor, none at all gives null."""
-    return scores.groupBy(*key).agg(F.when(F.count("logprob_actual") > 0, F.exp(-F.sum("logprob_actual") / F.count(F.lit(1)))).alias("perplexity"))
+def section_perplexity(scores: DataFrame, key: Sequence[str], whole: DataFrame | None = None) -> DataFrame:
+    """exp of the negative mean log probability of the scored tokens; null scores count in the divisor, none at all gives null.
+
+    A section's first token has no score, so it isn't among them. `whole` (key) adds the sections without any row, as null.
+    """
+    out = scores.groupBy(*key).agg(F.when(F.count("logprob_actual") > 0, F.exp(-F.sum("logprob_actual") / F.count(F.lit(1)))).alias("perplexity"))
+    return out if whole is None else whole.select(*key).join(out, list(key), "left")
 
 
 def sentence_perplexity(scores: DataFrame, key: str, prompt: Column | None = None) -> DataFrame:
     """key, sentence_index, perplexity; index 0 is the prompt, null without one.
 
-    A sentence ends after a token that holds a full stop. Those with at most one token that isn't
-    punctuation are left out before the rest is numbered from 1.
+    The prompt is the first so many scored tokens: those from place 1 on. A sentence ends after a token that holds a full
+    stop. Those with at most one token that isn't punctuation are left out before the rest is numbered from 1.
     """
-    p = scores.withColumn("in_prompt", F.col("pos") < (prompt if prompt is not None else F.lit(0)))
+    p = scores.withColumn("in_prompt", F.col("pos") <= (prompt if prompt is not None else F.lit(0)))
     head = scores.select(key).distinct().join(section_perplexity(p.filter("in_prompt"), [key]), key, "left").select(key, F.lit(0).cast("long").alias("sentence_index"), "perplexity")
     body = p.filter("NOT in_prompt")
     body = body.withColumn("sentence", starts_after(F.contains("token", F.lit(".")), [key], "pos"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,13 +25,15 @@ def permutation(n: int, seed: int, mode: str = "include0_includeN") -> list[int]
     return [*range(head), *middle, *range(n - tail, n)]
 
 
-def permutation_table(spark: SparkSession, n: int, count: int, mode: str = MODES[0]) -> DataFrame:
-    """perm, i, j: the places that follow each other in permutations 0 (as observed) to count - 1; the seed is the number."""
-    rows = []
+def step_matrix(n: int, count: int, mode: str = MODES[0]) -> np.ndarray:
+    """A row for each permutation 0 (as observed) to count - 1, whose seed is its number; a column for each pair of places i < j: 1 where they follow each other."""
+    column = np.zeros((n, n), int)
+    column[np.triu_indices(n, 1)] = np.arange(n * (n - 1) // 2)
+    out = np.zeros((count, n * (n - 1) // 2))
     for p in range(count):
-        order = permutation(n, p, mode) if p else list(range(n))
-        rows += [(p, min(a, b), max(a, b)) for a, b in zip(order, order[1:], strict=False)]
-    return spark.createDataFrame(rows, "perm int, i int, j int")
+        order = np.array(permutation(n, p, mode) if p else range(n))
+        out[p, column[np.minimum(order[:-1], order[1:]), np.maximum(order[:-1], order[1:])]] = 1
+    return out
 
 
 def first_places(tokens: DataFrame, key: str) -> DataFrame:
@@ -42,21 +46,33 @@ def first_places(tokens: DataFrame, key: str) -> DataFrame:
 def windows(vectors: DataFrame, key: str, size: int = 8, count: int = 1000, mode: str = MODES[0]) -> DataFrame:
     """For each window (from 0) the mean distance of its pairs, and the mean step of the observed and of shuffled orders.
 
-    All windows share the permutations, so they are a small table of the plan (count * (size - 1)
-    rows), joined by the places of a pair in its window.
+    A window's distances come together as one row, and the costs of all orders are one matrix product for a batch of
+    windows: the permutations (count rows of size * (size - 1) / 2 numbers) are the same for all windows.
     """
-    spark = vectors.sparkSession
     n = vectors.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     p = S.pairs(vectors, key, size).join(n, key)
     first, last = F.greatest(F.lit(0), F.col("j") - (size - 1)), F.least(F.col("i"), F.col("n") - size)
     p = p.filter(first <= last).withColumn("window_index", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    p = p.select(key, "window_index", (F.col("i") - F.col("window_index")).alias("i"), (F.col("j") - F.col("window_index")).alias("j"), (1 - F.col("sim")).alias("dist"))
-    pair = p.groupBy(key, "window_index").agg(F.avg("dist").alias("all_pairs_average"))
-    steps = p.join(F.broadcast(permutation_table(spark, size, count, mode)), ["i", "j"])
-    cost = steps.groupBy(key, "window_index", "perm").agg((F.sum("dist") / (size - 1)).alias("cost"))
-    shuffled = F.when(F.col("perm") > 0, F.col("cost"))
-    out = cost.groupBy(key, "window_index").agg(F.max(F.when(F.col("perm") == 0, F.col("cost"))).alias("actual_dist"), F.avg(shuffled).alias("average_dist"), F.stddev_pop(shuffled).alias("std_dist"))
-    return pair.join(out, [key, "window_index"])
+    places = F.struct((F.col("i") - F.col("window_index")).alias("i"), (F.col("j") - F.col("window_index")).alias("j"), (1 - F.col("sim")).alias("dist"))
+    rows = p.groupBy(key, "window_index").agg(F.transform(F.sort_array(F.collect_list(places)), lambda r: r["dist"]).alias("dists"))
+    steps, wide = step_matrix(size, count, mode), size * (size - 1) // 2
+    names = ["all_pairs_average", "actual_dist", "average_dist", "std_dist"]
+
+    def costed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = np.array(b.column("dists").to_pylist(), float).reshape(-1, wide)
+            known = ~np.isnan(d)
+            d = np.where(known, d, 0.0)
+            cost = d @ steps.T / (size - 1)
+            cost[~known.any(axis=1)] = np.nan
+            with np.errstate(all="ignore"):
+                mean = np.where(known.any(axis=1), d.sum(axis=1) / known.sum(axis=1), np.nan)
+            shuffled = cost[:, 1:]
+            found = [mean, cost[:, 0], *((shuffled.mean(axis=1), shuffled.std(axis=1)) if count > 1 else (np.full(len(d), np.nan),) * 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.float64(), from_pandas=True) for x in found)], [key, "window_index", *names])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return rows.mapInArrow(costed, f"{key} {kind}, window_index long, " + ", ".join(f"{c} double" for c in names))
 
 
 def path_length(d: np.ndarray, order: np.ndarray) -> float:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import prepare
 
 #: What may stand before a section title: 1. IV. a) A) 1) and the last three with a dot.
 ENUMERATOR = r"(?:[0-9]+\.|[IVX]+\.|(?:[a-zA-Z]|[0-9]+)\)\.?)\s*"
@@ -57,21 +58,21 @@ def titled_sections(docs: DataFrame, identifier: str) -> DataFrame:
 
     What stands before the first title is dropped. A repeated title keeps its first place and its last content.
     """
-    # All in the row of the document: nothing is shuffled.
-    d = docs.select("doc_id", T.lines("text").alias("rows"))
-    at = F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: F.get(F.col("rows"), i).rlike(title_pattern(identifier)))
-    d = d.filter(F.size("rows") > 0).withColumn("at", at).filter(F.size("at") > 0)
-    title = F.transform("at", lambda i: T.strip(F.get(F.col("rows"), i)))
-    upto = lambda k: F.coalesce(F.get(F.col("at"), k + 1), F.size("rows"))
-    content = F.transform("at", lambda i, k: T.strip(F.array_join(F.slice("rows", i + 2, upto(k) - i - 1), "\n")))
-    d = d.select("doc_id", title.alias("titles"), content.alias("contents")).withColumn("once", F.array_distinct("titles"))
-    # Titles are looked up only in a document that repeats one.
-    last = lambda t: F.size("titles") - F.array_position(F.reverse("titles"), t)
-    repeated = F.transform("once", lambda t: F.struct(t.alias("title"), F.get(F.col("contents"), last(t).cast("int")).alias("content")))
-    single = F.arrays_zip(F.col("titles").alias("title"), F.col("contents").alias("content"))
-    kind = "array<struct<title: string, content: string>>"
-    parts = F.when(F.size("once") == F.size("titles"), single.cast(kind)).otherwise(repeated.cast(kind))
-    return d.select("doc_id", F.posexplode(parts).alias("section_idx", "s")).select("doc_id", "section_idx", "s.title", "s.content")
+    prepare(docs.sparkSession)  # of equal keys a map keeps the first place and the last value
+    pattern = title_pattern(identifier)
+
+    def parts(rows: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.get(rows, i).rlike(pattern))
+        return T.bound(at, lambda at: contents(rows, at))
+
+    def contents(rows: Column, at: Column) -> Column:
+        titles = F.transform(at, lambda i: T.strip(F.get(rows, i)))
+        upto = lambda k: F.coalesce(F.get(at, k + 1), F.size(rows))
+        return F.map_entries(F.map_from_arrays(titles, F.transform(at, lambda i, k: T.strip(F.array_join(F.slice(rows, i + 2, upto(k) - i - 1), "\n")))))
+
+    # All in the row of the document: nothing is shuffled. Without the outer form a filter on the size would repeat the work.
+    found = docs.select("doc_id", F.posexplode_outer(T.bound(T.lines("text"), parts)).alias("section_idx", "s"))
+    return found.filter("section_idx IS NOT NULL").select("doc_id", "section_idx", F.col("s.key").alias("title"), F.col("s.value").alias("content"))
 
 
 def section_problems(sections: DataFrame, docs: DataFrame, number: int | None = None) -> DataFrame:
@@ -172,16 +173,20 @@ def sentence_tokens(docs: DataFrame, words: Column, key: str = "doc_id", end: st
 
     The places after end marks cut the words into slices in the row of the text: nothing is shuffled.
     """
-    n = F.size("words")
-    starts = F.filter(F.sequence(F.lit(1), n - 1), lambda j: F.get("words", j - 1).rlike(end))
-    d = docs.select(key, words.alias("words")).filter(n > 0)
-    d = d.select(key, "words", F.concat(F.array(F.lit(0)), F.when(n > 1, starts).otherwise(F.array().cast("array<int>"))).alias("starts"))
 
-    def slice_of(begin: Column, s: Column) -> Column:
-        stop = F.coalesce(F.get("starts", s + 1), n)
-        return F.transform(F.slice("words", begin + 1, stop - begin), lambda w, i: F.struct((begin + i).alias("pos"), w.alias("token"), s.cast("long").alias("sentence")))
+    def rows_of(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.filter(F.sequence(F.lit(1), n - 1), lambda j: F.get(words, j - 1).rlike(end))
+        return T.bound(F.concat(F.array(F.lit(0)), F.when(n > 1, starts).otherwise(F.array().cast("array<int>"))), lambda starts: sliced(words, starts))
+
+    def sliced(words: Column, starts: Column) -> Column:
+        def slice_of(begin: Column, s: Column) -> Column:
+            stop = F.coalesce(F.get(starts, s + 1), F.size(words))
+            return F.transform(F.slice(words, begin + 1, stop - begin), lambda w, i: F.struct((begin + i).alias("pos"), w.alias("token"), s.cast("long").alias("sentence")))
+
+        return F.flatten(F.transform(starts, slice_of))
 
-    return d.select(key, F.inline(F.flatten(F.transform("starts", slice_of))))
+    return docs.select(key, F.inline_outer(T.bound(words, rows_of))).filter("token IS NOT NULL")
 
 
 def sentence_blocks(tokens: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -203,17 +208,19 @@ def sentence_blocks(tokens: DataFrame, sources: DataFrame, key: str = "doc_id")
 
 
 def topic_chunks_by_sentence(docs: DataFrame, n_tokens: Column) -> DataFrame:
-    """Sentences with the tokens they are allotted by their share of characters, in order until none is left.
+    """Sentences, with their end marks, and the tokens they are allotted by their share of the text's characters, in order until none is left.
 
-    Returns doc_id, chunk (from 0), text, first_token, n_tokens; what the shares leave over is dropped.
+    Returns doc_id, chunk (from 0), text, first_token, n_tokens. White space at sentence borders is in no share, so the
+    last tokens of a text can be left over. A text without sentences is one.
     """
     # Marks with the white space after them end a sentence; a character no text holds marks the places.
-    cut = F.regexp_replace("text", r"[.!?]+(\s+|$)", "\u0001")
-    parts = F.filter(F.transform(F.split(cut, "\u0001"), lambda x: T.strip(x)), lambda x: x != "")
+    cut = F.split(F.regexp_replace("text", r"([.!?]+(?:\s+|$))", "$1\u0001"), "\u0001")
+    found = F.filter(F.transform(cut, lambda x: T.strip(x)), lambda x: x != "")
+    parts = T.bound(found, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array("text")))
     # Counted before the rows are exploded, not again for each of them.
-    rows = docs.select("doc_id", n_tokens.cast("long").alias("total"), parts.alias("parts")).select("doc_id", "total", F.posexplode("parts").alias("chunk", "text"))
+    rows = docs.select("doc_id", n_tokens.cast("long").alias("total"), F.length("text").alias("chars"), parts.alias("parts")).select("doc_id", "total", "chars", F.posexplode_outer("parts").alias("chunk", "text")).filter("chars > 0")
     whole = Window.partitionBy("doc_id")
-    rows = rows.withColumn("share", F.greatest(F.lit(1), F.floor(F.col("total") * F.length("text") / F.sum(F.length("text")).over(whole))))
+    rows = rows.withColumn("share", F.greatest(F.lit(1), F.floor(F.col("total") * (F.length("text") / F.col("chars")))))
     upto = F.sum("share").over(whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("first_token", upto - F.col("share")).filter("first_token < total")
     return rows.select("doc_id", "chunk", "text", "first_token", F.least("share", F.col("total") - F.col("first_token")).alias("n_tokens"))

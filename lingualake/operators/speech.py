@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,23 +77,31 @@ def repair_timestamps(words: DataFrame, key: str, duration: str = "duration") ->
 
     Rows without a word or without both times go. A missing start is the end of the word kept before; a
     missing end is 0.25 s later; times lie between 0 and the duration, and a word lasts 1 ms at least,
-    those that can't go. A fold over a recording's words, as each repair rests on the one before.
+    those that can't go. One pass over a recording's words, as each repair rests on the one before.
     """
     usable = words.filter("word IS NOT NULL AND trim(word) <> '' AND (start_time IS NOT NULL OR end_time IS NOT NULL)")
-    row = F.struct("word_idx", F.trim("word").alias("word"), F.col("start_time").cast("double").alias("s"), F.col("end_time").cast("double").alias("e"))
-    rows = usable.groupBy(key).agg(F.max(F.col(duration).cast("double")).alias("d"), F.sort_array(F.collect_list(row)).alias("xs"))
-    kind = "array<struct<word_idx: int, word: string, s: double, e: double>>"
-    start = "coalesce(x.s, a.last)"
-    end = f"coalesce(x.e, least({start} + 0.25D, d))"
-    low = f"least(greatest({start}, 0D), d)"
-    # Both ends clamped; where nothing is left between them, a millisecond if the duration has one.
-    high = f"CASE WHEN least(greatest({end}, greatest({start}, 0D) + 0.001D), d) > {low} THEN least(greatest({end}, greatest({start}, 0D) + 0.001D), d) ELSE least({low} + 0.001D, d) END"
-    fold = f"""
-      aggregate(xs, named_struct('last', 0D, 'out', cast(array() as {kind})),
-        (a, x) -> CASE WHEN {high} > {low} THEN named_struct('last', {high}, 'out', concat(a.out, array(named_struct('word_idx', cast(x.word_idx as int), 'word', x.word, 's', {low}, 'e', {high})))) ELSE a END,
-        a -> a.out)
-    """
-    return rows.select(key, F.explode(F.expr(fold)).alias("x")).select(key, "x.word_idx", "x.word", F.col("x.s").alias("start_time"), F.col("x.e").alias("end_time"))
+    rows = usable.select(key, F.col("word_idx").cast("int").alias("word_idx"), F.trim("word").alias("word"), F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"), F.col(duration).cast("double").alias("most"))
+
+    def repaired(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("word_idx", "ascending"), ("word", "ascending"), ("start_time", "ascending"), ("end_time", "ascending")])
+        most = max((x for x in block.column("most").to_pylist() if x is not None), default=math.inf)
+        kept, starts, ends, last = [], [], [], 0.0
+        for i, (s, e) in enumerate(zip(block.column("start_time").to_pylist(), block.column("end_time").to_pylist(), strict=True)):
+            s = last if s is None else s
+            e = min(s + 0.25, most) if e is None else e
+            s = max(s, 0.0)
+            e = min(max(e, s + 1e-3), most)
+            s = min(s, most)
+            e = e if e > s else min(s + 1e-3, most)
+            if e > s:
+                kept.append(i)
+                starts.append(s)
+                ends.append(e)
+                last = e
+        return block.take(pa.array(kept, pa.int64())).select([key, "word_idx", "word"]).append_column("start_time", pa.array(starts, pa.float64())).append_column("end_time", pa.array(ends, pa.float64()))
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInArrow(repaired, f"{key} {kind}, word_idx int, word string, start_time double, end_time double")
 
 
 def combine_chunks(chunks: DataFrame, key: str) -> DataFrame:

@@ -199,7 +199,7 @@ def punct_token_filter(t):
     return pieces(t).filter(~T.is_punctuation_token("token"))
 
 
-@query(f"""SELECT doc_id, {STRIP_SQL.format("regexp_replace(string_agg(CASE WHEN contains('!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', token) THEN token ELSE ' ' || token END, '' ORDER BY pos), ' +', ' ', 'g')")} AS content FROM ({PIECES_SQL}) GROUP BY doc_id""")
+@query(f"""SELECT doc_id, {STRIP_SQL.format("regexp_replace(string_agg(CASE WHEN contains('!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', token) THEN token ELSE ' ' || token END, '' ORDER BY pos), '\\s+', ' ', 'g')")} AS content FROM ({PIECES_SQL}) GROUP BY doc_id""")
 def detokenize(t):
     ws = F.filter(F.split(F.regexp_replace("text", "([.,!?;])", " $1 "), " "), lambda x: x != "")
     d = t("documents").filter(F.size(ws) > 0)
@@ -327,9 +327,10 @@ def sentence_fallback(t):
     return segment.sentence_blocks(bare, t("documents").select("doc_id", "text"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, len({WORDS_SQL.format('text')}) AS total, list_filter(list_transform(string_split(regexp_replace(text, '[.!?]+(\\s+|$)', chr(1), 'g'), chr(1)), lambda x: {STRIP_SQL.format('x')}), lambda x: x <> '') AS parts FROM documents),
-  r AS (SELECT doc_id, total, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS chunk FROM s),
-  h AS (SELECT *, greatest(1, floor(total * length(part)::DOUBLE / sum(length(part)) OVER (PARTITION BY doc_id)))::BIGINT AS share FROM r),
+@query(f"""WITH s AS (SELECT doc_id, length(text) AS chars, len({WORDS_SQL.format('text')}) AS total, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+(?:\\s+|$))', '\\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP_SQL.format('x')}), lambda x: x <> '') AS found, text FROM documents WHERE text <> ''),
+  p AS (SELECT *, CASE WHEN len(found) > 0 THEN found ELSE [text] END AS parts FROM s),
+  r AS (SELECT doc_id, total, chars, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS chunk FROM p),
+  h AS (SELECT *, greatest(1, floor(total * (length(part)::DOUBLE / chars)))::BIGINT AS share FROM r),
   f AS (SELECT *, sum(share) OVER (PARTITION BY doc_id ORDER BY chunk) - share AS first_token FROM h)
   SELECT doc_id, chunk::INT AS chunk, part AS text, first_token::BIGINT AS first_token, least(share, total - first_token)::BIGINT AS n_tokens FROM f WHERE first_token < total""")
 def topic_chunks_sentence(t):
@@ -355,15 +356,14 @@ WORDS_TIMED_SQL = "SELECT user_id AS file_id, row_number() OVER w - 1 AS word_id
 
 
 def timed(t) -> DataFrame:
-    """Words from events: each lasts to the next one of its user, 5 s at most; the last one of a user is left out."""
+    """Words from events: each lasts to the next one of its user, 5 s at most; the last one of a user lasts 5 s."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     word = F.concat("event_type", F.when(F.col("event_id") % 5 == 0, ".").otherwise(""))
-    out = t("events").select(F.col("user_id").alias("file_id"), (F.row_number().over(w) - 1).cast("long").alias("word_idx"), word.alias("word"), s.alias("start"), F.least(F.lead(s).over(w), s + 5).alias("end"))
-    return out.withColumn("last", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("word_idx")))).filter("last > 1").drop("last")
+    return t("events").select(F.col("user_id").alias("file_id"), (F.row_number().over(w) - 1).cast("long").alias("word_idx"), word.alias("word"), s.alias("start"), F.least(F.lead(s).over(w), s + 5).alias("end"))
 
 
-TIMED_SQL = f"SELECT * FROM (SELECT *, max(word_idx) OVER (PARTITION BY file_id) AS last FROM ({WORDS_TIMED_SQL})) WHERE word_idx < last"
+TIMED_SQL = f"SELECT * FROM ({WORDS_TIMED_SQL})"
 
 
 def segments(t) -> DataFrame:
@@ -571,7 +571,7 @@ def sentence_details(t):
 
 # Randomness.
 
-W, B = 6, 20
+W, B = 8, 1000
 
 
 def _steps_sql() -> str:
@@ -596,7 +596,7 @@ def randomness_windows(t):
 
 @query()
 def tsp_divergence(t):
-    return randomness.divergence(vectors(t), "label", permutations=200)
+    return randomness.divergence(vectors(t), "label")
 
 
 # Language model.
@@ -605,7 +605,7 @@ SCORES_SQL = f"""tok AS ({TOKENS_SQL}), pr AS (SELECT *, lag(token) OVER (PARTIT
   voc AS (SELECT count(DISTINCT token) AS v FROM tok), af AS (SELECT before, sum(n) AS total, count(*) AS kinds, max(n) AS most, sum((n + 1) * ln(n + 1)) AS plogp FROM seen GROUP BY before),
   bst AS (SELECT s.before, min(token) AS best FROM seen s JOIN af USING (before) WHERE n = most GROUP BY s.before),
   md AS (SELECT af.before, (total + v)::DOUBLE AS z, ln((most + 1) / (total + v)::DOUBLE) AS lmax, ln((total + v)::DOUBLE) - plogp / (total + v) AS entropy, best FROM af JOIN bst USING (before), voc),
-  scores AS (SELECT pr.doc_id, pr.pos, pr.token, ln((coalesce(n, 0) + 1) / z) AS logprob_actual, lmax AS logprob_max, entropy, best AS most_likely_token FROM pr LEFT JOIN seen ON seen.before = pr.before AND seen.token = pr.token LEFT JOIN md ON md.before = pr.before)"""
+  scores AS (SELECT pr.doc_id, pr.pos, pr.token, ln((coalesce(n, 0) + 1) / z) AS logprob_actual, lmax AS logprob_max, entropy, best AS most_likely_token FROM pr LEFT JOIN seen ON seen.before = pr.before AND seen.token = pr.token LEFT JOIN md ON md.before = pr.before WHERE pr.pos >= 1)"""
 
 
 def scores(t) -> DataFrame:
@@ -617,26 +617,41 @@ def bigram_scores(t):
     return scores(t).withColumns({c: r6(c) for c in ("logprob_actual", "logprob_max", "entropy")})
 
 
-@query(f"WITH {SCORES_SQL} SELECT doc_id, CASE WHEN count(logprob_actual) > 0 THEN round(exp(-sum(logprob_actual) / count(*)), 4) END AS perplexity FROM scores GROUP BY doc_id")
+@query(f"WITH {SCORES_SQL} SELECT doc_id, round(exp(-avg(logprob_actual)), 4) AS perplexity FROM documents LEFT JOIN scores USING (doc_id) GROUP BY doc_id")
 def perplexity_section(t):
-    return lm.section_perplexity(scores(t), ["doc_id"]).withColumn("perplexity", F.round("perplexity", 4))
+    return lm.section_perplexity(scores(t), ["doc_id"], t("documents")).withColumn("perplexity", F.round("perplexity", 4))
 
 
-@query(f"""WITH {SCORES_SQL}, f AS (SELECT *, coalesce(sum(contains(token, '.')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM scores WHERE pos >= 3),
+@query(f"""WITH {SCORES_SQL}, f AS (SELECT *, coalesce(sum(contains(token, '.')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM scores WHERE pos > 3),
   g AS (SELECT doc_id, s, count(*) FILTER (WHERE NOT {IS_PUNCT_SQL}) AS words, exp(-sum(logprob_actual) / count(*)) AS p FROM f GROUP BY doc_id, s)
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s)::BIGINT AS sentence_index, round(p, 4) AS perplexity FROM g WHERE words > 1
-  UNION ALL SELECT doc_id, 0, round(exp(-sum(logprob_actual) / count(*)), 4) FROM scores WHERE pos < 3 GROUP BY doc_id""")
+  UNION ALL SELECT doc_id, 0, round(exp(-sum(logprob_actual) / count(*)), 4) FROM scores WHERE pos <= 3 GROUP BY doc_id""")
 def perplexity_sentence(t):
     return lm.sentence_perplexity(scores(t), "doc_id", F.lit(3)).withColumn("perplexity", F.round("perplexity", 4))
 
 
-@query(f"SELECT doc_id, list_concat(ws, []::VARCHAR[]) AS tokens FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS ws FROM documents)")
+ARTIFACTS = [["<|end|>"], ["<|end|>", "▁", "x|"], ["", " x|"], ["a", "b"], ["c", "▁a"], ["b"]]
+TAILS = [["c", "a", "b"], ["c", "a", "b", "b"], ['"▁<|end|>"', "\n", "x|", "▁<|end|>"], ["a", "b", "c", "a"], ["z", "b", "x|", " b"], ["c", "a", "b", "▁c", "a"]]
+
+
+def _artifacts_sql() -> str:
+    """Peels the last tokens off as long as a sequence stands at the end, the longest first; all comparisons on normal forms."""
+    listed = lambda xs: "[" + ", ".join(repr(x).replace("\\n", "' || chr(10) || '") for x in xs) + "]"
+    normal = lambda x: f"ltrim(trim(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '\"'), '▁')"
+    tails = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN {listed(x)}" for k, x in enumerate(TAILS)) + " END"
+    kinds = ", ".join(f"({listed(x)})" for x in ARTIFACTS)
+    return f"""WITH RECURSIVE given(raw) AS (VALUES {kinds}), k AS (SELECT list_transform(raw, lambda x: {normal("x")}) AS seq FROM given),
+      d AS (SELECT doc_id, list_concat({WORDS_SQL.format("text")}, {tails}) AS raw FROM documents), n AS (SELECT doc_id, raw, list_transform(raw, lambda x: {normal("x")}) AS toks FROM d),
+      p AS (SELECT doc_id, len(toks) AS size FROM n
+        UNION ALL SELECT p.doc_id, p.size - max(len(seq)) FROM p JOIN n USING (doc_id), k WHERE p.size >= len(seq) AND toks[p.size - len(seq) + 1:p.size] = seq GROUP BY p.doc_id, p.size)
+      SELECT doc_id, raw[1:size] AS tokens FROM n JOIN (SELECT doc_id, min(size) AS size FROM p GROUP BY doc_id) USING (doc_id)"""
+
+
+@query(_artifacts_sql())
 def artifact_trim(t):
-    # Each text gets two artifact sequences at its end, which must go again.
-    own = T.words("text")
-    odd = F.concat(own, F.array(F.lit('"▁<|end|>"'), F.lit("\n"), F.lit("x|"), F.lit("▁<|end|>")))
-    trimmed = lm.trim_artifacts(odd, [["<|end|>"], ["<|end|>", "", "x|"], ["", "x|"]])
-    return t("documents").select("doc_id", trimmed.alias("tokens"))
+    # Each text gets a tail in which the sequences overlap.
+    tails = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in TAILS]), (F.col("doc_id") % len(TAILS) + 1).cast("int"))
+    return t("documents").select("doc_id", lm.trim_artifacts(F.concat(T.words("text"), tails), ARTIFACTS).alias("tokens"))
 
 
 @query(f"SELECT doc_id, (CASE WHEN ws[1:2] = ['Licensed', 'under'] THEN 2 WHEN ws[1] IN ('The', 'Die') THEN 1 ELSE 0 END)::INT AS n FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS ws FROM documents)")
@@ -659,13 +674,13 @@ def topic_centroids(t):
     return topics.centroids(t("embeddings").withColumn("topic_id", F.col("label") - 1), vector="embedding").withColumn("x", r6("x"))
 
 
-@query(f"""WITH {POOL_SQL}, c AS (SELECT label, array_agg(x ORDER BY dim) AS a FROM (SELECT label, dim, avg(x) AS x FROM x GROUP BY ALL) GROUP BY label), p AS (SELECT 'topic ' || vec_id AS predefined_topic, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id < 6),
+@query(f"""WITH {POOL_SQL}, c AS (SELECT label, array_agg(x ORDER BY dim) AS a FROM (SELECT label, dim, avg(x) AS x FROM x GROUP BY ALL) GROUP BY label), p AS (SELECT 'topic ' || vec_id AS predefined_topic, embedding::DOUBLE[] AS b FROM embeddings),
   s AS (SELECT label AS discovered_topic_id, predefined_topic, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-10) AS sim FROM c, p)
   SELECT discovered_topic_id, predefined_topic, round(sim, 6) AS similarity_score, row_number() OVER (PARTITION BY discovered_topic_id ORDER BY sim DESC, predefined_topic) <= 3 AS is_top_match FROM s""")
 def topic_compare(t):
     e = t("embeddings")
     mine = topics.as_vectors(topics.centroids(e.withColumnRenamed("label", "topic_id"), vector="embedding"), "topic_id")
-    given = e.filter("vec_id < 6").select(F.concat(F.lit("topic "), F.col("vec_id").cast("string")).alias("predefined_topic"), V.doubles(F.col("embedding")).alias("vec"))
+    given = e.select(F.concat(F.lit("topic "), F.col("vec_id").cast("string")).alias("predefined_topic"), V.doubles(F.col("embedding")).alias("vec"))
     return topics.compare(mine, given).withColumn("similarity_score", r6("similarity_score"))
 
 

@@ -170,9 +170,9 @@ def _perplexity(r: Run) -> None:
     bare = F.transform("rows", lambda x: x["token"])
     kept = F.size(lm.trim_artifacts(bare, r.config.logits.trailing_artifact_token_sequences))
     ends = rows.select(UTT, lm.prompt_length(bare, p.ignore_sequences).alias("prompt"), kept.alias("kept"))
-    scored = scored.join(ends, UTT).filter("pos < kept")
+    scored = scored.join(ends, UTT).filter("pos <= kept")
     if p.calculate_section_perplexity:
-        r.tables["perplexity_section"] = lm.section_perplexity(scored.filter("pos >= prompt"), [UTT])
+        r.tables["perplexity_section"] = lm.section_perplexity(scored.filter("pos > prompt"), [UTT])
     if p.calculate_sentence_perplexity:
         r.tables["perplexity_sentence"] = lm.sentence_perplexity(scored, UTT, F.col("prompt"))
 
