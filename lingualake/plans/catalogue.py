@@ -7,6 +7,7 @@ events are timed words of a user.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import providers
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import aggregate, lm, prosody, randomness, segment, similarity, speech, topics
+from ..operators import acoustics, aggregate, intonation, lm, prosody, randomness, segment, similarity, speech, topics
 from ..session import prepare
 from ..sources import entities
 
@@ -826,6 +827,67 @@ def normalized_pitch(t):
     return prosody.normalized_pitch(p, "file_id", "value").select("file_id", "event_id", r6("pitch_percent").alias("pitch_percent"))
 
 
+# Signals and contours: a user's events in order are frames of a pitch, or blocks of a tone; errors are silent.
+
+CONTOUR_SQL = "f AS (SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, CASE WHEN event_type <> 'error' THEN 100 + value END AS hz, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+
+
+def contours(t) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    hz = F.when(F.col("event_type") != "error", 100 + F.col("value"))
+    return t("events").select(F.col("user_id").alias("file_id"), (F.row_number().over(w) - 1).cast("long").alias("frame"), hz.alias("hz"), (40 + F.col("value") / 4).alias("db"))
+
+
+@query()
+def stylized_nuclei(t):
+    f = contours(t)
+    spans = f.groupBy("file_id", F.expr("frame div 12").alias("idx")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    out = intonation.stylize(f, spans, "file_id")
+    return out.withColumns({c: r6(c) for c in (*intonation.VALUES, "inter")}).withColumn("points", F.transform("points", lambda p: F.struct(p["frame"].alias("frame"), F.round(p["hz"], 6).alias("hz"))))
+
+
+@query()
+def loudness_syllables(t):
+    return intonation.syllables(contours(t), "file_id", "db", step=0.05)
+
+
+@query(f"""WITH RECURSIVE {CONTOUR_SQL}, r AS (SELECT file_id, frame, frame AS a, hz AS y FROM f WHERE frame = 0 AND n > 1
+    UNION ALL SELECT f.file_id, f.frame, CASE WHEN coalesce(abs(12 * log2(f.hz / y)) <= 2, f.hz IS NULL AND y IS NULL) THEN a ELSE f.frame END, CASE WHEN coalesce(abs(12 * log2(f.hz / y)) <= 2, f.hz IS NULL AND y IS NULL) THEN y ELSE f.hz END
+    FROM r JOIN f ON f.file_id = r.file_id AND f.frame = r.frame + 1 WHERE f.frame < n - 1)
+  SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY a) - 1 AS idx, a AS first, max(frame) AS last, round(any_value(y), 6) AS hz FROM r GROUP BY file_id, a""")
+def pitch_changes(t):
+    return intonation.pitch_changes(contours(t), "file_id", 2.0).withColumn("hz", r6("hz"))
+
+
+@query(f"""WITH RECURSIVE {CONTOUR_SQL}, r AS (SELECT file_id, frame, CASE WHEN hz IS NULL THEN 'U' ELSE 'T' END AS state, hz, n FROM f WHERE frame = 0
+    UNION ALL SELECT f.file_id, f.frame, CASE WHEN f.hz IS NULL THEN 'U' WHEN state = 'U' THEN 'T' WHEN abs(12 * log2(f.hz / r.hz)) > 1 THEN 'S' ELSE 'T' END, f.hz, f.n FROM r JOIN f ON f.file_id = r.file_id AND f.frame = r.frame + 1),
+  e AS (SELECT file_id, frame, state FROM (SELECT *, lead(state) OVER (PARTITION BY file_id ORDER BY frame) AS following FROM r) WHERE following IS NULL OR following <> state)
+  SELECT file_id, frame AS last, CASE WHEN state = 'T' AND (frame - lag(frame) OVER (PARTITION BY file_id ORDER BY frame)) < 4 THEN 'D' ELSE state END AS kind FROM e""")
+def pitch_terraces(t):
+    return intonation.pitch_terraces(contours(t), "file_id", 1.0, 0.04)
+
+
+def tracked_tones(t) -> DataFrame:
+    """Each event is a tenth of a second of a tone with an overtone, at 8 kHz."""
+    rate = 8000
+    f = contours(t)
+    turn = lambda i, k: F.sin(2 * math.pi * k * F.coalesce("hz", F.lit(0.0)) * i / rate)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(rate // 10 - 1)), lambda i: 0.3 * turn(i, 1) + 0.1 * turn(i, 2))
+    blocks = f.select("file_id", F.col("frame").alias("block"), F.lit(rate).alias("rate"), samples.alias("samples"))
+    return acoustics.track(acoustics.frames(acoustics.overlapped(blocks, "file_id"), "file_id"), "file_id")
+
+
+@query()
+def pitch_track(t):
+    return tracked_tones(t).select("file_id", "frame", r6("hz").alias("hz"), r6("strength").alias("strength"))
+
+
+@query()
+def voice_functionals(t):
+    f = acoustics.functionals(tracked_tones(t), "file_id")
+    return f.select(*[r6(c).alias(c) if k == "double" else F.col(c) for c, k in f.dtypes])
+
+
 @query(f"SELECT doc_id, pos::INT AS pos, list_transform([0, 1, 2, 3], lambda k: round(('0x' || substr(md5(token || '|' || k), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1, 6)) AS vec FROM ({TOKENS_SQL})")
 def hash_embedding(t):
     vec = providers.get("embedder", "hash")(F.col("token"), 4)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import providers
-from ..operators import segment, speech
+from ..operators import acoustics, intonation, prosody, segment, speech
+from ..sources import readers
 
 
 def chunks(audio: DataFrame, min_silence_ms: int = 1000, threshold_db: float = -30.0, min_ms: int = 90_000, max_ms: int = 150_000) -> DataFrame:
@@ -17,6 +18,23 @@ def chunks(audio: DataFrame, min_silence_ms: int = 1000, threshold_db: float = -
     return segment.merge_intervals(segment.interval_points(quiet, lengths), min_ms, max_ms)
 
 
+def voice(files: DataFrame, offset: float = 0.0, duration: float | None = None, settings: acoustics.Settings = acoustics.Settings(), thresholds: intonation.Thresholds = intonation.Thresholds()) -> dict[str, DataFrame]:
+    """PCM files (path, content) with what their signal tells: frames with pitch and level, functionals of each recording,
+    syllables between dips of the level in voiced stretches, their nuclei with stylized pitch, and a profile of the nuclei.
+
+    Frames are the one table that the others share; cache or write it where more than one of them is used.
+    """
+    step = settings.step
+    samples = readers.read_samples(files, offset, duration, reach=settings.reach)
+    frames = acoustics.track(acoustics.frames(samples, "path", settings), "path", settings)
+    frames = frames.withColumn("db", 20 * F.log10(F.col("rms") / 2e-5 + 1e-12))
+    syllables = intonation.syllables(frames.withColumn("db", F.when(F.col("hz").isNotNull(), F.col("db"))), "path", "db", step=step)
+    spans = syllables.select("path", "idx", F.col("left").alias("first"), F.col("right").alias("last"))
+    nuclei = intonation.stylize(frames, spans, "path", step, thresholds)
+    timed = nuclei.filter("valid").select("path", "idx", (F.col("first_frame") * step).alias("start"), ((F.col("last_frame") + 1) * step).alias("end"), F.col("f0_median").alias("pitch"))
+    return {"frames": frames, "functionals": acoustics.functionals(frames, "path", settings), "syllables": syllables, "nuclei": nuclei, "profile": prosody.speech_profile(timed, "path")}
+
+
 def transcribe(files: DataFrame, asr: str, diarization: str | None = None, speakers: int = 1, done: DataFrame | None = None) -> dict[str, DataFrame]:
     """Files (path) with words, utterances, texts and nested transcriptions.
 

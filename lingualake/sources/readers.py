@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import io
 import re
-import struct
 import wave
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,13 +147,11 @@ def read_text(files: DataFrame) -> DataFrame:
     return out.select("row.*", "text", "error")
 
 
-def wav_info(data: bytes) -> tuple[int, int, float, list[float]]:
+def wav_info(data: bytes) -> tuple[int, int, float, np.ndarray]:
     """Rate, channels, seconds and samples (-1 to 1, channels averaged) of PCM audio."""
     with wave.open(io.BytesIO(data)) as w:
         rate, channels, width, n = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()
         raw = w.readframes(n)
-    import numpy as np
-
     if width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         x = ((b[:, 0] | (b[:, 1] << 8) | (b[:, 2] << 16)) << 8 >> 8) / 8388608.0
@@ -161,42 +159,72 @@ def wav_info(data: bytes) -> tuple[int, int, float, list[float]]:
         x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
     else:
         x = np.frombuffer(raw, f"<i{width}") / float(1 << (8 * width - 1))
-    return rate, channels, n / rate, x.reshape(-1, channels).mean(axis=1).tolist()
+    return rate, channels, n / rate, x.reshape(-1, channels).mean(axis=1)
+
+
+def _frame_values(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Root mean square and share of zero crossings of each run of `size` samples; the last may be shorter."""
+    starts = np.arange(0, len(x), size)
+    if not len(starts):
+        return np.empty(0), np.empty(0)
+    long = np.diff(np.append(starts, len(x)))
+    crossed = np.append(0, np.diff(np.signbit(x).astype(np.int64)) != 0)
+    crossed[starts] = 0  # a crossing lies inside a run
+    return np.sqrt(np.add.reduceat(x * x, starts) / long), np.add.reduceat(crossed, starts) / np.maximum(long - 1, 1)
 
 
 def read_wav(files: DataFrame, offset: float = 0.0, duration: float | None = None, frame_ms: int = 10) -> DataFrame:
     """PCM files (path, content) as path, rate, channels, seconds, frames: root mean squares of short frames of the slice."""
+    kind = pa.struct([("frame", pa.int64()), ("rms", pa.float64()), ("zcr", pa.float64())])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
             for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rate, channels, seconds, samples = wav_info(data)
-                x = np.array(samples[int(offset * rate) : None if duration is None else int((offset + duration) * rate)])
-                size = max(1, rate * frame_ms // 1000)
-                parts = [x[i : i + size] for i in range(0, len(x), size)]
-                rms = [float(np.sqrt((p * p).mean())) for p in parts]
-                crossings = [float((np.diff(np.signbit(p)) != 0).mean()) if len(p) > 1 else 0.0 for p in parts]
-                yield pa.RecordBatch.from_pydict({"path": [path], "rate": pa.array([rate], pa.int32()), "channels": pa.array([channels], pa.int32()), "seconds": [seconds], "frames": pa.array([[{"frame": i, "rms": r, "zcr": z} for i, (r, z) in enumerate(zip(rms, crossings, strict=True))]], pa.list_(pa.struct([("frame", pa.int64()), ("rms", pa.float64()), ("zcr", pa.float64())])))})
+                rate, channels, seconds, x = wav_info(data)
+                x = x[int(offset * rate) : None if duration is None else int((offset + duration) * rate)]
+                rms, zcr = _frame_values(x, max(1, rate * frame_ms // 1000))
+                rows = pa.StructArray.from_arrays([pa.array(np.arange(len(rms))), pa.array(rms), pa.array(zcr)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.array([seconds]), pa.ListArray.from_arrays(pa.array([0, len(rms)], pa.int32()), rows)], ["path", "rate", "channels", "seconds", "frames"])
 
     return files.select("path", "content").mapInArrow(decoded, "path string, rate int, channels int, seconds double, frames array<struct<frame: long, rms: double, zcr: double>>")
 
 
+def read_samples(files: DataFrame, offset: float = 0.0, duration: float | None = None, seconds: float = 10.0, reach: float = 0.1) -> DataFrame:
+    """PCM files (path, content) as blocks of samples that overlap by `reach` seconds: path, rate, start, first, last, samples.
+
+    A block owns the places from first to last (excluded); its samples begin at the place `start`. This is what the
+    operators on frames take, so nothing has to be put together again.
+    """
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                rate, _, _, x = wav_info(data)
+                x = x[int(offset * rate) : None if duration is None else int((offset + duration) * rate)]
+                size, halo = max(1, int(seconds * rate)), int(reach * rate) + 1
+                for first in range(0, len(x), size):
+                    last, start = min(first + size, len(x)), max(0, first - halo)
+                    part = x[start : last + halo]
+                    samples = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rate], pa.int32()), *(pa.array([n], pa.int64()) for n in (start, first, last)), samples], ["path", "rate", "start", "first", "last", "samples"])
+
+    return files.select("path", "content").mapInArrow(decoded, "path string, rate int, start long, first long, last long, samples array<double>")
+
+
 def acoustic_functionals(audio: DataFrame) -> DataFrame:
     """A row of functionals for each recording of read_wav(): loudness and zero crossings over its frames."""
     f = audio.select("path", "seconds", F.explode("frames").alias("f"))
     return f.groupBy("path").agg(F.max("seconds").alias("recording_length"), F.avg("f.rms").alias("rms_mean"), F.stddev_pop("f.rms").alias("rms_std"), F.percentile("f.rms", 0.2).alias("rms_p20"), F.percentile("f.rms", 0.8).alias("rms_p80"), F.avg("f.zcr").alias("zcr_mean"), F.stddev_pop("f.zcr").alias("zcr_std"))
 
 
-def write_wav(rate: int, samples: list[float]) -> bytes:
+def write_wav(rate: int, samples) -> bytes:
     """Samples (-1 to 1) as 16-bit PCM."""
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes(struct.pack(f"<{len(samples)}h", *[max(-32768, min(32767, round(x * 32767))) for x in samples]))
+        w.writeframes(np.clip(np.round(np.asarray(samples, float) * 32767), -32768, 32767).astype("<i2").tobytes())
     return out.getvalue()
 
 
@@ -204,15 +232,12 @@ def normalized_wav(files: DataFrame, target_db: float = -20.0) -> DataFrame:
     """Files (path, content) with the content brought to the target loudness, as path, content."""
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
             out = []
             for data in b.column("content").to_pylist():
-                rate, _, _, samples = wav_info(data)
-                x = np.array(samples)
+                rate, _, _, x = wav_info(data)
                 rms = float(np.sqrt((x * x).mean())) if len(x) else 0.0
-                out.append(write_wav(rate, (x * (10 ** (target_db / 20) / rms if rms else 1.0)).tolist()))
+                out.append(write_wav(rate, x * (10 ** (target_db / 20) / rms if rms else 1.0)))
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], ["path", "content"])
 
     return files.select("path", "content").mapInArrow(done, "path string, content binary")

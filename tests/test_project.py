@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingualake import config
-from lingualake.plans import catalogue, project
+from lingualake.plans import catalogue, project, recordings
 from lingualake.sources import entities, readers, sinks
 from lingualake.streaming import landing
 
@@ -158,3 +158,26 @@ def test_chunks_of_recordings(spark):
     a = spark.createDataFrame([("a", 6.0, frames)], "path string, seconds double, frames array<struct<frame: long, rms: double, zcr: double>>")
     got = [(r["start_ms"], r["end_ms"]) for r in recordings.chunks(a, 1000, -30.0, 1000, 3000).orderBy("idx").collect()]
     assert got[0][0] == 0 and got[-1][1] == 6000 and all(x[1] == y[0] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_voice_of_a_recording(spark, tmp_path):
+    rate, t = 8000, np.arange(8000 * 3) / 8000
+    pitch = 120 + 30 * t
+    x = np.sin(2 * np.pi * np.cumsum(pitch) / rate) * np.where((t * 2).astype(int) % 2 == 0, 0.5, 0.002)
+    (tmp_path / "a.wav").write_bytes(readers.write_wav(rate, x))
+    (tmp_path / "b.wav").write_bytes(readers.write_wav(rate, np.zeros(0)))
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/*.wav")
+    blocks = readers.read_samples(files, seconds=0.7, reach=0.05).orderBy("first").collect()
+    assert [(b["first"], b["last"]) for b in blocks] == [(i, min(i + 5600, 24000)) for i in range(0, 24000, 5600)]
+    for b in blocks:
+        assert b["start"] == max(0, b["first"] - 401) and np.allclose(b["samples"], x[b["start"] : b["last"] + 401], atol=1e-4)
+    v = recordings.voice(files)
+    nuclei = [r for r in v["nuclei"].orderBy("idx").collect() if r["valid"] and r["last_frame"] - r["first_frame"] > 20]
+    assert len(nuclei) == 3 and v["syllables"].count() >= 3
+    for k, r in enumerate(nuclei):
+        # Half a second of tone from second k on.
+        assert abs(r["first_frame"] / 100 - k) < 0.06 and abs(r["last_frame"] / 100 - k - 0.5) < 0.06
+        assert abs(12 * np.log2(r["f0_median"] / (120 + 30 * (k + 0.25)))) < 0.5
+    f = v["functionals"].collect()
+    assert len(f) == 1 and f[0]["n_frames"] == 300 and f[0]["loudness_mean"] > 0
+    assert v["profile"].first()["n_nuclei"] >= 3
