@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import providers
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import acoustics, aggregate, intonation, lm, prosody, randomness, segment, similarity, speech, topics
+from ..operators import acoustics, aggregate, intonation, levels, lm, prosody, randomness, segment, similarity, speech, topics
 from ..session import prepare
 from ..sources import entities
 
@@ -846,6 +846,16 @@ def stylized_nuclei(t):
     return out.withColumns({c: r6(c) for c in (*intonation.VALUES, "inter")}).withColumn("points", F.transform("points", lambda p: F.struct(p["frame"].alias("frame"), F.round(p["hz"], 6).alias("hz"))))
 
 
+@query()
+def pitch_levels(t):
+    f = contours(t)
+    spans = f.groupBy("file_id", F.expr("frame div 6").alias("idx")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    n = intonation.stylize(f, spans, "file_id").filter("valid")
+    seconds = F.transform("points", lambda p: F.struct((p["frame"] * 0.01).alias("time"), p["hz"].alias("hz")))
+    n = n.withColumns({"start": F.col("first_frame") * 0.01, "end": F.col("last_frame") * 0.01, "points": seconds})
+    return levels.pitch_levels(n, prosody.pitch_range(f, "file_id", "hz"), "file_id")
+
+
 @query()
 def loudness_syllables(t):
     return intonation.syllables(contours(t), "file_id", "db", step=0.05)
