@@ -6,6 +6,7 @@ Regular expressions avoid what only one engine knows: no look-around, explicit c
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -187,9 +188,32 @@ def detokenize(tokens: Column) -> Column:
     return strip(F.regexp_replace(F.array_join(F.transform(tokens, piece), ""), r"(?U)\s+", " "))
 
 
+def _plain_latin() -> tuple[str, str]:
+    """Letters with marks, and the bare letters they are made of."""
+    found = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        bare = unicodedata.normalize("NFKD", chr(code))
+        if bare[0].isascii() and bare[0].isalpha() and all(unicodedata.combining(x) for x in bare[1:]):
+            found[chr(code)] = bare[0]
+    return "".join(found), "".join(found.values())
+
+
+# Letters that are written with others.
+SPELLED = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "’": "'"}
+
+
+def romanized(c: Column | str) -> Column:
+    """Latin letters without their marks, whether written as one character or with marks behind them."""
+    marked, bare = _plain_latin()
+    out = F.regexp_replace(F.translate(col(c), marked, bare), "[\u0300-\u036f]", "")
+    for letter, others in SPELLED.items():
+        out = F.replace(out, F.lit(letter), F.lit(others))
+    return out
+
+
 def alignment_text(c: Column | str) -> Column:
-    """Lower-case Latin letters, apostrophes and single spaces, as aligners take them."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[^a-z' ]", " "), " +", " "))
+    """Lower-case plain Latin letters, apostrophes and single spaces, as aligners take them."""
+    return strip(F.regexp_replace(F.regexp_replace(romanized(F.lower(col(c))), "[^a-z' ]", " "), " +", " "))
 
 
 def lines(c: Column | str) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import providers
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import acoustics, aggregate, intonation, levels, lm, prosody, randomness, segment, similarity, speech, topics
+from ..operators import acoustics, aggregate, alignment, intonation, levels, lm, prosody, randomness, segment, similarity, speech, topics
 from ..session import prepare
 from ..sources import entities
 
@@ -126,7 +126,7 @@ _cleaner("clean_lowercase", T.lowercase, "lower({})")
 _cleaner("clean_general", T.general, GENERAL_SQL)
 _cleaner("clean_strip", T.strip, STRIP_SQL)
 _cleaner("clean_pipeline", lambda c: T.clean(c, timestamp="555-6608", brackets=True, punctuation=True, lower=True), STRIP_SQL.format(GENERAL_SQL.format("lower(" + PUNCT_SQL.format(BRACKETS_SQL.format(r"regexp_replace(text, '[0-9][0-9][0-9]-[0-9][0-9][0-9][0-9]', '', 'g')")) + ")")).replace("{", "{{").replace("}", "}}"))
-_cleaner("alignment_text", T.alignment_text, STRIP_SQL.format("regexp_replace(regexp_replace(lower({}), '[^a-z'' ]', ' ', 'g'), ' +', ' ', 'g')"))
+_cleaner("alignment_text", T.alignment_text, STRIP_SQL.format("regexp_replace(regexp_replace(replace(replace(strip_accents(lower({})), 'ß', 'ss'), '’', chr(39)), '[^a-z'' ]', ' ', 'g'), ' +', ' ', 'g')"))
 
 TURN_SQL = "role || ': ' || text"
 
@@ -420,6 +420,30 @@ def chunk_combine(t):
     return speech.combine_chunks(t("conversations").select("conv_id", F.col("turn").alias("chunk_idx"), F.col("text").alias("transcript")), "conv_id")
 
 
+def emissions(t) -> DataFrame:
+    """Three frames for each character of a turn, of which the second tells it best; all else is as likely by its digest."""
+    labels = "-abcdefghijklmnopqrstuvwxyz'"
+    c = t("conversations").select(F.struct("conv_id", "turn").alias("chunk"), F.split(F.substring(T.alignment_text("text"), 1, 40), "").alias("chars"))
+    f = c.select("chunk", F.posexplode("chars").alias("at", "char")).select("chunk", F.explode(F.sequence(F.col("at") * 3, F.col("at") * 3 + 2)).alias("frame"), "char")
+    odd = lambda k: F.pmod(F.xxhash64("chunk", "frame", k), F.lit(1000)) / 250.0
+    best = lambda k: F.when((F.col("frame") % 3 == 1) & (k == F.locate(F.col("char"), F.lit(labels), 2) - 1), 0.0)
+    return f.select("chunk", "frame", F.transform(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda k: F.coalesce(best(k), -1.0 - odd(k))).alias("scores"))
+
+
+@query()
+def word_alignment(t):
+    given = t("conversations").select(F.struct("conv_id", "turn").alias("chunk"), F.substring(T.alignment_text("text"), 1, 40).alias("transcript"), F.col("turn").cast("double").alias("start_time"))
+    out = alignment.word_times(emissions(t), given, "chunk", "-abcdefghijklmnopqrstuvwxyz'", 0.02)
+    return out.select("chunk.conv_id", "chunk.turn", "word_idx", "word", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"))
+
+
+@query()
+def diarized_segments(t):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    s = t("embeddings").select("label", (F.row_number().over(w) - 1).cast("double").alias("start"), F.row_number().over(w).cast("double").alias("end"), F.col("embedding").alias("vec"))
+    return alignment.diarize(s, "label", 4)
+
+
 @query(f"SELECT conv_id, string_agg({TURN_SQL}, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def transcript_text(t):
     return speech.transcript_text(t("conversations").select("conv_id", F.col("turn").alias("utt_idx"), F.col("role").alias("speaker"), "text"), "conv_id")
