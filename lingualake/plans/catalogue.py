@@ -420,21 +420,22 @@ def chunk_combine(t):
     return speech.combine_chunks(t("conversations").select("conv_id", F.col("turn").alias("chunk_idx"), F.col("text").alias("transcript")), "conv_id")
 
 
+LABELS = "-abcdefghijklmnopqrstuvwxyz'"
+
+
 def emissions(t) -> DataFrame:
-    """Three frames for each character of a turn, of which the second tells it best; all else is as likely by its digest."""
-    labels = "-abcdefghijklmnopqrstuvwxyz'"
-    c = t("conversations").select(F.struct("conv_id", "turn").alias("chunk"), F.split(F.substring(T.alignment_text("text"), 1, 40), "").alias("chars"))
-    f = c.select("chunk", F.posexplode("chars").alias("at", "char")).select("chunk", F.explode(F.sequence(F.col("at") * 3, F.col("at") * 3 + 2)).alias("frame"), "char")
-    odd = lambda k: F.pmod(F.xxhash64("chunk", "frame", k), F.lit(1000)) / 250.0
-    best = lambda k: F.when((F.col("frame") % 3 == 1) & (k == F.locate(F.col("char"), F.lit(labels), 2) - 1), 0.0)
-    return f.select("chunk", "frame", F.transform(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda k: F.coalesce(best(k), -1.0 - odd(k))).alias("scores"))
+    """Three frames for each character of a passage, of which the second tells it best; the rest is as likely as a digest says."""
+    c = t("benchmark").select("item_id", F.posexplode(F.split(T.alignment_text("text"), "")).alias("at", "char"))
+    f = c.select("item_id", F.explode(F.sequence(F.col("at") * 3, F.col("at") * 3 + 2)).alias("frame"), "char")
+    odd = lambda k: F.pmod(F.xxhash64("item_id", "frame", k), F.lit(1000)) / 250.0
+    best = lambda k: (F.col("frame") % 3 == 1) & (k == F.position(F.col("char"), F.lit(LABELS)) - 1)
+    return f.select("item_id", "frame", F.transform(F.sequence(F.lit(0), F.lit(len(LABELS) - 1)), lambda k: F.when(best(k), 0.0).otherwise(-1.0 - odd(k))).alias("scores"))
 
 
 @query()
 def word_alignment(t):
-    given = t("conversations").select(F.struct("conv_id", "turn").alias("chunk"), F.substring(T.alignment_text("text"), 1, 40).alias("transcript"), F.col("turn").cast("double").alias("start_time"))
-    out = alignment.word_times(emissions(t), given, "chunk", "-abcdefghijklmnopqrstuvwxyz'", 0.02)
-    return out.select("chunk.conv_id", "chunk.turn", "word_idx", "word", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"))
+    out = alignment.word_times(emissions(t), t("benchmark").select("item_id", F.col("text").alias("transcript")), "item_id", LABELS, 0.02)
+    return out.select("item_id", "word_idx", "word", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"))
 
 
 @query()
