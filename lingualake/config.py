@@ -88,7 +88,6 @@ class Topics:
 
 METRICS = ("embeddings", "logits", "perplexity", "topic_modeling")
 TOKENIZATIONS = ("whitespace", "model", "model_roberta")
-STEPS = ("quality_check", "clean_text", "tokenize_text", "normalize_text")
 
 
 @dataclass
@@ -103,6 +102,7 @@ class Config:
     participant_speakertag: Any = None
     keep_speakertags: bool = False
     pipeline_options: dict[str, bool] | None = None
+    normalizer: str = "stem"
     metrics_to_extract: list[str] = field(default_factory=list)
     create_aggregation_of_results: bool = True
     document_information: list[str] = field(default_factory=list)
@@ -152,8 +152,13 @@ def parse(values: dict) -> Config:
         raise ConfigError(f"input_file must be text or audio, not {c.input_file!r}")
     if bad := [m for m in c.metrics_to_extract if m not in METRICS]:
         raise ConfigError(f"unknown metrics {bad}; known: {', '.join(METRICS)}")
+    from .plans.project import STEPS  # steps are registered there, a project's own too
+
     if bad := [s for s in c.pipeline_options or {} if s not in STEPS]:
         raise ConfigError(f"unknown pipeline steps {bad}; known: {', '.join(STEPS)}")
+    units = c.topics.chunk_text_units
+    if units and units not in ("sentence", "fixed") and not (str(units).isdigit() and int(units) > 0):
+        raise ConfigError(f"topics.chunk_text_units must be sentence, fixed or a number of tokens, not {units!r}")
     if c.embeddings.tokenization_method not in TOKENIZATIONS:
         raise ConfigError(f"unsupported tokenization method {c.embeddings.tokenization_method!r}; known: {', '.join(TOKENIZATIONS)}")
     if c.embeddings.tokenization_method != "whitespace" and not c.embeddings.tokenizer:

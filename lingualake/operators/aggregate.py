@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .similarity import METRICS
+
 #: Names under which a participant's mean window score is written.
 AVERAGES = ("avg_per_window", "avg_per_sentence", "avg_per_response")
 
@@ -29,6 +31,12 @@ def wide(scores: DataFrame, participant: str, metric: str = "metric", metrics: S
     return scores.groupBy(participant).pivot(metric, list(metrics) if metrics else None).agg(F.first("score"))
 
 
+def consolidated(results: DataFrame) -> DataFrame:
+    """Stored similarity scores (part, window, metric, score) as a row for each participant and family: window, and a column for each metric's mean."""
+    means = results.filter("part IS NOT NULL AND window IS NOT NULL").groupBy("part", "window", "metric").agg(F.avg("score").alias("score"))
+    return means.groupBy("part", "window").pivot("metric", list(METRICS)).agg(F.first("score"))
+
+
 def document_information(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns asked for, those that are there."""
     return docs.select(*[c for c in columns if c in docs.columns])

@@ -18,8 +18,8 @@ from ..functions import providers
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import acoustics, aggregate, alignment, intonation, levels, lm, prosody, randomness, segment, similarity, speech, topics
-from ..session import prepare
-from ..sources import entities
+from ..session import prepare, shared_path
+from ..sources import entities, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -771,6 +771,17 @@ def aggregation_pivot(t):
     return aggregate.wide(s, "participant", metrics=similarity.METRICS).select("participant", *[r6(m).alias(m) for m in similarity.METRICS])
 
 
+@query(PART_SQL + ", o AS (SELECT substr(participant, 6) AS part, metric, score FROM r) SELECT part, u.f AS window, " + ", ".join(f"round(avg(score) FILTER (WHERE metric = '{m}'), 6) AS {m}" for m in similarity.METRICS) + " FROM o, (VALUES ('window-8'), ('again')) u(f) GROUP BY part, u.f")
+def stored_results(t):
+    """Similarity tables written by participant, read back as one and consolidated."""
+    scores = participants(t).withColumn("part", F.substring("participant", 6, 10)).drop("participant")
+    path = shared_path(scores.sparkSession, "results")
+    for name, window in (("similarity_summary", "window-8"), ("similarity_again", "again")):
+        sinks.write_features(scores.withColumn("window", F.lit(window)), path, name)
+    found = aggregate.consolidated(sinks.read_results(scores.sparkSession, path))
+    return found.select("part", "window", *[r6(m).alias(m) for m in similarity.METRICS])
+
+
 # Prosody.
 
 NUCLEI_SQL = f"nu AS (SELECT file_id, word_idx AS idx, start, start + (stop - start) * 0.8 AS fin, 100 + word_idx % 7 * 20.0::DOUBLE AS pitch FROM ({TIMED_SQL}))"

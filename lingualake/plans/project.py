@@ -5,13 +5,14 @@ Nothing is read back from disk between the steps; what several features share is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import Config
+from ..config import Config, ConfigError, Topics
 from ..functions import providers, subwords
 from ..functions import text as T
 from ..functions import vectors as V
@@ -52,28 +53,73 @@ def sections(docs: DataFrame, config: Config) -> DataFrame:
             found = found.join(bad, "doc_id", "left_anti")
     else:
         found = segment.untitled_sections(docs, s.has_titles).withColumn("section_idx", F.lit(0))
-    c = config.cleaning
-    on = config.pipeline_options is None or config.pipeline_options.get("clean_text", False)
-    cleaned = T.clean("content", c.timestamp, c.characters, c.brackets, c.punctuation, c.lowercase, c.tidy) if on else F.col("content")
-    if config.fluency and on:
-        f = config.fluency
-        cleaned = T.fluency_clean(T.fluency_words("content", f.word_splitter), f.remove_hyphens, f.remove_duplicates, f.lowercase)
-    return found.withColumn("cleaned", cleaned)
+    found = found.withColumn("cleaned", F.col("content"))
+    options = config.pipeline_options if config.pipeline_options is not None else {"clean_text": True}
+    for name, on in options.items():  # in the order of the configuration
+        if on:
+            found = STEPS[name](found, config)
+    return found
+
+
+#: name -> function of sections (content, cleaned, and what earlier steps made) and the configuration; a project's own are registered by name.
+STEPS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {}
+
+
+def step(name: str):
+    """Register a preprocessing step under the name that a configuration has for it."""
+
+    def put(f):
+        STEPS[name] = f
+        return f
+
+    return put
+
+
+@step("quality_check")
+def _quality_check(found: DataFrame, config: Config) -> DataFrame:
+    return found
+
 
+@step("clean_text")
+def _clean_text(found: DataFrame, config: Config) -> DataFrame:
+    c, f = config.cleaning, config.fluency
+    if f:
+        return found.withColumn("cleaned", T.fluency_clean(T.fluency_words("content", f.word_splitter), f.remove_hyphens, f.remove_duplicates, f.lowercase))
+    return found.withColumn("cleaned", T.clean("content", c.timestamp, c.characters, c.brackets, c.punctuation, c.lowercase, c.tidy))
 
-def tokens(found: DataFrame, config: Config) -> DataFrame:
-    """doc_id, section_idx, utt_idx, utt_key, pos, token: whitespace tokens of the speakers asked for."""
+
+@step("tokenize_text")
+def _tokenize_text(found: DataFrame, config: Config) -> DataFrame:
+    """tokens: of the text as it stands, so before cleaning they are those of the raw one."""
+    return found.withColumn("tokens", T.words("cleaned"))
+
+
+@step("normalize_text")
+def _normalize_text(found: DataFrame, config: Config) -> DataFrame:
+    """normal_forms of the tokens; without tokens there is nothing to normalise."""
+    if "tokens" not in found.columns:
+        raise ConfigError("normalize_text needs tokenize_text before it")
+    normal = providers.get("normalizer", config.normalizer)
+    return found.withColumn("normal_forms", F.transform("tokens", normal))
+
+
+def turns(found: DataFrame, config: Config) -> DataFrame:
+    """doc_id, section_idx, utt_idx, utt_key, content: the texts of the speakers asked for."""
     keyed = found.select("doc_id", "section_idx", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("section_idx").cast("string")).alias("part"), F.col("cleaned").alias("text"))
-    turns = segment.speaker_filter(keyed, config.speaker_tags, config.keep_speakertags, key="part")
-    turns = turns.join(keyed.select("part", "doc_id", "section_idx"), "part")
+    made = segment.speaker_filter(keyed, config.speaker_tags, config.keep_speakertags, key="part")
+    made = made.join(keyed.select("part", "doc_id", "section_idx"), "part")
+    return made.select("doc_id", "section_idx", "utt_idx", F.concat_ws("/", "part", F.col("utt_idx").cast("string")).alias(UTT), "content")
+
+
+def tokens(spoken: DataFrame, config: Config) -> DataFrame:
+    """doc_id, section_idx, utt_idx, utt_key, pos, token: whitespace tokens of turns."""
     own = T.words("content")
     e = config.embeddings
     if e.lowercase:
         own = F.transform(own, F.lower)
     if e.remove_punctuation:
         own = F.transform(own, T.remove_punctuation)
-    key = F.concat_ws("/", "part", F.col("utt_idx").cast("string"))
-    return turns.select("doc_id", "section_idx", "utt_idx", key.alias(UTT), F.posexplode(own).alias("pos", "token"))
+    return spoken.select("doc_id", "section_idx", "utt_idx", UTT, F.posexplode(own).alias("pos", "token"))
 
 
 def embed(toks: DataFrame, config: Config) -> DataFrame:
@@ -108,7 +154,8 @@ def run(spark: SparkSession, root: str, config: Config) -> Run:
     t["documents"] = documents(spark, root, config)
     good = t["documents"].filter("error IS NULL")
     t["sections"] = sections(good, config)
-    t["tokens"] = tokens(t["sections"], config)
+    t["turns"] = turns(t["sections"], config)
+    t["tokens"] = tokens(t["turns"], config)
     for metric in config.metrics_to_extract:
         METRICS[metric](out)
     if config.create_aggregation_of_results and "similarity_summary" in t:
@@ -142,7 +189,8 @@ def _embeddings(r: Run) -> None:
                 t[f"window_details_{size}"] = similarity.window_details(vectors, UTT, int(size))
         made.append(similarity.long_metrics(s, UTT, None).withColumn("window", F.lit(f"window-{size}")))
     if e.sentences:
-        marked = segment.sentence_index(vectors, [UTT])
+        # By end marks; a turn whose tokens have none by the sentences of its text.
+        marked = segment.sentence_blocks(vectors, t["turns"].select(UTT, F.col("content").alias("text")), UTT)
         sents = similarity.sentence_vectors(marked, UTT)
         t["sentence_details"] = similarity.sentence_details(sents, UTT)
         made.append(similarity.long_metrics(similarity.sentence_summary(sents, UTT), UTT, None).withColumn("window", F.lit("sentence")))
@@ -177,13 +225,26 @@ def _perplexity(r: Run) -> None:
         r.tables["perplexity_sentence"] = lm.sentence_perplexity(scored, UTT, F.col("prompt"))
 
 
+def _in_chunks(vectors: DataFrame, spoken: DataFrame, x: Topics) -> DataFrame:
+    """Vectors of turns with the unit they belong to: chunks of tokens, or sentences with their share of the tokens; tokens beyond the last share go."""
+    n = vectors.groupBy(UTT).agg(F.count(F.lit(1)).alias("n"))
+    docs = spoken.select(F.col(UTT).alias("doc_id"), F.col("content").alias("text")).join(n.withColumnRenamed(UTT, "doc_id"), "doc_id")
+    if x.chunk_text_units == "sentence":
+        chunks = segment.topic_chunks_by_sentence(docs, F.col("n"))
+    else:
+        chunks = segment.topic_chunks_fixed(docs, F.col("n"), x.chunk_size if x.chunk_text_units == "fixed" else int(x.chunk_text_units))
+    last = F.col("first_token") + F.col("n_tokens") - 1
+    places = chunks.select(F.col("doc_id").alias(UTT), F.concat_ws("#", "doc_id", F.col("chunk").cast("string")).alias("unit"), F.explode(F.sequence("first_token", last)).alias("pos"))
+    return vectors.join(places, [UTT, "pos"])
+
+
 def _topics(r: Run) -> None:
     t, x = r.tables, r.config.topics
     vectors = t.get("token_vectors")
     if vectors is None:
         vectors = t["token_vectors"] = embed(t["tokens"], r.config).cache()
     unit = UTT if not x.chunk_text_units else "unit"
-    v = vectors if unit == UTT else vectors.withColumn("unit", F.concat_ws("#", UTT, F.floor(F.col("pos") / x.chunk_size).cast("string")))
+    v = vectors if unit == UTT else _in_chunks(vectors, t["turns"], x)
     pooled = similarity.pooled(v, unit).withColumnRenamed(unit, "unit_id")
     fitted = topics.fit_topics(pooled, x.nr_topics, x.min_topic_size)
     t["topic_assignments"] = fitted.select("unit_id", "topic_id")
@@ -204,9 +265,15 @@ METRICS = {"embeddings": _embeddings, "logits": _logits, "perplexity": _perplexi
 
 
 def write(r: Run, derivatives: str, form: str = "parquet") -> list[str]:
-    """Write every feature table of a run; the intermediate ones stay unwritten."""
-    skip = {"documents", "sections", "tokens"}
+    """Write every feature table of a run, by participant where its rows know their document; the intermediate ones stay unwritten."""
+    skip = {"documents", "sections", "turns", "tokens"}
     names = [n for n in r.tables if n not in skip]
+    people = r.tables["documents"].select("doc_id", F.col("participant_id").alias("part"))
     for n in names:
-        sinks.write_features(r.tables[n], derivatives, n, r.config.output_policy, form)
+        df = r.tables[n]
+        if UTT in df.columns and "doc_id" not in df.columns:
+            df = df.withColumn("doc_id", F.split_part(UTT, F.lit("/"), F.lit(1)).cast("long"))
+        if "doc_id" in df.columns and "part" not in df.columns:
+            df = df.join(people, "doc_id")
+        sinks.write_features(df, derivatives, n, r.config.output_policy, form)
     return names

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, DataFrameWriter
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("metric", "part", "ses", "task")
@@ -35,6 +35,44 @@ def write_features(df: DataFrame, derivatives: str, metric: str, policy: str = "
     w.format(form).save(f"{derivatives}/metric={metric}")
 
 
+def stored(spark: SparkSession, derivatives: str) -> list[str]:
+    """Names of the tables under derivatives/metric=..., on any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(derivatives)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = (s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else ()
+    return sorted(n.removeprefix("metric=") for n in names if n.startswith("metric="))
+
+
+def read_results(spark: SparkSession, derivatives: str, tables: Sequence[str] | None = None, participants: Sequence[str] | None = None, form: str = "parquet") -> DataFrame:
+    """Stored feature tables as one: `table` and the columns of all of them, null where a table hasn't one.
+
+    Participants are chosen by folder: others aren't read, nor are columns that nothing asks for. Tables without
+    participants are left out where some are asked for. Tables that differ from run to run are merged.
+    """
+    found = [n for n in stored(spark, derivatives) if tables is None or n in tables]
+    if not found:
+        raise ValueError(f"no stored tables in {derivatives}" + (f" of {sorted(tables)}" if tables else ""))
+    out = None
+    for name in found:
+        reader = spark.read.option("mergeSchema", True) if form == "parquet" else spark.read.option("header", True).option("inferSchema", True)
+        # Participant 01 is no number: names of folders stay texts.
+        inferred = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+        try:
+            df = reader.format(form).load(f"{derivatives}/metric={name}")
+        finally:
+            spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", inferred)
+        if participants is not None:
+            if "part" not in df.columns:
+                continue
+            df = df.filter(F.col("part").cast("string").isin(*participants))
+        df = df.select(F.lit(name).alias("table"), *[F.col(f"`{c}`").cast("string").alias(c) if c in KEYS else F.col(f"`{c}`") for c in df.columns])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"none of {found} in {derivatives} has participants")
+    return out
+
+
 def for_csv(df: DataFrame, width: int | None = None) -> DataFrame:
     """Nested columns as flat ones: `vec` as Dim_0 to Dim_{width-1}, arrays as [1, 2], maps as key=value."""
     out = []
