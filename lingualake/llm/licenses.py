@@ -23,6 +23,7 @@ comment marks) don't end a passage.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -148,11 +149,15 @@ class Scanner:
                 left += 1
             if len(inside) >= need and hits[left][1] != k:
                 met.append((-len(inside), right - left, left, right))
-        out: list[tuple[int, int, int]] = []
+        # Those chosen don't overlap, so a new one is held against the two beside its place only.
+        starts: list[int] = []
+        out: list[tuple[int, int]] = []  # (last hit, words) of those chosen, in the order of their starts
         for n, _, a, b in sorted(met):
-            if all(b < x or y < a for _, x, y in out):
-                out.append((-n, a, b))
-        return [(hits[a][1], n / len(own)) for n, a, _ in sorted(out, key=lambda x: x[1])]
+            k = bisect.bisect_left(starts, a)
+            if (k == len(starts) or b < starts[k]) and (not k or out[k - 1][0] < a):
+                starts.insert(k, a)
+                out.insert(k, (b, -n))
+        return [(hits[a][1], n / len(own)) for a, (_, n) in zip(starts, out, strict=True)]
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, str, float]]]:
         """Number of words; base places (word, label); blocks that meet a template (line, label, share)."""
