@@ -119,14 +119,22 @@ def protocol_segments(docs: DataFrame, protocol: dict[str, Sequence[str]], cutof
 TAG = r"(?U)^\s*(\w+)\s*:\s*(.*)$"
 
 
-def speaker_blocks(rows: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Blocks of lines (key, line_no, line) from one `tag:` at a line's begin to the next: key, block, tag, content."""
-    k = list(key)
-    tagged = rows.withColumn("tag", F.regexp_extract("line", TAG, 1)).withColumn("is_tag", F.col("tag") != "")
-    tagged = tagged.withColumn("block", running(F.col("is_tag"), k, "line_no")).filter("block > 0")
-    own = F.when(F.col("is_tag"), F.regexp_extract("line", TAG, 2)).otherwise(F.col("line"))
-    blocks = tagged.groupBy(*k, "block").agg(F.max("tag").alias("tag"), F.sort_array(F.collect_list(F.struct("line_no", own.alias("line")))).alias("rows"))
-    return blocks.select(*k, "block", "tag", T.strip(F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("content"))
+def speaker_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Lines of texts from one `tag:` at a line's begin to the next: key, block (from 1), tag, content; found in the row of the text."""
+
+    def blocks(rows: Column, at: Column) -> Column:
+        def block(i: Column, k: Column) -> Column:
+            upto = F.coalesce(F.get(at, k + 1), F.size(rows))
+            own = F.concat(F.array(F.regexp_extract(F.get(rows, i), TAG, 2)), F.slice(rows, i + 2, upto - i - 1))
+            return F.struct((k + 1).cast("long").alias("block"), F.regexp_extract(F.get(rows, i), TAG, 1).alias("tag"), T.strip(F.array_join(own, "\n")).alias("content"))
+
+        return F.transform(at, block)
+
+    def parts(rows: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.get(rows, i).rlike(TAG))
+        return T.bound(at, lambda at: blocks(rows, at))
+
+    return docs.select(key, F.inline_outer(T.bound(T.lines(text), parts))).filter("block IS NOT NULL")
 
 
 def speaker_filter(docs: DataFrame, tags: Sequence[str] | None, keep_tags: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,8 +145,7 @@ def speaker_filter(docs: DataFrame, tags: Sequence[str] | None, keep_tags: bool
     """
     if not tags or not any(t.strip() for t in tags):
         return docs.select(key, F.lit(0).alias("utt_idx"), F.col(text).alias("content"))
-    rows = docs.select(key, F.posexplode(T.lines(text)).alias("line_no", "line"))
-    blocks = speaker_blocks(rows, (key,))
+    blocks = speaker_blocks(docs, key, text)
     wanted = blocks.filter(F.lower("tag").isin(*[t.lower() for t in tags]))
     content = F.concat(F.col("tag"), F.lit(": "), F.col("content")) if keep_tags else F.col("content")
     place = Window.partitionBy(key).orderBy("block")

@@ -290,7 +290,7 @@ def talk_lines(t) -> DataFrame:
 
 @query(f"WITH {BLOCKS_SQL} SELECT conv_id, block::BIGINT AS block, tag, content FROM blocks")
 def speaker_blocks(t):
-    return segment.speaker_blocks(talk_lines(t), ("conv_id",))
+    return segment.speaker_blocks(talks(t), "conv_id")
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1)::INT AS utt_idx, content FROM blocks WHERE lower(tag) = 'user'")
@@ -794,9 +794,17 @@ def nuclei(t) -> DataFrame:
 GAPS_SQL = f"{NUCLEI_SQL}, pa AS (SELECT *, coalesce(lead(start) OVER w - fin >= 0.35, false) AS before_pause, CASE WHEN lead(start) OVER w - fin >= 0.35 THEN lead(start) OVER w - fin ELSE 0 END AS pause_dur FROM nu WINDOW w AS (PARTITION BY file_id ORDER BY idx))"
 
 
-@query(f"WITH {GAPS_SQL} SELECT file_id, idx, before_pause, round(pause_dur, 3) AS pause_dur, coalesce(lag(before_pause) OVER (PARTITION BY file_id ORDER BY idx), false) AS after_pause FROM pa")
+@query(f"""WITH all_nuclei AS (SELECT file_id, word_idx AS idx, start, start + (stop - start) * 0.8 AS fin, max(stop) OVER (PARTITION BY file_id) + 1 AS signal_end FROM ({TIMED_SQL})),
+  g AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY file_id ORDER BY idx), signal_end) AS following FROM all_nuclei WHERE idx % 5 <> 3),
+  r AS (SELECT g.*, (SELECT min(x.start) FROM all_nuclei x WHERE x.file_id = g.file_id AND x.idx % 5 = 3 AND x.start >= g.fin AND x.start < g.following) AS odd FROM g),
+  p AS (SELECT *, coalesce(odd, following) - fin >= 0.35 AS before_pause FROM r)
+  SELECT file_id, idx, before_pause, CASE WHEN before_pause THEN round(coalesce(odd, following) - fin, 3) ELSE 0 END AS pause_dur, coalesce(lag(before_pause) OVER (PARTITION BY file_id ORDER BY idx), false) AS after_pause FROM p""")
 def pauses(t):
-    return prosody.pauses(nuclei(t), "file_id").select("file_id", "idx", "before_pause", F.round("pause_dur", 3).alias("pause_dur"), "after_pause")
+    """Every fifth nucleus is a rejected one; the signal goes on for a second."""
+    n = nuclei(t)
+    signal = timed(t).groupBy("file_id").agg((F.max("end") + 1).alias("duration"))
+    out = prosody.pauses(n.filter("idx % 5 <> 3"), "file_id", length=signal, rejected=n.filter("idx % 5 = 3"))
+    return out.select("file_id", "idx", "before_pause", F.round("pause_dur", 3).alias("pause_dur"), "after_pause")
 
 
 @query("""SELECT l_orderkey, round(coalesce(100 * sum(CASE WHEN p + d <> 0 THEN abs(p - d) / ((p + d) / 2) END) / nullif(count(p), 0), 0), 6) AS npvi

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,8 +96,8 @@ def violations(paths: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, root: str, task: str | None = None) -> DataFrame:
     """Files under root/participants: path, length, content, name, entities; with a task only files named for it are opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if task and task.isalnum():
-        reader = reader.option("pathGlobFilter", f"*task-{task}*")
+    if task:
+        reader = reader.option("pathGlobFilter", "*task-" + re.sub(r"([\\*?\[\]{}^,])", r"\\\1", task) + "*")
     files = reader.load(f"{root}/participants").select("path", "length", "content")
     files = files.withColumn("name", file_name(F.col("path"))).filter(~is_hidden("name"))
     files = files.withColumn("entities", parse_entities("name"))

@@ -181,3 +181,12 @@ def test_voice_of_a_recording(spark, tmp_path):
     f = v["functionals"].collect()
     assert len(f) == 1 and f[0]["n_frames"] == 300 and f[0]["loudness_mean"] > 0
     assert v["profile"].first()["n_nuclei"] >= 3
+
+
+def test_files_of_a_task_with_odd_letters(spark, tmp_path):
+    d = tmp_path / "participants" / "part-01" / "text"
+    d.mkdir(parents=True)
+    for name in ("[x]", "x", "x{1}", "x1"):
+        (d / f"part-01_task-{name}_text.txt").write_text("a")
+    for task in ("[x]", "x", "x{1}"):
+        assert [r["name"] for r in entities.scan(spark, str(tmp_path), task).collect()] == [f"part-01_task-{task}_text.txt"]

@@ -149,3 +149,10 @@ def test_pooled_vectors(spark):
     t = table(spark, {"a": [[1, 0], [0, 4]], "b": [[2, 2]]}).unionByName(spark.createDataFrame([("c", 0, "t", None, None)], "k string, pos int, token string, vec array<double>, norm double"))
     assert {r["k"]: r["vec"] for r in similarity.pooled(t, "k").collect()} == {"a": [0.5, 2.0], "b": [2.0, 2.0]}
     assert sorted(tuple(r) for r in similarity.mean_pool(t, "k").collect()) == [("a", 0, 0.5), ("a", 1, 2.0), ("b", 0, 2.0), ("b", 1, 2.0)]
+
+
+def test_hesitations_are_long_and_level(spark):
+    from lingualake.operators import prosody
+
+    rows = spark.createDataFrame([("a", 0.0, 0.3, 0.0), ("b", 0.0, 0.29, 0.0), ("c", 0.0, 0.5, -2.9), ("d", 0.0, 0.5, -3.0), ("e", 0.0, 0.5, 0.1), ("f", 0.0, 0.5, None)], "k string, start double, end double, intra double")
+    assert sorted(r["k"] for r in prosody.hesitations(rows).collect()) == ["a", "c"]
