@@ -15,8 +15,9 @@ the totals a block builds the part of the automaton that its texts can reach:
 One left-to-right traversal of each text carries the state, takes failure arcs until the word has an arc, and adds up.
 A text starts behind a mark that stands before all texts and closes with an end, which counts as a token.
 
-N-grams are 64-bit hashes of words, cut to the bits that a corpus of this size needs: 22 more than its bytes have, all 64
-from 4 TB on. Single words keep 64 bits.
+N-grams are 64-bit hashes of words, cut to the bits that a corpus of this size needs: 18 more than the number of its
+bytes has, 48 at least and all 64 from 64 TB on, so that of millions of n-grams that aren't known one may pass for a known one.
+Single words keep 64 bits.
 
 Edge cases: null and empty texts have the end alone; a text above `limit` bytes is cut into pieces at word boundaries,
 each with the words before it that a state can hold, and scored in several tasks, with the same result; repeated rows
@@ -299,7 +300,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, strengths: tuple[f
     train = F.coalesce(train, F.lit(False))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = partitions_for(docs, block_bytes)
-    bits = min(64, max(40, size.bit_length() + 22))
+    bits = min(64, max(48, size.bit_length() + 18))
     n, kinds = training_size(docs, train, blocks)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     cut = rows.select("row", "doc_id", "train", F.explode(pieces(F.col("text"), GAP, limit, before=order - 1)).alias("p"))
