@@ -1,10 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv parsing over all documents.
+"""Substring dedup by a join of hashed windows over blocks of documents; the windows found are chained into factors.
 
-Documents are cut into reference blocks of ascending ids. A document is factored against every
-block: a factor is a run of words that stands in one place of an earlier text, and a factor of
-`width` words or more is a duplicate span. At the end of a factor the source may change; the windows
-of `width` words over a boundary are looked up as all others are, so no earlier occurrence of any
-window is missed and the spans are exactly the words covered by a window that starts earlier.
+Documents are cut into blocks of ascending ids. A window is `width` consecutive words; those whose words also stand
+earlier are found by the index below, and the words that they cover go. Runs of such windows with one source are told as factors
+(start and length). This stands in for a relative Lempel-Ziv parse: no factor is extended word by word against a block.
 
 The index over the blocks is built in two steps, so that text that stands once costs little. Every
 window is named by its anchor, the least hash of the runs of ANCHOR words inside it: equal windows
@@ -12,7 +10,8 @@ have equal anchors. First the anchors of all blocks meet, and each block learns
 stand elsewhere too. Then only windows with such anchors are indexed, by 96 bits of hash, and each
 block learns the earliest source of those windows that aren't the first. In both steps a block
 sends every hash once, however often it holds it, so copies and common passages are folded before
-the shuffle and no task gathers more than one entry for each block and hash.
+the shuffle and no task gathers more than one entry for each block and hash. The 96 bits come from one hash of 64 bits
+for each word, so two words that share it are taken for one.
 
 Edge cases: null and empty texts have no words; texts shorter than `width` words lose nothing; rows
 with one doc_id are separate texts in the order of their text; null ids come first; extra columns
