@@ -10,6 +10,11 @@ def doubles(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """x to so many digits, as SQL rounds: what is a little below zero becomes -0.0, where Spark's round forgets the sign."""
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
