@@ -16,37 +16,56 @@ from ..functions import text as T
 from .segment import starts_after
 
 
+#: Parts that the followers of a word are dealt to.
+SALTS = 16
+
+
 def bigram_scores(tokens: DataFrame, key: Sequence[str], alpha: float = 1.0) -> DataFrame:
     """tokens (key, pos, token) with scores; the first token of a key (pos 0) has none and no row.
 
     P(b | a) = (n(a, b) + alpha) / (n(a) + alpha V). Unseen followers share the rest evenly; ties for the
     likeliest go to the lesser token.
-
-    The model is joined to the counted pairs first, so tokens meet one table, on both words: a frequent word is
-    spread over all its followers, and the first tokens, which have none before them, stay out of the join.
     """
     w = Window.partitionBy(*key).orderBy("pos")
-    pairs = tokens.withColumn("before", F.lag("token").over(w))
-    seen = pairs.filter("before IS NOT NULL").groupBy("before", "token").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = tokens.agg(F.count_distinct("token").alias("v"))
+    pairs = tokens.withColumn("before", F.lag("token").over(w)).select(*key, "pos", "before", "token")
+    return _scored(pairs, key, tokens.agg(F.count_distinct("token").alias("v")), alpha)
+
+
+def bigram_scores_of(docs: DataFrame, key: Sequence[str], words: Column, alpha: float = 1.0) -> DataFrame:
+    """The same for rows (key) with their tokens as an array: pairs are made in the row, without a shuffle."""
+    ws = docs.select(*key, words.alias("ws"))
+    pair = lambda x, i: F.struct(F.get("ws", i - 1).alias("before"), x.alias("token"))
+    pairs = ws.select(*key, F.posexplode(F.transform("ws", pair)).alias("pos", "p")).select(*key, "pos", "p.before", "p.token")
+    return _scored(pairs, key, ws.select(F.explode_outer("ws").alias("token")).agg(F.count_distinct("token").alias("v")), alpha)
+
+
+def _scored(pairs: DataFrame, key: Sequence[str], vocabulary: DataFrame, alpha: float) -> DataFrame:
+    """Pairs (key, pos, before, token) with their scores.
+
+    All pairs are shuffled once, by the first word and a part of its followers, so a frequent word is many tasks' work.
+    Counting and scoring read that one exchange: both windows have one order and both
+    parts the join's filters, so that the exchange is the same and reused. What travels besides is a row for each word and part.
+    """
+    w = Window.partitionBy("before", "salt", "token").orderBy(*key, "pos")
+    dealt = pairs.withColumn("salt", F.pmod(F.hash("token"), F.lit(SALTS))).filter("before IS NOT NULL AND salt IS NOT NULL").repartition("before", "salt")
+    n = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    seen = dealt.withColumns({"n": n, "place": F.row_number().over(w)}).filter("place = 1")
     after = seen.groupBy("before").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("kinds"),
         F.max("n").alias("most"),
         F.min(F.struct(-F.col("n"), "token"))["token"].alias("most_likely_token"),
-        F.sum(F.col("n") + alpha).alias("mass"),
         F.sum((F.col("n") + alpha) * F.log(F.col("n") + alpha)).alias("plogp"),
+        F.collect_set("salt").alias("salts"),
     )
     model = after.crossJoin(F.broadcast(vocabulary))  # one row
     z = F.col("total") + alpha * F.col("v")
     unseen = F.col("v") - F.col("kinds")
     entropy = F.log(z) - (F.col("plogp") + unseen * (alpha * F.log(F.lit(alpha)) if alpha > 0 else 0.0)) / z
-    model = model.select("before", z.alias("z"), F.log((F.col("most") + alpha) / z).alias("logprob_max"), entropy.alias("entropy"), "most_likely_token")
-    actual = F.log((F.col("n") + alpha) / F.col("z"))
-    known = seen.join(model, "before").select("before", "token", actual.alias("logprob_actual"), "logprob_max", "entropy", "most_likely_token")
+    model = model.select("before", F.explode("salts").alias("salt"), z.alias("z"), F.log((F.col("most") + alpha) / z).alias("logprob_max"), entropy.alias("entropy"), "most_likely_token")
+    actual = F.log((F.col("n") + alpha) / F.col("z")).alias("logprob_actual")
     # Every pair was counted, so no row is lost here.
-    later = pairs.filter("before IS NOT NULL").join(known, ["before", "token"])
-    return later.select(*key, "pos", "token", "logprob_actual", "logprob_max", "entropy", "most_likely_token")
+    return dealt.withColumn("n", n).join(model, ["before", "salt"]).select(*key, "pos", "token", actual, "logprob_max", "entropy", "most_likely_token")
 
 
 def normal_token(c: Column) -> Column:
@@ -109,10 +128,12 @@ def sentence_perplexity(scores: DataFrame, key: str, prompt: Column | None = Non
     The prompt is the first so many scored tokens: those from place 1 on. A sentence ends after a token that holds a full
     stop. Those with at most one token that isn't punctuation are left out before the rest is numbered from 1.
     """
-    p = scores.withColumn("in_prompt", F.col("pos") <= (prompt if prompt is not None else F.lit(0)))
-    head = scores.select(key).distinct().join(section_perplexity(p.filter("in_prompt"), [key]), key, "left").select(key, F.lit(0).cast("long").alias("sentence_index"), "perplexity")
-    body = p.filter("NOT in_prompt")
-    body = body.withColumn("sentence", starts_after(F.contains("token", F.lit(".")), [key], "pos"))
-    found = body.groupBy(key, "sentence").agg(F.sum((~T.is_punctuation_token("token")).cast("int")).alias("words"), F.exp(-F.sum("logprob_actual") / F.count(F.lit(1))).alias("perplexity")).filter("words > 1")
-    place = F.row_number().over(Window.partitionBy(key).orderBy("sentence")).cast("long")
-    return head.unionByName(found.select(key, place.alias("sentence_index"), "perplexity"))
+    p = scores.select(key, "pos", "logprob_actual", F.contains("token", F.lit(".")).alias("stop"), (~T.is_punctuation_token("token")).alias("word"), (F.col("pos") <= (prompt if prompt is not None else F.lit(0))).alias("in_prompt"))
+    # The prompt is a sentence of its own before the others: one shuffle of the scores by key serves all that follows.
+    p = p.withColumn("sentence", F.when(F.col("in_prompt"), -1).otherwise(starts_after(F.col("stop") & ~F.col("in_prompt"), [key], "pos")))
+    value = F.exp(-F.sum("logprob_actual") / F.count(F.lit(1)))
+    found = p.groupBy(key, "sentence").agg(F.sum(F.col("word").cast("int")).alias("words"), F.when(F.count("logprob_actual") > 0, value).alias("perplexity"))
+    body = F.when((F.col("sentence") >= 0) & (F.col("words") > 1), F.struct("sentence", "perplexity"))
+    rows = found.groupBy(key).agg(F.max(F.when(F.col("sentence") < 0, F.col("perplexity"))).alias("head"), F.sort_array(F.collect_list(body)).alias("body"))
+    parts = F.concat(F.array("head"), F.transform("body", lambda x: x["perplexity"]))
+    return rows.select(key, F.posexplode(parts).alias("sentence_index", "perplexity")).withColumn("sentence_index", F.col("sentence_index").cast("long"))

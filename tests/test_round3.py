@@ -11,3 +11,18 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     rows = spark.createDataFrame([([-1e-7, 1e-7, -0.0, -0.1234567, 0.1234567, 0.0],)], "x array<double>")
     got = rows.select(F.transform("x", lambda x: V.rounded(x)).alias("x")).first()["x"]
     assert [(abs(v), math.copysign(1, v)) for v in got] == [(0, -1), (0, 1), (0, -1), (0.123457, -1), (0.123457, 1), (0, 1)]
+
+
+def test_scores_of_arrays_shuffle_the_pairs_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(1, "a b a b. c"), (2, "a"), (3, ""), (4, "b a b a c. a b")], "k int, text string").withColumn("ws", F.expr("filter(split(text, ' '), x -> x <> '')"))
+        scored = lm.bigram_scores_of(docs, ["k"], F.col("ws"))
+        want = lm.bigram_scores(docs.select("k", F.posexplode("ws").alias("pos", "token")), ["k"])
+        rounded = lambda df: sorted((r["k"], r["pos"], r["token"], round(r["logprob_actual"], 9), round(r["logprob_max"], 9), round(r["entropy"], 9), r["most_likely_token"]) for r in df.collect())
+        assert rounded(scored) == rounded(want) and scored.count() == 10
+        for df in (scored, lm.section_perplexity(scored, ["k"]), lm.sentence_perplexity(scored, "k", F.lit(1))):
+            dealt = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_COL" in x]
+            assert sum("ReusedExchange" not in x for x in dealt) == 1 and len(dealt) == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
