@@ -7,8 +7,10 @@ travel, vectors are joined on (key, position).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,13 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 
 #: Positions of a block where all pairs of a key are asked for.
-BLOCK = 512
+BLOCK = 1024
+
+#: Rows of a batch of pairs, and bytes of one that goes to a Python worker: a block or two.
+ROWS, BYTES = 1 << 18, 4 << 20
+
+#: Bins of similarities from -1 to 1 in which a median is looked for.
+BINS = 1 << 14
 
 METRICS = ("mean_of_window_means", "std_of_window_means", "mean_of_window_stds", "std_of_window_stds", "mean_of_window_medians")
 
@@ -50,25 +58,82 @@ def pairs(vectors: DataFrame, key: str, within: int | None = None) -> DataFrame:
     With a bound, the left side is repeated once for each lag and joined by position; without one,
     blocks of BLOCK positions of a key meet, so a long text is many tasks and sends each row once for each block.
     """
+    if within is None:
+        return _block_rows(vectors, key, both=False)
     a = vectors.select(key, F.col("pos").alias("i"), F.col("vec").alias("va"), F.col("norm").alias("na"))
     b = vectors.select(key, F.col("pos").alias("j"), F.col("vec").alias("vb"), F.col("norm").alias("nb"))
-    if within is not None:
-        a = a.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max(1, within - 1))))).withColumn("j", F.col("i") + F.col("lag"))
-        joined = a.join(b, [key, "j"])
-    else:
-        last = F.max(F.floor(F.col("pos") / BLOCK)).alias("last_block")
-        mine, theirs = F.floor(F.col("i") / BLOCK), F.floor(F.col("j") / BLOCK)
-        a = a.join(vectors.groupBy(key).agg(last), key).withColumn("block_i", mine).withColumn("block_j", F.explode(F.sequence(mine, F.col("last_block")))).drop("last_block")
-        b = b.withColumn("block_j", theirs).withColumn("block_i", F.explode(F.sequence(F.lit(0).cast("long"), theirs)))
-        joined = a.join(b, [key, "block_i", "block_j"]).filter("i < j")
-    return joined.select(key, "i", "j", V.cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")).alias("sim"))
+    a = a.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max(1, within - 1))))).withColumn("j", F.col("i") + F.col("lag"))
+    return a.join(b, [key, "j"]).select(key, "i", "j", V.cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")).alias("sim"))
+
+
+def block_pairs(vectors: DataFrame, key: str, of_key: DataFrame | None = None) -> DataFrame:
+    """Each two blocks of BLOCK positions of a key that meet, in one row: key, at_i, at_j (first positions), the vectors end to
+    end (flat_i, flat_j) and their lengths (size_i, size_j). `of_key` adds columns by key; keys that it lacks are left out.
+
+    The partitions are as many as for any shuffle: few bytes make much work here, so they aren't put together.
+    """
+    spark = vectors.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.groupBy(key, F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("vec", F.array().cast("array<double>")).alias("vec")))).alias("rows"))
+    rows = rows.select(key, "block", F.get("rows", F.lit(0))["pos"].alias("at"), F.flatten(F.transform("rows", lambda r: r["vec"])).alias("flat"), F.transform("rows", lambda r: F.size(r["vec"])).alias("size"))
+    of = vectors.groupBy(key).agg(F.max(F.floor(F.col("pos") / BLOCK)).alias("last_block"))
+    of = of if of_key is None else of.join(of_key, key)
+    a = rows.join(of, key).withColumn("block_j", F.explode(F.sequence("block", "last_block"))).drop("last_block", "block")
+    a = a.withColumnsRenamed({c: f"{c}_i" for c in ("at", "flat", "size")}).repartition(n, key, "block_j")
+    b = rows.select(key, F.col("block").alias("block_j"), *[F.col(c).alias(f"{c}_j") for c in ("at", "flat", "size")]).repartition(n, key, "block_j")
+    return a.join(b, [key, "block_j"]).drop("block_j")
+
+
+def _matrix_of(batch: pa.RecordBatch, k: int, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of one side as rows, filled up with zeros, and their lengths."""
+    size = batch.column(f"size_{side}")[k].values.to_numpy()
+    out = np.zeros((len(size), size.max(initial=0)))
+    out[np.arange(out.shape[1]) < size[:, None]] = batch.column(f"flat_{side}")[k].values.to_numpy(zero_copy_only=False)
+    return out, size
+
+
+def _cosines(batch: pa.RecordBatch, k: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """First positions, cosines and which of them count: no zero vector, equal lengths."""
+    (a, m), (b, n) = _matrix_of(batch, k, "i"), _matrix_of(batch, k, "j")
+    wide = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (a, b))
+    length = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+    there = ~(length <= 0) & (m[:, None] == n[None, :])
+    with np.errstate(invalid="ignore", over="ignore"):
+        sim = (a @ b.T) / np.where(there, length, 1.0)
+    return batch.column("at_i")[k].as_py(), batch.column("at_j")[k].as_py(), sim, there
+
+
+def _block_rows(vectors: DataFrame, key: str, both: bool) -> DataFrame:
+    """key, i, j, sim of all pairs i < j; with `both` also those with i >= j, null where i = j."""
+    kind, place = vectors.schema[key].dataType.simpleString(), vectors.schema["pos"].dataType.simpleString()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.schema.field("at_i").type
+            for k in range(batch.num_rows):
+                at_i, at_j, sim, there = _cosines(batch, k)
+                same = at_i == at_j
+                if same:
+                    np.fill_diagonal(there, False)
+                step = max(1, ROWS // sim.shape[1])
+                for lo in range(0, len(sim), step):
+                    x, ok = sim[lo : lo + step], there[lo : lo + step]
+                    i, j = (y.ravel() for y in np.broadcast_arrays(np.arange(at_i + lo, at_i + lo + len(x))[:, None], np.arange(at_j, at_j + x.shape[1])[None, :]))
+                    x, ok = x.ravel(), ok.ravel()
+                    if same and not both:
+                        x, ok, i, j = (y[i < j] for y in (x, ok, i, j))
+                    own = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(x), np.int32)), batch.column(key).slice(k, 1)).dictionary_decode()
+                    for p, q in ((i, j), (j, i)) if both and not same else ((i, j),):
+                        yield pa.RecordBatch.from_arrays([own, pa.array(p).cast(places), pa.array(q).cast(places), pa.array(x, mask=~ok)], [key, "i", "j", "sim"])
+
+    return block_pairs(vectors, key).mapInArrow(made, f"{key} {kind}, i {place}, j {place}, sim double")
 
 
 def matrix(vectors: DataFrame, key: str) -> DataFrame:
     """The full symmetric matrix as rows key, i, j, sim; null on the diagonal and for zero vectors."""
-    p = pairs(vectors, key)
-    diagonal = vectors.select(key, F.col("pos").alias("i"), F.col("pos").alias("j"), F.lit(None).cast("double").alias("sim"))
-    return p.unionByName(p.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "sim")).unionByName(diagonal)
+    return _block_rows(vectors, key, both=True)
 
 
 def pair_statistics(p: DataFrame, by: Sequence[str], std: bool = True) -> DataFrame:
@@ -117,9 +182,58 @@ def window_summary(vectors: DataFrame, key: str, size: int) -> DataFrame:
     return summarise(window_statistics(vectors, key, size), vectors, key, size)
 
 
+def _counted(vectors: DataFrame, key: str, of_key: DataFrame | None = None) -> DataFrame:
+    """Pairs of blocks to key, n, mean, m2 (squares about the mean), least, most, values, counts: of bins, or with `of_key` (key, lo, hi: bins) of the similarities in those."""
+    whole = of_key is None
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at_i, at_j, sim, there = _cosines(batch, k)
+                x = sim[np.triu(there, 1) if at_i == at_j else there]
+                if not len(x):
+                    continue
+                bins = np.clip(np.nan_to_num((x + 1) * (BINS / 2), nan=BINS), 0, BINS - 1).astype(np.int64)
+                if whole:
+                    count = np.bincount(bins)
+                    values = np.flatnonzero(count)
+                    count = count[values]
+                else:
+                    lo, hi = batch.column("lo")[k].as_py(), batch.column("hi")[k].as_py()
+                    values, count = np.unique(x[(bins >= lo) & (bins <= hi)], return_counts=True)
+                mean = x.mean()
+                row = [len(x), mean, ((x - mean) ** 2).sum(), x.min(), x.max(), values.astype(float), count]
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(k, 1), *[pa.array([y]) for y in row]], [key, "n", "mean", "m2", "least", "most", "values", "counts"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return block_pairs(vectors, key, of_key).mapInArrow(made, f"{key} {kind}, n long, mean double, m2 double, least double, most double, values array<double>, counts array<long>")
+
+
+def _middle(counted: DataFrame, key: str, ranks: DataFrame) -> DataFrame:
+    """The values at the ranks `first` and `second` (key, first, second; from 0): key, lo, hi, and how many stand before lo."""
+    each = counted.select(key, F.explode(F.arrays_zip("values", "counts")).alias("p")).groupBy(key, F.col("p.values").alias("value")).agg(F.sum("p.counts").alias("count"))
+    upto = F.sum("count").over(Window.partitionBy(key).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    at = each.withColumn("upto", upto).join(ranks, key)
+    holds = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.struct("value", (F.col("upto") - F.col("count")).alias("before"))))
+    return at.groupBy(key).agg(holds("first").alias("lo"), holds("second").alias("hi")).select(key, F.col("lo.value").alias("lo"), F.col("hi.value").alias("hi"), F.col("lo.before").alias("before"))
+
+
 def window_all(vectors: DataFrame, key: str) -> DataFrame:
-    """Statistics over all pairs of a key; nulls for keys with fewer than two tokens."""
-    stats = pair_statistics(pairs(vectors, key), [key])
+    """Statistics over all pairs of a key; nulls for keys with fewer than two tokens.
+
+    As pair_statistics() over pairs(), without a row for each pair: blocks send their moments and counts of bins; the bins
+    that hold the two middle ranks are known then, and the blocks are gone through again for the similarities in those alone.
+    """
+    first = _counted(vectors, key)
+    sums = first.groupBy(key).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.min("least").alias("least"), F.max("most").alias("most"))
+    shift = F.col("part") - F.col("mean")
+    spread = first.select(key, F.col("n").alias("m"), F.col("mean").alias("part"), "m2").join(sums, key).groupBy(key).agg(F.sum(F.col("m2") + F.col("m") * shift * shift).alias("m2"))
+    ranks = sums.select(key, F.expr("(n - 1) div 2").alias("first"), F.expr("n div 2").alias("second"))
+    bins = _middle(first, key, ranks)
+    inside = bins.join(ranks, key).select(key, (F.col("first") - F.col("before")).alias("first"), (F.col("second") - F.col("before")).alias("second"))
+    middle = _middle(_counted(vectors, key, bins.drop("before")), key, inside)
+    std = F.when(F.col("most") > F.col("least"), F.sqrt(2 * F.col("m2") / (2 * F.col("n") - 1)))
+    stats = sums.join(spread, key).join(middle, key).select(key, "mean", std.alias("std"), ((F.col("lo") + F.col("hi")) / 2).alias("median"))
     return vectors.select(key).distinct().join(stats, key, "left")
 
 

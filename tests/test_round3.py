@@ -35,3 +35,32 @@ def test_scored_table_has_a_row_for_every_token(spark, tmp_path):
     rows = {(r["doc_id"], r["pos"]): r for r in catalogue.queries()["bigram_scores"](spark, str(tmp_path)).collect()}
     assert sorted(rows) == [(1, 0), (1, 1), (1, 2), (2, 0)]
     assert rows[2, 0]["token"] == "alone" and rows[1, 0]["logprob_actual"] is None and rows[1, 1]["most_likely_token"] == "b"
+
+
+def test_blocks_give_all_pairs_and_their_statistics(spark, monkeypatch):
+    import numpy as np
+    from lingualake.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(k, i, [0.0, 0.0, 0.0] if (k, i) == ("a", 2) else rng.normal(size=3).tolist()) for k, n in (("a", 11), ("b", 4), ("c", 1), ("d", 2)) for i in range(n)]
+    rows += [("e", i, [1.0, 2.0, 2.0]) for i in range(6)]
+    t = spark.createDataFrame(rows, "k string, pos int, vec array<double>").withColumn("norm", V.norm(F.col("vec"))).withColumn("token", F.lit("x"))
+    sizes = {"a": 11, "b": 4, "c": 1, "d": 2, "e": 6}
+    vec = {(k, i): np.array(v) for k, i, v in rows}
+    cosine = lambda x, y: x @ y / np.sqrt((x @ x) * (y @ y)) if x.any() and y.any() else None
+    got = {(r["k"], r["i"], r["j"]): r["sim"] for r in similarity.matrix(t, "k").collect()}
+    want = {(k, i, j): None if i == j else cosine(vec[k, i], vec[k, j]) for k, n in sizes.items() for i in range(n) for j in range(n)}
+    assert got.keys() == want.keys() and all((got[x] is None) == (want[x] is None) and (want[x] is None or math.isclose(got[x], want[x], abs_tol=1e-12)) for x in want)
+    for r in similarity.window_all(t, "k").collect():
+        s = np.array([want[r["k"], i, j] for i in range(sizes[r["k"]]) for j in range(i) if want[r["k"], i, j] is not None])
+        if not len(s):
+            assert r["mean"] is None and r["std"] is None and r["median"] is None
+            continue
+        assert math.isclose(r["mean"], s.mean(), abs_tol=1e-12) and math.isclose(r["median"], np.median(s), abs_tol=1e-12)
+        if r["k"] in "ab":
+            assert math.isclose(r["std"], np.sqrt(2 * len(s) * s.var() / (2 * len(s) - 1)), abs_tol=1e-12)
+        if r["k"] in "de":
+            assert r["std"] is None
+    plan = similarity.window_all(t, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan.split("Aggregate")[-1]
