@@ -11,7 +11,7 @@ octave jumps and voicing changes is found for pieces of a recording that overlap
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,20 +46,28 @@ SPECTRAL = ("rms", "loudness", "zcr", "alpha_ratio", "hammarberg", "slope_0_500"
 CYCLES = ("jitter", "shimmer")
 
 
-def overlapped(blocks: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
+def overlapped(blocks: DataFrame, key: str, settings: Settings = Settings(), made: Callable[[Column], Column] | None = None) -> DataFrame:
     """Blocks (key, block in order, rate, samples) that don't overlap, with what their frames need of the blocks beside them.
 
-    A block must be at least as long as the reach of a frame, but for a recording's last one.
+    A block must be at least as long as the reach of a frame, but for a recording's last one. With `made`, blocks have a
+    `source` and the number of samples it makes (`size`) instead: sources travel, samples are made where they are needed.
+    A column `loudest` stays. Sources are few bytes and much work, so their partitions aren't put together.
     """
+    if made:
+        blocks = blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     w = Window.partitionBy(key).orderBy("block")
     halo = F.ceil(F.col("rate") * settings.reach).cast("int") + 1
-    size = F.size("samples")
+    size = F.col("size") if made else F.size("samples")
+    given = F.struct(F.col("source" if made else "samples").alias("x"))
     upto = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    before, behind = F.lag("samples").over(w), F.lead("samples").over(w)
-    b = blocks.select(key, "rate", "samples", upto.alias("first"), before.alias("before"), behind.alias("behind"), halo.alias("halo"))
-    head = F.coalesce(F.slice("before", F.greatest(F.size("before") - F.col("halo") + 1, F.lit(1)), F.col("halo")), F.array().cast(blocks.schema["samples"].dataType))
-    tail = F.coalesce(F.slice("behind", F.lit(1), F.col("halo")), F.array().cast(blocks.schema["samples"].dataType))
-    return b.select(key, "rate", (F.col("first") - F.size(head)).alias("start"), "first", (F.col("first") + size).alias("last"), F.concat(head, "samples", tail).alias("samples"))
+    more = [c for c in ("loudest",) if c in blocks.columns]
+    b = blocks.select(key, "rate", *more, given.alias("own"), size.alias("size"), upto.alias("first"), F.lag(given).over(w).alias("before"), F.lead(given).over(w).alias("behind"), halo.alias("halo"))
+    samples = lambda c: made(F.col(c)["x"]) if made else F.col(c)["x"]
+    b = b.select(key, "rate", *more, "size", "first", "halo", samples("own").alias("samples"), *[F.when(F.col(c).isNotNull(), samples(c)).alias(c) for c in ("before", "behind")])
+    none = F.array().cast(b.schema["samples"].dataType)
+    head = F.coalesce(F.slice("before", F.greatest(F.size("before") - F.col("halo") + 1, F.lit(1)), F.col("halo")), none)
+    tail = F.coalesce(F.slice("behind", F.lit(1), F.col("halo")), none)
+    return b.select(key, "rate", *more, (F.col("first") - F.size(head)).alias("start"), "first", (F.col("first") + F.col("size")).alias("last"), F.concat(head, "samples", tail).alias("samples"))
 
 
 def windows_at(x: np.ndarray, centres: np.ndarray, size: int) -> np.ndarray:
@@ -171,34 +179,66 @@ def cycles(x: np.ndarray, period: float) -> tuple[float, float]:
     return float(np.abs(np.diff(gaps)).mean() / gaps.mean()), float(np.abs(20 * np.log10(tops[1:] / tops[:-1])).mean())
 
 
-def frames(blocks: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
-    """Blocks to key, frame, peak, hz and strength (arrays: candidates), and the values of SPECTRAL and CYCLES."""
+def _places(batch: pa.RecordBatch, i: int, s: Settings) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Rate and samples of a block, its frames and their centres in the samples."""
+    rate, start, first, last = (batch.column(c)[i].as_py() for c in ("rate", "start", "first", "last"))
+    x = batch.column("samples")[i].values.to_numpy(zero_copy_only=False).astype(float)
+    k = np.arange(int(np.ceil(round(first / (s.step * rate), 9))), int(last / (s.step * rate)) + 1)
+    centres = np.round(k * s.step * rate).astype(np.int64)
+    own = (centres >= first) & (centres < last)
+    return rate, x, k[own], centres[own] - start
+
+
+def _peaks(rows: np.ndarray) -> np.ndarray:
+    return np.abs(rows - rows.mean(axis=1, keepdims=True)).max(axis=1)
+
+
+def loudest(blocks: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
+    """key, loudest: the highest peak of a recording's frames. A pass over the samples that shuffles a row for each task."""
+    s = settings
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            top = [None] * b.num_rows
+            for i in range(b.num_rows):
+                rate, x, _, centres = _places(b, i, s)
+                if len(centres):
+                    top[i] = float(_peaks(windows_at(x, centres, int(round(3 / s.floor * rate)))).max())
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(top, pa.float64())], [key, "peak"])
+
+    kind = blocks.schema[key].dataType.simpleString()
+    return blocks.select(key, "rate", "start", "first", "last", "samples").mapInArrow(made, f"{key} {kind}, peak double").groupBy(key).agg(F.max("peak").alias("loudest"))
+
+
+def frames(blocks: DataFrame, key: str, settings: Settings = Settings(), values: Sequence[str] = (*SPECTRAL, *CYCLES)) -> DataFrame:
+    """Blocks to key, frame, peak, hz and strength (arrays: candidates), and the values of SPECTRAL and CYCLES, or those asked for."""
     s = settings
-    values = (*SPECTRAL, *CYCLES)
-    names = [key, "frame", "peak", "hz", "strength", *values]
+    more = [c for c in ("loudest",) if c in blocks.columns]
+    names = [key, *more, "frame", "peak", "hz", "strength", *values]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                rate, start, first, last = (b.column(c)[i].as_py() for c in ("rate", "start", "first", "last"))
-                x = b.column("samples")[i].values.to_numpy(zero_copy_only=False).astype(float)
-                k = np.arange(int(np.ceil(round(first / (s.step * rate), 9))), int(last / (s.step * rate)) + 1)
-                centres = np.round(k * s.step * rate).astype(np.int64)
-                k, centres = k[(centres >= first) & (centres < last)], centres[(centres >= first) & (centres < last)] - start
+                rate, x, k, centres = _places(b, i, s)
                 if not len(k):
                     continue
                 rows = windows_at(x, centres, int(round(3 / s.floor * rate)))
                 hz, strength = candidates(rows, rate, s)
-                near = windows_at(x, centres, max(2, int(round(0.06 * rate))))
-                cycle = np.array([cycles(w, rate / h[0]) if len(h) else (np.nan, np.nan) for w, h in zip(near, hz, strict=True)]).reshape(-1, 2)
-                found = spectral(windows_at(x, centres, max(2, int(round(0.02 * rate)))), rate)
-                columns = [pa.array(np.abs(rows - rows.mean(axis=1, keepdims=True)).max(axis=1)), pa.array(hz, pa.list_(pa.float64())), pa.array(strength, pa.list_(pa.float64()))]
-                columns += [pa.array(found[c], pa.float64(), from_pandas=True) for c in SPECTRAL] + [pa.array(cycle[:, j], pa.float64(), from_pandas=True) for j in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(key)[i].as_py()] * len(k), b.column(key).type), pa.array(k), *columns], names)
+                found: dict[str, np.ndarray] = {}
+                if any(c in CYCLES for c in values):
+                    near = windows_at(x, centres, max(2, int(round(0.06 * rate))))
+                    cycle = np.array([cycles(w, rate / h[0]) if len(h) else (np.nan, np.nan) for w, h in zip(near, hz, strict=True)]).reshape(-1, 2)
+                    found |= dict(zip(CYCLES, cycle.T, strict=True))
+                if any(c in SPECTRAL for c in values):
+                    found |= spectral(windows_at(x, centres, max(2, int(round(0.02 * rate)))), rate)
+                columns = [pa.array([b.column(c)[i].as_py()] * len(k), b.column(c).type) for c in (key, *more)] + [pa.array(k)]
+                columns += [pa.array(_peaks(rows)), pa.array(hz, pa.list_(pa.float64())), pa.array(strength, pa.list_(pa.float64()))]
+                columns += [pa.array(found[c], pa.float64(), from_pandas=True) for c in values]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = blocks.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, frame long, peak double, hz array<double>, strength array<double>, " + ", ".join(f"{c} double" for c in values)
-    return blocks.select(key, "rate", "start", "first", "last", "samples").mapInArrow(made, schema)
+    schema = ", ".join([f"{key} {kind}", *[f"{c} double" for c in more], "frame long, peak double, hz array<double>, strength array<double>", *[f"{c} double" for c in values]])
+    return blocks.select(key, *more, "rate", "start", "first", "last", "samples").mapInArrow(made, schema)
 
 
 def best_path(hz: list[np.ndarray], strength: list[np.ndarray], peak: np.ndarray, loudest: float, s: Settings) -> np.ndarray:
@@ -236,14 +276,16 @@ def best_path(hz: list[np.ndarray], strength: list[np.ndarray], peak: np.ndarray
 def track(found: DataFrame, key: str, settings: Settings = Settings(), piece: int = 6000, overlap: int = 300) -> DataFrame:
     """Frames with the pitch on the best path: hz (null where unvoiced) and strength in place of the candidates.
 
-    The path is sought in pieces of so many frames, each with `overlap` more on both sides to settle in.
+    The path is sought in pieces of so many frames, each with `overlap` more on both sides to settle in. Frames with a column
+    `loudest` are shuffled once; without one it is found from all frames first.
     """
     s = settings
-    loudest = found.groupBy(key).agg(F.max("peak").alias("loudest"))
     own = F.expr(f"frame div {piece}")
     reach = F.sequence(F.expr(f"greatest(frame - {overlap}, 0) div {piece}"), F.expr(f"(frame + {overlap}) div {piece}"))
-    rows = found.withColumn("own", own).withColumn("piece", F.explode(reach)).join(loudest, key)
-    keep = [c for c in found.columns if c not in ("hz", "strength", "peak")]
+    rows = found.withColumn("own", own).withColumn("piece", F.explode(reach))
+    if "loudest" not in found.columns:
+        rows = rows.join(found.groupBy(key).agg(F.max("peak").alias("loudest")), key)
+    keep = [c for c in found.columns if c not in ("hz", "strength", "peak", "loudest")]
 
     def pathed(block: pa.Table) -> pa.Table:
         block = block.sort_by("frame")

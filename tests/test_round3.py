@@ -64,3 +64,16 @@ def test_blocks_give_all_pairs_and_their_statistics(spark, monkeypatch):
             assert r["std"] is None
     plan = similarity.window_all(t, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan and "median" not in plan.split("Aggregate")[-1]
+
+
+def test_sources_travel_in_place_of_samples(spark):
+    from lingualake.operators import acoustics
+
+    made = lambda x: F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.coalesce(x, F.lit(0.0)) * i)
+    compact = spark.createDataFrame([("r", i, 4000, v, 400) for i, v in enumerate([1.0, None, 3.0])], "k string, block int, rate int, source double, size int")
+    whole = compact.select("k", "block", "rate", made(F.col("source")).alias("samples"))
+    lazy = acoustics.overlapped(compact, "k", made=made)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(lazy) == rows(acoustics.overlapped(whole, "k"))
+    found = acoustics.frames(lazy, "k")
+    assert acoustics.loudest(lazy, "k").first()["loudest"] == found.agg(F.max("peak")).first()[0]
