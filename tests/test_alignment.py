@@ -90,3 +90,42 @@ def test_diarized_segments(spark):
     assert got == [("q", 0, 0.0, 1.0, "SPEAKER_00"), ("r", 0, 0.0, 2.0, "SPEAKER_00"), ("r", 1, 2.0, 3.0, "SPEAKER_01"), ("r", 2, 5.0, 6.0, "SPEAKER_01"), ("r", 3, 6.0, 7.0, "SPEAKER_00")]
     assert {r["speaker"] for r in A.diarize(s, "file_id", threshold=0.5).collect()} == {"SPEAKER_00", "SPEAKER_01"}
     assert A.diarize(s.filter(F.lit(False)), "file_id", 2).count() == 0
+
+
+def test_linkage_memory_grows_with_the_vectors_only():
+    import tracemalloc
+
+    v = np.random.default_rng(5).normal(size=(6000, 8))
+    tracemalloc.start()
+    own = A.linked(v, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(set(own.tolist())) == [0, 1, 2, 3] and peak < 6000 * 6000 * 8 / 4
+
+
+def test_ties_copies_and_zeros_merge_as_one_by_one():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        n = int(rng.integers(2, 16))
+        v = rng.normal(size=(4, 3))[rng.integers(0, 4, n)] * rng.integers(0, 2, size=(n, 1))
+        for k, most in ((1, None), (3, None), (1, 0.5), (2, 1.0)):
+            assert A.linked(v, k, most).tolist() == plain_linked(v, k, most)
+    assert A.linked(np.array([[1.0, np.nan], [1.0, 0.0], [1.0, 0.0]]), 1).tolist() == [0, 1, 2]
+
+
+def test_long_recordings_merge_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(k, float(i), i + 1.0, v) for k, n in (("a", 90), ("b", 40), ("c", 12), (None, 3)) for i, v in enumerate(rng.normal(size=(n, 4)).tolist())]
+    rows += [("d", float(i), i + 1.0, [1.0, 0.0, 0.0, 0.0] if i % 3 else [0.0, 0.0, 0.0, float(i % 2)]) for i in range(50)]
+    rows += [("e", float(i), i + 1.0, [1.0, float("nan") if i == 7 else 1.0, float(i), 0.0]) for i in range(20)]
+    s = spark.createDataFrame(rows, "file_id string, start double, end double, vec array<double>").repartition(3)
+    speakers = lambda **how: sorted(map(tuple, A.diarize(s, "file_id", **how).collect()), key=str)
+    ways = ({"speakers": 3}, {"threshold": 0.5}, {"speakers": 4, "gap": 1.5})
+    want = [speakers(**w) for w in ways]
+    calls = []
+    rounds = A.merged_in_rounds
+    monkeypatch.setattr(A, "CELL", 16)
+    monkeypatch.setattr(A, "merged_in_rounds", lambda *a: calls.append(a) or rounds(*a))
+    assert [speakers(**w) for w in ways] == want and len(calls) == len(ways)
+    merged = rounds(calls[0][0], "file_id").filter("into IS NOT NULL").groupBy("file_id").count().collect()
+    assert {r["file_id"] for r in merged} == {"a", "b", "d"} and all(r["count"] > 10 for r in merged)
