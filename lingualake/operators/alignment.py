@@ -96,7 +96,7 @@ def with_fallback(best: DataFrame, *others: DataFrame, key: str) -> DataFrame:
 CELL = 8192
 
 #: Queries and candidates of which all distances are held at once.
-TILE = (512, 2048)
+TILE = (256, 1024)
 
 
 def unit_vectors(vectors: np.ndarray) -> np.ndarray:
