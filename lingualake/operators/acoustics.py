@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,10 +71,18 @@ def overlapped(blocks: DataFrame, key: str, settings: Settings = Settings(), mad
     return b.select(key, "rate", *more, (F.col("first") - F.size(head)).alias("start"), "first", (F.col("first") + F.col("size")).alias("last"), F.concat(head, "samples", tail).alias("samples"))
 
 
+def neighbours(blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks (key, block in order, rate, source, size) with source and size of the blocks beside them, for frames of samples `made` from them."""
+    w = Window.partitionBy(key).orderBy("block")
+    upto = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    beside = [f(c).over(w).alias(f"{c}_{n}") for n, f in (("before", F.lag), ("behind", F.lead)) for c in ("source", "size")]
+    return blocks.select(key, "rate", upto.alias("first"), "source", "size", *beside).withColumn("last", F.col("first") + F.col("size"))
+
+
 def windows_at(x: np.ndarray, centres: np.ndarray, size: int) -> np.ndarray:
     """A row of samples around each centre, zeros beyond the ends."""
     padded = np.concatenate((np.zeros(size), x, np.zeros(size)))
-    return padded[centres[:, None] + np.arange(size)[None, :] + size - size // 2]
+    return np.lib.stride_tricks.sliding_window_view(padded, size)[centres + size - size // 2]
 
 
 def autocorrelation(rows: np.ndarray, lags: int) -> np.ndarray:
@@ -82,8 +91,8 @@ def autocorrelation(rows: np.ndarray, lags: int) -> np.ndarray:
     return np.fft.irfft(np.abs(np.fft.rfft(rows, n, axis=1)) ** 2, n, axis=1)[:, :lags]
 
 
-def candidates(rows: np.ndarray, rate: int, s: Settings) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each row of samples the candidate pitches (Hz) and their strengths, the strongest first."""
+def candidates(rows: np.ndarray, rate: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidate pitches (Hz) of all rows of samples and their strengths, a row's strongest first, and where each row's begin and end."""
     size, lags = rows.shape[1], int(rate / s.floor) + 2
     window = np.hanning(size + 2)[1:-1]
     r = autocorrelation((rows - rows.mean(axis=1, keepdims=True)) * window, lags)
@@ -101,9 +110,8 @@ def candidates(rows: np.ndarray, rate: int, s: Settings) -> tuple[list[np.ndarra
     frame, hz, top = frame[fit], hz[fit], top[fit]
     rank = np.lexsort((hz, -(top - s.octave_cost * np.log2(s.floor / hz)), frame))
     frame, hz, top = frame[rank], hz[rank], top[rank]
-    edges = np.searchsorted(frame, np.arange(len(rows) + 1))
-    cut = [slice(i, min(j, i + s.candidates)) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    return [hz[x] for x in cut], [top[x] for x in cut]
+    best = np.arange(len(frame)) - np.searchsorted(frame, frame) < s.candidates
+    return hz[best], top[best], np.searchsorted(frame[best], np.arange(len(rows) + 1))
 
 
 def _mel_bands(rate: int, n: int, count: int = 26) -> np.ndarray:
@@ -149,127 +157,227 @@ def spectral(rows: np.ndarray, rate: int) -> dict[str, np.ndarray]:
 
 
 def cycles(x: np.ndarray, period: float) -> tuple[float, float]:
-    """Jitter (share of the period) and shimmer (dB) of some samples with about this period (in samples).
+    """Jitter and shimmer of some samples with about this period (in samples)."""
+    jitter, shimmer = cycles_of_rows(x[None, :], np.array([period], float))
+    return float(jitter[0]), float(shimmer[0])
+
+
+def cycles_of_rows(rows: np.ndarray, period: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jitter (share of the period) and shimmer (dB) of each row of samples with about its period (in samples).
 
     From the highest sample each next mark is the highest one a period away, give or take a fifth; between samples a
     parabola is laid through three of them. Fewer than three marks give nothing.
     """
-    def refined(i: int) -> tuple[float, float]:
-        if 0 < i < len(x) - 1:
-            a, b, c = x[i - 1], x[i], x[i + 1]
-            bend = a - 2 * b + c
-            if bend < 0:
-                d = 0.5 * (a - c) / bend
-                return i + d, b - 0.25 * (a - c) * d
-        return float(i), float(x[i])
-
-    marks = [int(np.argmax(x))]
-    for way in (1, -1):
-        at = marks[0] if way == 1 else marks[0]
+    n, size = rows.shape
+    near, far = np.rint(0.8 * period).astype(np.int64), np.rint(1.2 * period).astype(np.int64)
+    span = far - near
+    first = rows.argmax(axis=1)
+
+    def walk(move: np.ndarray) -> list[np.ndarray]:
+        """The next mark of each row, and the next one, until no row has any (-1: this row has none)."""
+        found, live, at = [], np.arange(n), first
         while True:
-            lo, hi = sorted((at + way * round(0.8 * period), at + way * round(1.2 * period)))
-            if lo < 0 or hi >= len(x):
-                break
-            at = lo + int(np.argmax(x[lo : hi + 1]))
-            marks.append(at)
-    places, heights = zip(*(refined(i) for i in sorted(marks)), strict=True)
-    gaps, tops = np.diff(places), np.array(heights)
-    if len(gaps) < 2 or (tops <= 0).any():
-        return np.nan, np.nan
-    return float(np.abs(np.diff(gaps)).mean() / gaps.mean()), float(np.abs(20 * np.log10(tops[1:] / tops[:-1])).mean())
-
-
-def _places(batch: pa.RecordBatch, i: int, s: Settings) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Rate and samples of a block, its frames and their centres in the samples."""
-    rate, start, first, last = (batch.column(c)[i].as_py() for c in ("rate", "start", "first", "last"))
-    x = batch.column("samples")[i].values.to_numpy(zero_copy_only=False).astype(float)
-    k = np.arange(int(np.ceil(round(first / (s.step * rate), 9))), int(last / (s.step * rate)) + 1)
-    centres = np.round(k * s.step * rate).astype(np.int64)
-    own = (centres >= first) & (centres < last)
-    return rate, x, k[own], centres[own] - start
+            lo = at + move[live]
+            inside = (lo >= 0) & (lo + span[live] < size)
+            live, lo = live[inside], lo[inside]
+            if not len(live):
+                return found
+            k = np.arange(span[live].max() + 1)
+            heights = rows[live[:, None], np.minimum(lo[:, None] + k, size - 1)]
+            at = lo + np.where(k <= span[live][:, None], heights, -np.inf).argmax(axis=1)
+            found.append(np.full(n, -1))
+            found[-1][live] = at
+
+    marks = np.stack([*reversed(walk(-far)), first, *walk(near)], axis=1)
+    given = marks >= 0
+    each = np.arange(n)[:, None]
+    a, b, c = (rows[each, np.clip(marks + i, 0, size - 1)] for i in (-1, 0, 1))
+    bend = a - 2 * b + c
+    d = np.where((marks > 0) & (marks < size - 1) & (bend < 0), 0.5 * (a - c) / np.where(bend < 0, bend, -1.0), 0.0)
+    places, tops = marks + d, b - 0.25 * (a - c) * d
+    gap, pair = given[:, 1:] & given[:, :-1], given[:, 2:] & given[:, :-2]
+    gaps, count = np.diff(places, axis=1), np.maximum(gap.sum(axis=1), 2)
+    fine = (gap.sum(axis=1) >= 2) & ~((tops <= 0) & given).any(axis=1)
+    ratio = np.where(gap & fine[:, None], tops[:, 1:], 1.0) / np.where(gap & fine[:, None], tops[:, :-1], 1.0)
+    mean = np.where(fine, np.where(gap, gaps, 0.0).sum(axis=1) / count, 1.0)
+    jitter = np.where(pair, np.abs(np.diff(gaps, axis=1)), 0.0).sum(axis=1) / (count - 1) / mean
+    shimmer = np.abs(20 * np.log10(ratio)).sum(axis=1) / count
+    return np.where(fine, jitter, np.nan), np.where(fine, shimmer, np.nan)
+
+
+#: What makes samples: from sources and places in their blocks (arrays that broadcast).
+Made = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+#: Samples that are worked on at once, in whole blocks.
+AT_ONCE = 1 << 17
+
+
+def _dealt(blocks: DataFrame, keys: Sequence[str], made: Made | None) -> DataFrame:
+    """What frames need of blocks. Sources are few bytes and much work: they are dealt out evenly, those of one recording too, and aren't put together."""
+    if not made:
+        return blocks.select(*keys, "rate", "first", "last", "start", "samples")
+    b = blocks.select(*keys, "rate", "first", "last", "source", "size", "source_before", "size_before", "source_behind", "size_behind")
+    return b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys[0], "first")
+
+
+def _given(b: pa.RecordBatch, rows: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of these blocks, one after the other with zeros between, and where each block's own ones begin."""
+    own = [b.column("samples")[i].values.to_numpy(zero_copy_only=False) for i in rows.tolist()]
+    begin = pad + np.cumsum([0, *(len(x) + pad for x in own)])
+    flat = np.zeros(begin[-1])
+    for x, i in zip(own, begin.tolist(), strict=False):
+        flat[i : i + len(x)] = x
+    head = (b.column(c).to_numpy()[rows] for c in ("first", "start"))
+    return flat, begin[:-1] + np.subtract(*head)
+
+
+def _made(b: pa.RecordBatch, rows: np.ndarray, pad: int, made: Made) -> tuple[np.ndarray, np.ndarray]:
+    """As _given(), with samples made from sources; of the blocks beside a block there are as many as a frame needs."""
+    size = b.column("size").to_numpy()[rows].astype(np.int64)
+    flat = np.zeros((len(rows), 2 * pad + size.max(initial=0)))
+    for of in ("_before", "", "_behind"):
+        sizes = pc.fill_null(b.column(f"size{of}"), 0).to_numpy()[rows].astype(np.int64)
+        sources = b.column(f"source{of}").to_numpy(zero_copy_only=False)[rows][:, None]
+        for n, at in {*zip(sizes.tolist(), size.tolist(), strict=True)} - {(0, i) for i in size.tolist()}:
+            alike = np.flatnonzero((sizes == n) & (size == at))
+            lo, hi = (max(n - pad, 0), n) if of == "_before" else (0, n if of == "" else min(n, pad))
+            to = pad - (hi - lo) if of == "_before" else pad if of == "" else pad + at
+            flat[alike, to : to + hi - lo] = made(sources[alike], np.arange(lo, hi)[None, :])
+    return flat.ravel(), np.arange(len(rows)) * flat.shape[1] + pad
+
+
+def _places(b: pa.RecordBatch, s: Settings, made: Made | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of a batch, some at a time: rate, samples, and for each frame the row of its block, its number and its centre in the samples."""
+    rates, first, last = (b.column(c).to_numpy().astype(np.int64) for c in ("rate", "first", "last"))
+    for rate in np.unique(rates).tolist():
+        pad = int(np.ceil(rate * s.reach)) + 1
+        alike = np.flatnonzero(rates == rate)
+        cut = np.cumsum(last[alike] - first[alike] + 2 * pad) // AT_ONCE
+        for rows in np.split(alike, np.flatnonzero(np.diff(cut)) + 1):
+            lo = np.ceil(np.round(first[rows] / (s.step * rate), 9)).astype(np.int64)
+            n = np.maximum((last[rows] / (s.step * rate)).astype(np.int64) + 1 - lo, 0)
+            block = np.repeat(np.arange(len(rows)), n)
+            k = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n) + lo[block]
+            centres = np.round(k * s.step * rate).astype(np.int64)
+            own = (centres >= first[rows][block]) & (centres < last[rows][block])
+            block, k, centres = block[own], k[own], centres[own]
+            if len(k):
+                x, begin = _made(b, rows, pad, made) if made else _given(b, rows, pad)
+                yield rate, x, rows[block], k, centres - first[rows][block] + begin[block]
 
 
 def _peaks(rows: np.ndarray) -> np.ndarray:
-    return np.abs(rows - rows.mean(axis=1, keepdims=True)).max(axis=1)
+    mean = rows.mean(axis=1)
+    return np.maximum(rows.max(axis=1) - mean, mean - rows.min(axis=1))
 
 
-def loudest(blocks: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
-    """key, loudest: the highest peak of a recording's frames. A pass over the samples that shuffles a row for each task."""
+def loudest(blocks: DataFrame, key: str, settings: Settings = Settings(), made: Made | None = None) -> DataFrame:
+    """key, loudest: the highest peak of a recording's frames. A pass over the samples that shuffles a row for each key and task."""
     s = settings
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            top = [None] * b.num_rows
-            for i in range(b.num_rows):
-                rate, x, _, centres = _places(b, i, s)
-                if len(centres):
-                    top[i] = float(_peaks(windows_at(x, centres, int(round(3 / s.floor * rate)))).max())
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(top, pa.float64())], [key, "peak"])
+            top = np.full(b.num_rows, np.nan)
+            for rate, x, block, _, centres in _places(b, s, made):
+                peaks = _peaks(windows_at(x, centres, int(round(3 / s.floor * rate))))
+                begin = np.flatnonzero(np.diff(block, prepend=-1))
+                top[block[begin]] = np.maximum.reduceat(peaks, begin)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(top, pa.float64(), from_pandas=True)], [key, "peak"])
 
     kind = blocks.schema[key].dataType.simpleString()
-    return blocks.select(key, "rate", "start", "first", "last", "samples").mapInArrow(made, f"{key} {kind}, peak double").groupBy(key).agg(F.max("peak").alias("loudest"))
+    return _dealt(blocks, (key,), made).mapInArrow(found, f"{key} {kind}, peak double").groupBy(key).agg(F.max("peak").alias("loudest"))
+
 
+def frames(blocks: DataFrame, key: str, settings: Settings = Settings(), values: Sequence[str] = (*SPECTRAL, *CYCLES), made: Made | None = None) -> DataFrame:
+    """Blocks to key, frame, peak, hz and strength (arrays: candidates), and the values of SPECTRAL and CYCLES, or those asked for.
 
-def frames(blocks: DataFrame, key: str, settings: Settings = Settings(), values: Sequence[str] = (*SPECTRAL, *CYCLES)) -> DataFrame:
-    """Blocks to key, frame, peak, hz and strength (arrays: candidates), and the values of SPECTRAL and CYCLES, or those asked for."""
+    Blocks are those of overlapped(), or with `made` those of neighbours(). The frames of many short blocks are worked on together.
+    """
     s = settings
     more = [c for c in ("loudest",) if c in blocks.columns]
     names = [key, *more, "frame", "peak", "hz", "strength", *values]
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                rate, x, k, centres = _places(b, i, s)
-                if not len(k):
-                    continue
+            for rate, x, block, k, centres in _places(b, s, made):
                 rows = windows_at(x, centres, int(round(3 / s.floor * rate)))
-                hz, strength = candidates(rows, rate, s)
-                found: dict[str, np.ndarray] = {}
+                hz, strength, edges = candidates(rows, rate, s)
+                of: dict[str, np.ndarray] = {}
                 if any(c in CYCLES for c in values):
-                    near = windows_at(x, centres, max(2, int(round(0.06 * rate))))
-                    cycle = np.array([cycles(w, rate / h[0]) if len(h) else (np.nan, np.nan) for w, h in zip(near, hz, strict=True)]).reshape(-1, 2)
-                    found |= dict(zip(CYCLES, cycle.T, strict=True))
+                    some = np.flatnonzero(np.diff(edges))
+                    of = {c: np.full(len(k), np.nan) for c in CYCLES}
+                    near = windows_at(x, centres[some], max(2, int(round(0.06 * rate))))
+                    for c, v in zip(CYCLES, cycles_of_rows(near, rate / hz[edges[some]]), strict=True):
+                        of[c][some] = v
                 if any(c in SPECTRAL for c in values):
-                    found |= spectral(windows_at(x, centres, max(2, int(round(0.02 * rate)))), rate)
-                columns = [pa.array([b.column(c)[i].as_py()] * len(k), b.column(c).type) for c in (key, *more)] + [pa.array(k)]
-                columns += [pa.array(_peaks(rows)), pa.array(hz, pa.list_(pa.float64())), pa.array(strength, pa.list_(pa.float64()))]
-                columns += [pa.array(found[c], pa.float64(), from_pandas=True) for c in values]
+                    of |= spectral(windows_at(x, centres, max(2, int(round(0.02 * rate)))), rate)
+                columns = [b.column(c).take(pa.array(block)) for c in (key, *more)] + [pa.array(k), pa.array(_peaks(rows))]
+                columns += [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v)) for v in (hz, strength)]
+                columns += [pa.array(of[c], pa.float64(), from_pandas=True) for c in values]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = blocks.schema[key].dataType.simpleString()
     schema = ", ".join([f"{key} {kind}", *[f"{c} double" for c in more], "frame long, peak double, hz array<double>, strength array<double>", *[f"{c} double" for c in values]])
-    return blocks.select(key, *more, "rate", "start", "first", "last", "samples").mapInArrow(made, schema)
+    return _dealt(blocks, (key, *more), made).mapInArrow(found, schema)
 
 
 def best_path(hz: list[np.ndarray], strength: list[np.ndarray], peak: np.ndarray, loudest: float, s: Settings) -> np.ndarray:
-    """For each frame the candidate on the best path; -1 is unvoiced.
+    """For each frame the candidate on the best path; -1 is unvoiced."""
+    n = np.array([len(h) for h in hz], np.int64)
+    flat = [np.concatenate([np.empty(0), *x]) for x in (hz, strength)]
+    return best_paths(*flat, n, np.asarray(peak, float), np.full(len(n), loudest, float), np.zeros(1, np.int64), s)
 
-    Being unvoiced is the stronger the quieter a frame is beside the loudest one of the recording.
+
+def best_paths(hz: np.ndarray, strength: np.ndarray, n: np.ndarray, peak: np.ndarray, loudest: np.ndarray, begin: np.ndarray, s: Settings) -> np.ndarray:
+    """For each frame of some pieces the candidate on its piece's best path; -1 is unvoiced. All pieces go a frame on together.
+
+    hz, strength: candidates of all frames; n: how many each frame has; begin: each piece's first frame. Being unvoiced is
+    the stronger the quieter a frame is beside the loudest one of the recording.
     """
     scale = 0.01 / s.step
     jump, voicing = s.octave_jump_cost * scale, s.voicing_cost * scale
-    quiet = s.voicing + np.maximum(0, 2 - peak / (loudest or 1.0) / (s.silence / (1 + s.voicing)))
-    back, total, last = [], np.zeros(1), np.empty(0)
-    for i, (h, v) in enumerate(zip(hz, strength, strict=True)):
-        # States: the candidates in order, then unvoiced.
-        own = np.append(v - s.octave_cost * np.log2(s.floor / h) if len(h) else v, quiet[i])
-        log = np.log2(h) if len(h) else h
-        if i == 0:
-            total = own
+    # States: the candidates in order, places that a frame doesn't fill, then unvoiced.
+    most = int(n.max(initial=0))
+    frame = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(frame)) - np.repeat(np.cumsum(n) - n, n)
+    log = np.zeros((len(n), most))
+    log[frame, place] = np.log2(hz)
+    own = np.full((len(n), most + 1), -np.inf)
+    own[frame, place] = strength - s.octave_cost * np.log2(s.floor / hz)
+    own[:, most] = s.voicing + np.maximum(0, 2 - peak / np.where(loudest == 0, 1.0, loudest) / (s.silence / (1 + s.voicing)))
+    # Longest first: those that still run are always the first ones.
+    long = np.diff(begin, append=len(n))
+    rank = np.argsort(-long, kind="stable")
+    begin, long = begin[rank], long[rank]
+    running = np.searchsorted(-long, -np.arange(long.max(initial=0)), side="left").tolist()
+    back = np.full(own.shape, most, np.int16)
+    total = own[begin]
+    for i, m in enumerate(running[1:], 1):
+        at = begin[:m] + i
+        before, given = total[:m], own[at]
+        apart = before[:, :most, None] - jump * np.abs(log[at - 1][:, :, None] - log[at][:, None, :])
+        from_candidate = before[:, :most] - voicing
+        from_unvoiced = before[:, most] - voicing
+        if most:
+            to = apart.argmax(axis=1)
+            reach = np.take_along_axis(apart, to[:, None, :], 1)[:, 0, :]
+            other = from_unvoiced[:, None] > reach
+            back[at, :most] = np.where(other, most, to)
+            falls = from_candidate.argmax(axis=1)
+            fallen = np.take_along_axis(from_candidate, falls[:, None], 1)[:, 0]
+            stays = before[:, most] > fallen
+            back[at, most] = np.where(stays, most, falls)
+            total[:m, :most] = given[:, :most] + np.where(other, from_unvoiced[:, None], reach)
+            total[:m, most] = given[:, most] + np.where(stays, before[:, most], fallen)
         else:
-            cost = np.zeros((len(last) + 1, len(h) + 1))
-            cost[:-1, :-1] = jump * np.abs(last[:, None] - log[None, :])
-            cost[-1, :-1] = cost[:-1, -1] = voicing
-            reach = total[:, None] - cost
-            back.append(reach.argmax(axis=0))
-            total = reach.max(axis=0) + own
-        last = log
-    state = int(total.argmax())
-    out = np.empty(len(hz), np.int64)
-    for i in range(len(hz) - 1, -1, -1):
-        out[i] = -1 if state == len(hz[i]) else state
-        if i:
-            state = int(back[i - 1][state])
+            total[:m] = before + given
+    state = total.argmax(axis=1)
+    out = np.empty(len(n), np.int64)
+    for i in range(len(running) - 1, -1, -1):
+        at = begin[: running[i]] + i
+        out[at] = state[: running[i]]
+        state[: running[i]] = back[at, out[at]]
+    out[out == most] = -1
     return out
 
 
@@ -287,18 +395,43 @@ def track(found: DataFrame, key: str, settings: Settings = Settings(), piece: in
         rows = rows.join(found.groupBy(key).agg(F.max("peak").alias("loudest")), key)
     keep = [c for c in found.columns if c not in ("hz", "strength", "peak", "loudest")]
 
-    def pathed(block: pa.Table) -> pa.Table:
-        block = block.sort_by("frame")
-        hz, strength = ([np.array(x, float) for x in block.column(c).to_pylist()] for c in ("hz", "strength"))
-        path = best_path(hz, strength, block.column("peak").to_numpy(), block.column("loudest")[0].as_py(), s)
-        chosen = [(h[i], v[i]) if i >= 0 else (None, None) for i, h, v in zip(path, hz, strength, strict=True)]
+    def solved(block: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = pc.list_value_length(block.column("hz")).to_numpy().astype(np.int64)
+        flat = [pc.list_flatten(block.column(c)).to_numpy() for c in ("hz", "strength")]
+        path = best_paths(*flat, n, block.column("peak").to_numpy(), block.column("loudest").to_numpy(), begin, s)
+        chosen = pa.array(np.cumsum(n) - n + path, mask=path < 0)
         out = block.select(keep)
-        for j, c in enumerate(("hz", "strength")):
-            out = out.append_column(c, pa.array([x[j] for x in chosen], pa.float64()))
-        return out.filter(pa.compute.equal(block.column("own"), block.column("piece")))
+        for c, x in zip(("hz", "strength"), flat, strict=True):
+            out = out.append_column(c, pa.array(x).take(chosen))
+        yield from out.filter(pc.equal(block.column("own"), block.column("piece"))).to_batches()
+
+    def pathed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by piece and frame; pieces that came whole are worked on together."""
+        held, enough = [], AT_ONCE // 2
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= enough:
+                block = pa.Table.from_batches(held).combine_chunks()
+                begin = _begins(block, (key, "piece"))
+                if len(begin) > 1:
+                    yield from solved(block.slice(0, begin[-1]).combine_chunks(), begin[:-1])
+                held = block.slice(begin[-1]).to_batches()
+                enough = max(AT_ONCE // 2, 2 * (block.num_rows - int(begin[-1])))
+        if sum(x.num_rows for x in held):
+            block = pa.Table.from_batches(held).combine_chunks()
+            yield from solved(block, _begins(block, (key, "piece")))
 
     schema = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in keep) + ", hz double, strength double"
-    return rows.groupBy(key, "piece").applyInArrow(pathed, schema)
+    return rows.repartition(key, "piece").sortWithinPartitions(key, "piece", "frame").mapInArrow(pathed, schema)
+
+
+def _begins(block: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """The rows from which on a key is another than in the row before, the first one included."""
+    new = np.zeros(block.num_rows - 1, bool)
+    for c in keys:
+        a, b = (block.column(c).slice(i, block.num_rows - 1) for i in (0, 1))
+        new |= pc.fill_null(pc.not_equal(a, b), False).to_numpy() | (pc.is_null(a).to_numpy() != pc.is_null(b).to_numpy())
+    return np.concatenate(([0], np.flatnonzero(new) + 1))
 
 
 def _mean_and_spread(c: str | Column, name: str) -> list[Column]:
