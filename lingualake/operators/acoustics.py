@@ -454,8 +454,11 @@ def functionals(tracked: DataFrame, key: str, settings: Settings = Settings()) -
     t = tracked.withColumns({"voiced": voiced, "st": F.when(voiced, F.avg(semitones).over(three)), "loud": F.avg("loudness").over(three)})
     t = t.withColumns({"hnr": F.when(voiced, 10 * F.log10(F.least("strength", F.lit(0.999999)) / (1 - F.least("strength", F.lit(0.999999))))), "rise": F.lead("loud").over(w) - F.col("loud"), "fell": F.col("loud") - F.lag("loud").over(w)})
     t = t.withColumn("turn", F.coalesce((F.col("voiced") != F.lag("voiced").over(w)).cast("int"), F.lit(1)))
-    t = t.withColumn("stretch", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    quantiles = lambda c, name: [F.percentile(c, q).alias(f"{name}_p{round(100 * q)}") for q in (0.2, 0.5, 0.8)] + [(F.percentile(c, 0.8) - F.percentile(c, 0.2)).alias(f"{name}_range")]
+    begun = F.last(F.when(F.col("turn") == 1, F.col("place")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("place", F.row_number().over(w))
+    t = t.withColumn("long", F.when(F.coalesce(F.lead("turn").over(w), F.lit(1)) == 1, (F.col("place") - begun + 1) * settings.step))
+    of = lambda c: F.percentile(c, F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)))
+    quantiles = lambda c, name: [of(c)[i].alias(f"{name}_p{q}") for i, q in enumerate((20, 50, 80))] + [(of(c)[2] - of(c)[0]).alias(f"{name}_range")]
     step = settings.step
     out = [F.count(F.lit(1)).alias("n_frames"), *_mean_and_spread("st", "f0_semitone"), *quantiles("st", "f0_semitone"), *_mean_and_spread("loud", "loudness"), *quantiles("loud", "loudness")]
     out += [F.avg(F.when(F.col("rise") > 0, F.col("rise") / step)).alias("loudness_rising_slope"), F.avg(F.when(F.col("rise") < 0, F.col("rise") / step)).alias("loudness_falling_slope")]
@@ -465,6 +468,5 @@ def functionals(tracked: DataFrame, key: str, settings: Settings = Settings()) -
     out += [F.avg(F.when(~F.col("voiced"), F.col(c))).alias(f"{c}_unvoiced_mean") for c in ("alpha_ratio", "hammarberg", "slope_0_500", "slope_500_1500")]
     out += [F.avg("zcr").alias("zcr_mean"), (F.count_if((F.col("fell") > 0) & (F.col("rise") <= 0)) / (F.count(F.lit(1)) * step)).alias("loudness_peaks_per_sec")]
     out += [(F.count_if((F.col("turn") == 1) & F.col("voiced")) / (F.count(F.lit(1)) * step)).alias("voiced_segments_per_sec"), (10 * F.log10(F.avg(F.col("rms") * F.col("rms")) + 1e-12)).alias("sound_level_db")]
-    runs = t.groupBy(key, "stretch").agg(F.first("voiced").alias("voiced"), (F.count(F.lit(1)) * step).alias("long")).groupBy(key)
-    lengths = runs.agg(*[f(F.when(F.col("voiced") == v, F.col("long"))).alias(f"{n}_{'voiced' if v else 'unvoiced'}_segment_sec") for v in (True, False) for n, f in (("mean", F.avg), ("stddev", F.stddev_pop))])
-    return t.groupBy(key).agg(*out).join(lengths, key)
+    out += [f(F.when(F.col("voiced") == v, F.col("long"))).alias(f"{n}_{'voiced' if v else 'unvoiced'}_segment_sec") for v in (True, False) for n, f in (("mean", F.avg), ("stddev", F.stddev_pop))]
+    return t.groupBy(key).agg(*out)

@@ -76,3 +76,22 @@ def test_cycles_of_many_rows_are_those_of_each_alone():
     found = np.stack(A.cycles_of_rows(rows, RATE / hz), axis=1)
     plain = np.array([plain_cycles(x, RATE / f) for x, f in zip(rows, hz, strict=True)])
     assert np.allclose(found, plain, equal_nan=True) and 5 < np.isnan(plain[:, 0]).sum() < 60
+
+
+def test_functionals_work_on_the_frames_once(spark):
+    rows = [("a", k, v, 100.0 + k if v else None, 0.9) for k, v in enumerate([True, True, False, True, False, False, False, True])] + [("b", 0, False, None, None)]
+    t = spark.createDataFrame([(k, n, hz, s) for k, n, _, hz, s in rows], "k string, frame long, hz double, strength double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = t.withColumns({c: F.col("frame") * 1.0 for c in (*A.SPECTRAL, *A.CYCLES)})
+    found = {r["k"]: r for r in A.functionals(t.mapInArrow(counted, t.schema), "k").collect()}
+    assert seen.value == len(rows)
+    a, b = found["a"], found["b"]
+    assert np.allclose([a["mean_voiced_segment_sec"], a["stddev_voiced_segment_sec"]], [0.04 / 3, np.std([0.02, 0.01, 0.01])])
+    assert np.allclose([a["mean_unvoiced_segment_sec"], a["stddev_unvoiced_segment_sec"]], [0.02, 0.01])
+    assert b["mean_voiced_segment_sec"] is None and np.isclose(b["mean_unvoiced_segment_sec"], 0.01) and b["f0_semitone_p50"] is None
