@@ -344,7 +344,9 @@ def best_paths(hz: np.ndarray, strength: np.ndarray, n: np.ndarray, peak: np.nda
     log[frame, place] = np.log2(hz)
     own = np.full((len(n), most + 1), -np.inf)
     own[frame, place] = strength - s.octave_cost * np.log2(s.floor / hz)
-    own[:, most] = s.voicing + np.maximum(0, 2 - peak / np.where(loudest == 0, 1.0, loudest) / (s.silence / (1 + s.voicing)))
+    # A frame with samples that are no numbers has no candidates and counts as silent, so that the path goes on behind it.
+    level = np.nan_to_num(peak / np.where(loudest == 0, 1.0, loudest))
+    own[:, most] = s.voicing + np.maximum(0, 2 - level / (s.silence / (1 + s.voicing)))
     # Longest first: those that still run are always the first ones.
     long = np.diff(begin, append=len(n))
     rank = np.argsort(-long, kind="stable")

@@ -44,6 +44,12 @@ def test_paths_of_many_pieces_are_those_of_each_alone():
     assert together.tolist() == np.concatenate(alone).tolist() and (together >= 0).any() and (together < 0).any()
 
 
+def test_a_frame_of_no_numbers_is_unvoiced_and_the_path_goes_on():
+    hz = [np.array([200.0, 100.0]), np.array([]), np.array([200.0]), np.array([210.0])]
+    strength = [np.array([0.9, 0.5]), np.array([]), np.array([0.9]), np.array([0.9])]
+    assert A.best_path(hz, strength, np.array([1.0, np.nan, 1.0, 1.0]), 1.0, S).tolist() == [0, -1, 0, 0]
+
+
 def plain_cycles(x, period):
     marks = [int(np.argmax(x))]
     for way in (1, -1):
